@@ -4,8 +4,8 @@ Every document of a source starts with the same real number of copies, target ov
 are kept; the fractional rests are rounded by pairs: mass (probability times size) moves at random from one document
 to the other, in such proportions that expectations hold, until one of the two is integral. What is left of a block of
 documents, one fractional document at most, goes up a reduction tree to be paired with the rests of other blocks. The
-source's mass is kept exactly until the last document of all, so that the words taken miss the target by less than
-that document's size.
+source's mass is kept exactly until the last document of all, which goes to the nearer side, so that the words taken
+miss the target by half that document's size at most.
 """
 
 from __future__ import annotations
@@ -126,8 +126,8 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
         if blocks <= 1:
             break
         blocks = math.ceil(blocks / FAN_IN)
-    # The last unit of a source, the only one still fractional, is drawn by its probability.
-    last = level.where(_uniform(F.col("u.id"), F.col("u.alike"), F.lit(seed - 1)) < F.col("u.p")).select("source", "u")
+    # The last unit of a source, the only one still fractional, goes to the nearer side: half its size at most is missed.
+    last = level.where("u.p >= 0.5").select("source", "u")
     ups.append(last)
     up = ups[0]
     for x in ups[1:]:

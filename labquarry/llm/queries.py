@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op3_ivf_pq
+from .jaccard import op8_chosen_path_join
 from .langid import op6_language_bitmask_filters
 from .mixing import op2_pivotal_rounding
 from .packing import op10_minimum_bin_slack
+from .rangejoin import op5_metric_range_join
 from .sharding import op4_fixed_virtual_slots
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op2_pivotal_rounding,
+        op3_ivf_pq,
         op4_fixed_virtual_slots,
+        op5_metric_range_join,
         op6_language_bitmask_filters,
+        op8_chosen_path_join,
         op10_minimum_bin_slack,
     ]
     return {f.__name__: f for f in found}
