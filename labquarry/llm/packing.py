@@ -8,7 +8,9 @@ numbered within their length without a hot task and looked up in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +26,7 @@ CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct words a worker remembers with their ids; beyond it, the memory starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -58,21 +60,65 @@ def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int,
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """[({length: times}, bins)]: patterns with the number of bins each fills; every piece is placed."""
+    """[({length: times}, bins)]: patterns with the number of bins each fills; every piece is placed.
+
+    Bit x of `there` says that length x is left, bit capacity - x of `mirrored` likewise: one shift and one AND find
+    all pairs of a given sum. One to three lengths that fill the bin are looked for so; only if none do, the whole
+    subset-sum runs. Either way no combination could be fuller.
+    """
     counts = {x: n for x, n in histogram.items() if n > 0}
-    lengths = sorted(counts, reverse=True)
+    there = sum(1 << x for x in counts)
+    mirrored = sum(1 << (capacity - x) for x in counts)
     patterns = []
-    while lengths:
-        seed = lengths[0]
+
+    def pair(total: int, other: int) -> tuple[int, ...] | None:
+        """Two lengths left that add up to total, beside `other`, or one."""
+        if there >> total & 1 and counts[total] > (total == other):
+            return (total,)
+        both = there & ((mirrored >> (capacity - total)) if total <= capacity else 0)
+        while both:
+            x = both.bit_length() - 1
+            y = total - x
+            if counts[x] >= 1 + (x == y) + (x == other) and counts[y] >= 1 + (x == y) + (y == other):
+                return (x, y)
+            both ^= 1 << x
+        return None
+
+    while there:
+        seed = there.bit_length() - 1
         counts[seed] -= 1
-        used = fullest(counts, [x for x in lengths if counts[x] > 0], capacity - seed) if seed < capacity else {}
+        room, used = capacity - seed, None
+        if room:
+            found = pair(room, 0)
+            third = there & ((1 << room) - 1) if not found else 0
+            while third and not found:
+                x = third.bit_length() - 1
+                third ^= 1 << x
+                if 3 * x < room:
+                    break  # the largest of three is at least a third
+                if counts[x] and (rest := pair(room - x, x)):
+                    found = (x, *rest)
+            if found:
+                used = {x: found.count(x) for x in found}
+            else:
+                left = there & ((1 << (room + 1)) - 1)
+                lengths = []
+                while left:
+                    x = left.bit_length() - 1
+                    left ^= 1 << x
+                    if counts[x] > 0:
+                        lengths.append(x)
+                used = fullest(counts, lengths, room)
+        used = used or {}
         counts[seed] += 1
         used[seed] = used.get(seed, 0) + 1
         times = min(counts[x] // n for x, n in used.items())
         for x, n in used.items():
             counts[x] -= n * times
+            if not counts[x]:
+                there ^= 1 << x
+                mirrored ^= 1 << (capacity - x)
         patterns.append((used, times))
-        lengths = [x for x in lengths if counts[x] > 0]
     return patterns
 
 
@@ -114,10 +160,22 @@ def pack(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPAC
     )
 
 
+#: Words of these letters, with or without one of these signs after them, need no normalising but lower case.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level vocabularies write for each byte: printable ones stay, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: x for x in plain} | {x: 256 + i for i, x in enumerate(rest)}
+
+
 class Words(dict):
     """Ids of white-space free words, as little-endian unsigned 32-bit integers, remembered up to a bound.
 
     The tokenizer drops white space and nothing it does reaches across it, so a text's ids are those of its words in turn.
+    Plain words go straight to the merges, which is most of the work saved; all others through the whole tokenizer.
     """
 
     def __init__(self, file: str):
@@ -126,24 +184,40 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.signs, self.parts = self.tokenizer.model, _byte_signs(), {}
+
+    def part(self, word: str) -> bytes:
+        """Ids of lower-case letters, or of one sign."""
+        if (ids := self.parts.get(word)) is None:
+            written = word.encode().decode("latin-1").translate(self.signs)
+            ids = self.parts[word] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return ids
 
     def learn(self, words: set[str]) -> None:
-        words = list(words)
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(e.ids, "<u4").tobytes()
+        if len(self.parts) > WORDS_KEPT:
+            self.parts.clear()
+        others = []
+        for word in words:
+            if plain := _PLAIN.fullmatch(word):
+                letters, sign = plain.groups()
+                self[word] = self.part(letters.lower()) + (self.part(sign) if sign else b"")
+            else:
+                others.append(word)
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[word] = array("I", e.ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
-        if len(self) > WORDS_KEPT:
-            self.clear()
         for text in texts:
+            if len(self) > WORDS_KEPT:
+                self.clear()
             words = text.split(" ")
             try:
                 out.append(b"".join(map(self.__getitem__, words)))
             except KeyError:
-                self.learn(set(words).difference(self))
+                self.learn({w for w in words if w not in self})
                 out.append(b"".join(map(self.__getitem__, words)))
         return out
 
