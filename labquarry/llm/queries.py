@@ -11,22 +11,28 @@ from .jaccard import op8_chosen_path_join
 from .langid import op6_language_bitmask_filters
 from .mixing import op2_pivotal_rounding
 from .packing import op10_minimum_bin_slack
+from .pii import op9_candidate_boosting
+from .quotes import OP1_SQL, op1_quotation_linking
 from .rangejoin import op5_metric_range_join
 from .sharding import op4_fixed_virtual_slots
+from .suffixes import op7_sampled_suffix_sort
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        op1_quotation_linking,
         op2_pivotal_rounding,
         op3_ivf_pq,
         op4_fixed_virtual_slots,
         op5_metric_range_join,
         op6_language_bitmask_filters,
+        op7_sampled_suffix_sort,
         op8_chosen_path_join,
+        op9_candidate_boosting,
         op10_minimum_bin_slack,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quotation_linking": OP1_SQL}
