@@ -136,8 +136,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bound: int
                 found.setdefault(language, []).append(np.unique(grams(t)))  # a document counts once for an n-gram
         for language, parts in sorted(found.items()):
             h, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(h)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([language]), pa.array([None], pa.int64()), pa.array([len(parts)], pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([language], pa.string()), pa.array([None], pa.int64()), pa.array([len(parts)], pa.int64())], ["lang", "gram", "n"])
 
     counts = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     docs = counts.where("gram is null").select("lang", F.col("n").alias("docs"))

@@ -97,9 +97,11 @@ def threads(messages: DataFrame) -> DataFrame:
     out = out.join(links, (F.col("conv_id") == F.col("_pc")) & (F.col("turn") == F.col("_pt")), "left").drop("_pc", "_pt")
     in_order = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     out = out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "root_turn": F.when(in_order, F.coalesce("root_turn", "turn")), "depth": F.when(in_order, F.coalesce("depth", F.lit(0)))})
-    out = out.withColumn("_text", F.xxhash64("text"))  # orders rows that share their turn and role
-    placed = numbered(stored(out), ["conv_id"], ["root_turn", "turn", "role", "_text"], "position").drop("_text")
-    return placed.withColumn("position", F.when(in_order, F.col("position")))
+    # _text orders rows that share their turn and role.
+    out = stored(out.withColumns({"_text": F.xxhash64("text"), "_in_order": in_order}))
+    placed = numbered(out.where("_in_order"), ["conv_id"], ["root_turn", "turn", "role", "_text"], "position")
+    rest = out.where("not _in_order").withColumn("position", F.lit(None).cast("long"))
+    return placed.union(rest).drop("_text", "_in_order")
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

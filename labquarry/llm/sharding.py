@@ -3,7 +3,6 @@ map says which shard holds each slot. Rebalancing edits the map; no record is ha
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ class SlotMap:
         return SlotMap(tuple(i % n_shards for i in range(slots)))
 
     def rebalanced(self, slot_bytes: dict[int, int], n_shards: int | None = None) -> SlotMap:
-        """The next version: slots move, one at a time, from the fullest shard to the emptiest while that narrows their gap.
+        """The next version: slots move, one at a time, from the fullest shard that can to the emptiest, narrowing their gap.
 
         The slot moved is the one nearest to half the gap, ties to the smaller slot. Slots without bytes stay.
         The work depends on the number of slots alone.
@@ -43,23 +42,21 @@ class SlotMap:
                 own[shards[slot]].append((size, slot))
         edits = []
         for _ in range(8 * len(shards)):
-            high = max(range(n), key=lambda s: (load[s], -s))
-            moved = False
-            for low in heapq.nsmallest(2, range(n), key=lambda s: (load[s], s)):
+            by_load = sorted(range(n), key=lambda s: (load[s], s))
+            low, move = by_load[0], None
+            for high in reversed(by_load[1:]):  # the fullest may hold nothing that can move
                 gap = load[high] - load[low]
-                best = min(((abs(2 * size - gap), slot, size) for size, slot in own[high] if size < gap), default=None)
-                if best:
-                    _, slot, size = best
-                    own[high].remove((size, slot))
-                    own[low].append((size, slot))
-                    load[high] -= size
-                    load[low] += size
-                    edits.append((self.version + 1, slot, high, low))
-                    shards[slot] = low
-                    moved = True
+                if move := min(((abs(2 * size - gap), slot, size) for size, slot in own[high] if size < gap), default=None):
                     break
-            if not moved:
+            if not move:
                 break
+            _, slot, size = move
+            own[high].remove((size, slot))
+            own[low].append((size, slot))
+            load[high] -= size
+            load[low] += size
+            edits.append((self.version + 1, slot, high, low))
+            shards[slot] = low
         return SlotMap(tuple(shards), self.version + 1, self.edits + tuple(edits))
 
     def frame(self, spark: SparkSession) -> DataFrame:

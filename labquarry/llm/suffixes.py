@@ -92,6 +92,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 class Shape:
     length: int = LENGTH
     core: int = CORE
+    segment: int = SEGMENT
 
     @property
     def windows(self) -> int:
@@ -120,17 +121,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.ndarra
     return p, p - start[last], p - start[first], digests
 
 
-def _segments(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def _segments(lengths: np.ndarray, segment: int) -> Iterator[tuple[int, int, int, int]]:
     """(first text, after the last, from byte, to byte): some whole texts, or a part of one long one."""
     k = 0
     while k < len(lengths):
-        if lengths[k] > SEGMENT:
-            for a in range(0, int(lengths[k]), SEGMENT):
-                yield k, k + 1, a, min(a + SEGMENT, int(lengths[k]))
+        if lengths[k] > segment:
+            for a in range(0, int(lengths[k]), segment):
+                yield k, k + 1, a, min(a + segment, int(lengths[k]))
             k += 1
             continue
         m, total = k, 0
-        while m < len(lengths) and total + lengths[m] <= SEGMENT:
+        while m < len(lengths) and total + lengths[m] <= segment:
             total += lengths[m]
             m += 1
         yield k, m, 0, total
@@ -154,7 +155,7 @@ def anchor_records(texts: DataFrame, shape: Shape) -> DataFrame:
             encoded = [(x or "").encode() for x in batch.column("text").to_pylist()]
             rids = np.asarray(batch.column("rid"))
             lengths = np.array([len(x) for x in encoded], np.int64)
-            for a, b, low, high in _segments(lengths):
+            for a, b, low, high in _segments(lengths, shape.segment):
                 margin_low = max(0, low - reach)
                 part = [encoded[a][margin_low : high + shape.length + reach]] if b - a == 1 else encoded[a:b]
                 data = np.frombuffer(b"".join(part), np.uint8)
@@ -257,7 +258,8 @@ def refined(records: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
 def _pieces(texts: DataFrame, places: DataFrame, shape: Shape, size: int) -> DataFrame:
     """Records of the pieces of `size` windows of the places (rid, at, own, low, high): offsets low to high of the windows of an anchor.
 
-    at is the last window's start plus the union's length over 2^20, kept as anchor * 1024 + first offset.
+    at holds the anchor times 1024 plus the piece's first offset, which the digests are salted with: pieces of two
+    anchors that happen to cover the same bytes are not each other's repeats.
     """
     spread = places.groupBy("rid").agg(F.collect_list(F.struct("at", "own", "low", "high")).alias("places"))  # bounded by the text's length
     joined = texts.join(spread, "rid")
@@ -270,12 +272,12 @@ def _pieces(texts: DataFrame, places: DataFrame, shape: Shape, size: int) -> Dat
                 at, own, low, high = (np.asarray(flat.field(k)).astype(np.int64) for k in range(4))
                 order = np.argsort(at, kind="stable")
                 at, own, low, high = at[order], own[order], low[order], high[order]
-                for a in range(0, len(whole_text), SEGMENT):
-                    i, j = np.searchsorted(at, [a, a + SEGMENT])
+                for a in range(0, len(whole_text), shape.segment):
+                    i, j = np.searchsorted(at, [a, a + shape.segment])
                     if i == j:
                         continue
                     base = max(0, a - shape.windows)
-                    data = whole_text[base : a + SEGMENT + shape.length + shape.windows]
+                    data = whole_text[base : a + shape.segment + shape.length + shape.windows]
                     digests = Digests(data)
                     p = at[i:j] - base
                     o_low, o_high = np.maximum(own[i:j] // 1024, low[i:j]), np.minimum(own[i:j] % 1024, high[i:j])
@@ -329,13 +331,13 @@ def repeated_windows(texts: DataFrame, shape: Shape) -> DataFrame:
     return stored(found.distinct())
 
 
-def removed(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, core: int = CORE, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of docs (doc_id, text), one row for each row.
 
     kept: the remaining bytes. Null texts count as empty; texts shorter than `length` bytes lose nothing. Repeated
     rows repeat each other's strings and go whole, as equal texts do; extra columns are ignored.
     """
-    shape = Shape(length, core)
+    shape = Shape(length, core, segment)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("rid", F.xxhash64("doc_id", F.md5("text")))
     long_ones = keyed.where(F.octet_length("text") >= length).select("rid", "text")
