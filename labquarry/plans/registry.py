@@ -33,9 +33,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_linestatus").agg(F.sum("l_extendedprice").alias("revenue"))
 
 
+def _load() -> None:
+    from . import tabular_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
