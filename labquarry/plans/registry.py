@@ -34,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import tabular_queries  # noqa: F401
+    from . import analysis_queries, tabular_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
