@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -28,13 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    li = li.where((F.col("l_quantity") > 30) & (F.col("l_returnflag") == "R"))
-    return li.groupBy("l_linestatus").agg(F.sum("l_extendedprice").alias("revenue"))
+    _load()
+    return _queries["operator_graph"](spark, sf_dir)
 
 
 def _load() -> None:
-    from . import analysis_queries, tabular_queries  # noqa: F401
+    from . import analysis_queries, domain_queries, tabular_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
