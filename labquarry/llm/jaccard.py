@@ -285,3 +285,22 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone = keyed.where("_key is null").select(*names)
     first = keyed.where("_key is not null and doc_id <=> _class").dropDuplicates(["_group"]).select(*names)
     return alone.union(first)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), h AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k / (x.n + y.n - k) >= 0.8
+), l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h), r AS (
+  SELECT doc_id AS id, doc_id AS c FROM documents
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+), c AS (SELECT id, min(c) AS class_id FROM r GROUP BY 1), d AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT doc_id, class_id, coalesce(d.n, 0) AS n_links FROM documents JOIN c ON id = doc_id LEFT JOIN d ON a = doc_id
+"""

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op3_ivf_pq
-from .jaccard import op8_chosen_path_join
+from .jaccard import OP8_SQL, op8_chosen_path_join
 from .langid import op6_language_bitmask_filters
 from .mixing import op2_pivotal_rounding
 from .packing import op10_minimum_bin_slack
 from .pii import op9_candidate_boosting
 from .quotes import OP1_SQL, op1_quotation_linking
-from .rangejoin import op5_metric_range_join
+from .rangejoin import OP5_SQL, op5_metric_range_join
 from .sharding import op4_fixed_virtual_slots
 from .suffixes import op7_sampled_suffix_sort
 
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op5_metric_range_join": OP5_SQL, "op8_chosen_path_join": OP8_SQL}

@@ -195,3 +195,19 @@ def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     out = linked(vectors).withColumnRenamed("id", "vec_id")
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS id, vec_id AS c FROM embeddings
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+), c AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id
+"""
