@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..operators import advanced, evaluation, figures, images, models, molecules, neighbours, screening, statistics, tabular, tracking
+from ..operators import advanced, evaluation, figures, images, models, molecules, neighbours, screening, shapes, statistics, tabular, tracking
 
 
 class GraphError(ValueError):
@@ -21,7 +21,7 @@ class GraphError(ValueError):
 def operators() -> dict[str, Callable]:
     """All operators by module.name."""
     found = {}
-    for module in (tabular, statistics, advanced, evaluation, tracking, neighbours, models, images, molecules, screening, figures):
+    for module in (tabular, statistics, advanced, evaluation, tracking, neighbours, models, images, shapes, molecules, screening, figures):
         short = module.__name__.rpartition(".")[2]
         for name, f in vars(module).items():
             if callable(f) and not name.startswith("_") and getattr(f, "__module__", "") == module.__name__:
