@@ -95,8 +95,8 @@ class _Parser:
                 self.take()
                 if op == "not":
                     self.take("in")
-                member = F.coalesce(left.isin(self.list()), F.lit(False))
-                part = member if op == "in" else ~member
+                member = left.isin(self.list())
+                part = member if op == "in" else ~F.coalesce(member, F.lit(False))
                 out = part if out is None else out & part
         return left if out is None else out
 
@@ -182,9 +182,9 @@ class _Parser:
     @staticmethod
     def apply(op: str, a: Column, b: Column) -> Column:
         if op in ("and", "&&", "&"):
-            return F.coalesce(a, F.lit(False)) & F.coalesce(b, F.lit(False))
+            return a & b
         if op in ("or", "||", "|"):
-            return F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+            return a | b
         if op == "/":
             return F.try_divide(a.cast("double"), b.cast("double"))
         if op == "//":
@@ -209,13 +209,15 @@ def _literal(kind: str, value: str, sign: int = 1):
 def _compare(op: str, a: Column, b: Column) -> Column:
     if op == "!=":
         return ~a.eqNullSafe(b) | a.isNull()
-    out = {"==": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-    return F.coalesce(out, F.lit(False))
+    return {"==": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 
 def compiled(df: DataFrame, text: str) -> tuple[DataFrame, Column, list[str]]:
     """(df, column, names): the column that the text stands for, over df.
 
+    Where a comparison meets a missing value the column is null, which a filter takes for false; so plain comparisons
+    reach the scan. What is negated is made false first.
+
     Statistics of whole columns are one row of aggregates, added to each row as the columns `names`.
     """
     parser = _Parser(text, df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
 from .tabular import OperatorError, q
 
 
@@ -141,30 +142,31 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
     Cores have min_samples rows, themselves included, within eps; clusters are the connected cores, found by passing
     the smallest key along links until nothing changes; other rows join the smallest cluster of a core within eps.
     """
-    near = within(df, key, columns, eps).cache()
-    try:
-        cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("core"))
-        if min_samples <= 1:
-            cores = df.select(q(key).alias("core"))
-        links = near.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi").cache()
-        label = cores.select("core", F.col("core").alias("label"))
-        for _ in range(64):
-            passed = links.join(label, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m"))
-            after = label.join(passed, F.col("core") == F.col("a"), "left").select("core", F.least("label", F.coalesce("m", "label")).alias("label"))
-            # A root's own label may have fallen: jump to it, which halves the way that is left.
-            roots = after.select(F.col("core").alias("_root"), F.col("label").alias("_jump"))
-            after = after.join(roots, F.col("label") == F.col("_root")).select("core", F.col("_jump").alias("label")).cache()
-            changed = after.join(label.withColumnRenamed("label", "old"), "core").where("label <> old").isEmpty()
-            label = after
-            if changed:
-                break
-        reach = near.join(label, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m")).select(F.col("a").alias("_a"), "m")
-        names = label.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
-        out = df.drop("cluster").join(label.withColumnRenamed("label", "own"), q(key) == F.col("core"), "left").join(reach, q(key) == F.col("_a"), "left")
-        out = out.withColumn("_of", F.coalesce("own", "m")).join(names, F.col("_of") == F.col("label"), "left")
-        return out.select(*(q(c) for c in df.columns if c != "cluster"), F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster"))
-    finally:
-        near.unpersist()
+    near = stored(within(df, key, columns, eps))
+    cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("core"))
+    if min_samples <= 1:
+        cores = df.select(q(key).alias("core"))
+    cores = stored(cores)
+    links = near.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi")
+    links = stored(links.select("a", "b"))
+    label = cores.select("core", F.col("core").alias("label"))
+    while True:
+        passed = links.join(label, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m"))
+        both = label.join(passed, F.col("core") == F.col("a"), "left").select("core", "label", F.least("label", F.coalesce("m", "label")).alias("low"))
+        # A label's own label may be lower still, and what a core learns goes to the core that its label names.
+        told = both.groupBy(F.col("label").alias("core")).agg(F.min("low").alias("told"))
+        both = both.join(told, "core", "left").select("core", F.col("label").alias("old"), F.least("low", F.coalesce("told", "low")).alias("label"))
+        both = stored(both)
+        jump = both.select(F.col("core").alias("_at"), F.col("label").alias("_jump"))
+        after = stored(both.join(jump, F.col("label") == F.col("_at")).select("core", "old", F.col("_jump").alias("label")))
+        label = after.select("core", "label")
+        if after.where("label <> old").isEmpty():
+            break
+    reach = near.join(label, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m")).select(F.col("a").alias("_a"), "m")
+    names = label.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
+    out = df.drop("cluster").join(label.withColumnRenamed("label", "own"), q(key) == F.col("core"), "left").join(reach, q(key) == F.col("_a"), "left")
+    out = out.withColumn("_of", F.coalesce("own", "m")).join(names, F.col("_of") == F.col("label"), "left")
+    return out.select(*(q(c) for c in df.columns if c != "cluster"), F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster"))
 
 
 UNCLUSTERED = -1

@@ -152,6 +152,8 @@ def math_column(df: DataFrame, formula: str) -> DataFrame:
         return df
     name, text = assignment(formula)
     df, value, extra = compiled(df, text)
+    if isinstance(df.select(value).schema[0].dataType, T.BooleanType):
+        value = F.coalesce(value, F.lit(False))  # a comparison with a missing value is false
     return df.withColumn(name, value).drop(*extra)
 
 

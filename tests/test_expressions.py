@@ -43,3 +43,13 @@ def test_filter(df, text, ids):
 def test_rejected(df, text):
     with pytest.raises(ExpressionError):
         t.filter_rows(df, text)
+
+
+def test_comparisons_reach_the_scan(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = t.filter_rows(li, "l_quantity > 30 and l_returnflag == 'R'").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "l_quantity,30.0), EqualTo(l_returnfl" in plan and "l_extendedprice" not in plan
+
+
+def test_flags_are_never_missing(df):
+    assert [r["f"] for r in t.math_column(df, "f = `my x` > 0").orderBy("id").collect()] == [True, False, False, True]
