@@ -5,7 +5,7 @@ of one hash function. A run starts from one coordinate and sends a text down the
 the same path meet in a bucket. Buckets that are not small are split on further coordinates, sampled by the path, two
 for each level, so that a pair keeps a path in common with high probability. Small buckets are compared by brute force:
 first the sketches, then the exact sets of those texts that have a likely partner. Buckets that no split makes small
-(texts all alike) are compared in a grid of blocks, no block being larger than the square root of the bucket or 64.
+(texts all alike) are compared in a grid of blocks, no block being larger than 256 or the square root of the bucket.
 Runs repeat until a pair at the threshold is missed with a probability below 1 - RECALL.
 
 Each pair is counted in the first bucket that holds both texts and in no other, so nothing has to list all pairs: a
@@ -37,7 +37,7 @@ SMALL_BUCKET = 128
 LEVELS = 2
 BRANCHES = 2
 #: Buckets still larger are compared in blocks of at least so many texts.
-BLOCK = 64
+BLOCK = 256
 #: Sketches agree on this share of coordinates for less than one in 100,000 pairs below it.
 SKETCH_MARGIN = 0.27
 
