@@ -202,10 +202,12 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def looked_up(records: DataFrame, digest: str, rows: int) -> DataFrame:
-    """records, stored, with hit (the string is found twice or more) and first (one or more rows of each such string).
+def looked_up(records: DataFrame, digest: str, rows: int, hits_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """records, with hit (the string is found twice or more) and first (one or more rows of each such string); and the
+    stored table that the result reads, to be dropped after it.
 
-    rows: how many records there are, about. Sorted by lead and digest as the module says.
+    rows: how many records there are, about. Sorted by lead and digest as the module says. If only hits are wanted,
+    others are left out as soon as they are known, but for the ends of buckets, which may be hits yet.
     """
     spark = records.sparkSession
     n = max(partitions(spark), -(-rows // BUCKET))
@@ -225,8 +227,9 @@ def looked_up(records: DataFrame, digest: str, rows: int) -> DataFrame:
         state = (before | after).astype(np.int8)
         ends = np.zeros(len(lead), bool)
         ends[[0, -1]] = True  # they may be like the ends of the buckets beside this one
-        t = t.take(pa.array(order))
-        flags = [pa.array(state == 1), pa.array(~before & after), pa.array(ends)]
+        keep = np.flatnonzero((state == 1) | ends) if hits_only else np.arange(len(order))
+        t = t.take(pa.array(order[keep]))
+        flags = [pa.array(x[keep]) for x in (state == 1, ~before & after, ends)]
         for b in t.to_batches(max_chunksize=10_000):
             at = [x.slice(0, b.num_rows) for x in flags]
             flags = [x.slice(b.num_rows) for x in flags]
@@ -239,20 +242,24 @@ def looked_up(records: DataFrame, digest: str, rows: int) -> DataFrame:
     inner, at_end = out.where("not end"), out.where("end")
     met = at_end.join(ends, (F.col("lead") == F.col("_lead")) & (F.col(digest) == F.col("_digest")), "left")
     met = met.select(*names, F.coalesce("_met", "hit").alias("hit"), F.coalesce("_met", "first").alias("first"))
-    return inner.select(*names, "hit", "first").union(met)
+    return inner.select(*names, "hit", "first").union(met), out
 
 
 def refined(records: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """(settled, open): records whose union is found twice; and those that need a closer look, with one
     record of each settled union that shares its core with one of them, as something to compare with."""
-    cores = stored(looked_up(records, "core", rows).where("hit").select(*records.columns))
-    n = cores.count()
-    wholes = stored(looked_up(cores.where("whole is not null"), "whole", n))
-    open_ = wholes.where("not hit").select(*records.columns).union(cores.where("whole is null").select(*records.columns))
+    found, table = looked_up(records, "core", rows)
+    cores = stored(found.where("hit").select(*records.columns))
+    drop_stored(table)
+    found, table = looked_up(cores.where("whole is not null"), "whole", cores.count(), False)
+    open_ = found.where("not hit").select(*records.columns).union(cores.where("whole is null").select(*records.columns))
     wanted = open_.select(F.col("lead").alias("_lead"), F.col("core").alias("_core")).distinct()
-    like = wholes.where("hit and first").select(*records.columns).join(wanted, (F.col("lead") == F.col("_lead")) & (F.col("core") == F.col("_core")), "left_semi")
-    open_ = stored(open_.withColumn("needed", F.lit(True)).union(like.withColumn("needed", F.lit(False))))
-    return wholes.where("hit").select("rid", "at", "own"), open_
+    like = found.where("hit and first").select(*records.columns).join(wanted, (F.col("lead") == F.col("_lead")) & (F.col("core") == F.col("_core")), "left_semi")
+    open_ = stored(open_.union(like))
+    settled = stored(found.where("hit").select("rid", "at", "own"))
+    drop_stored(table)
+    drop_stored(cores)
+    return settled, open_
 
 
 def _pieces(texts: DataFrame, places: DataFrame, shape: Shape, size: int) -> DataFrame:
@@ -315,15 +322,17 @@ def repeated_windows(texts: DataFrame, shape: Shape) -> DataFrame:
     out = [settled.select("rid", (F.col("at") - last).alias("low"), F.col("at").alias("high"))]
     # Anchors with windows undecided, in pieces; those that only serve for comparison have no windows to settle.
     places = left.select("rid", "at", "own", F.lit(0).alias("low"), F.lit(last).alias("high")).distinct()
-    pieces = stored(_pieces(texts, places, shape, PIECE))
     drop_stored(start)
+    pieces = stored(_pieces(texts, places, shape, PIECE))
+    drop_stored(left)
     settled, left = refined(pieces, pieces.count())
     anchor, offset = F.expr("at div 1024"), F.col("at") % 1024
     out.append(settled.select("rid", (anchor - offset - (PIECE - 1)).alias("low"), (anchor - offset).alias("high")))
     places = left.select("rid", anchor.alias("at"), "own", offset.cast("int").alias("low"), (offset + PIECE - 1).cast("int").alias("high")).distinct()
-    windows = stored(_pieces(texts, places, shape, 1))
     drop_stored(pieces)
-    hits = looked_up(windows, "core", windows.count()).where("hit")
+    windows = stored(_pieces(texts, places, shape, 1))
+    drop_stored(left)
+    hits = looked_up(windows, "core", windows.count())[0].where("hit")
     out.append(hits.select("rid", (anchor - offset).alias("low"), (anchor - offset).alias("high")))
     found = out[0]
     for x in out[1:]:
