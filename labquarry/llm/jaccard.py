@@ -36,6 +36,8 @@ COORDINATES = 64
 SMALL_BUCKET = 128
 LEVELS = 2
 BRANCHES = 2
+#: A bucket that a split has left with more than this share of its texts is not split again.
+DENSE = 0.6
 #: Buckets still larger are compared in blocks of at least so many texts.
 BLOCK = 256
 #: Sketches agree on this share of coordinates for less than one in 100,000 pairs below it.
@@ -101,21 +103,21 @@ def _coordinate(k) -> F.Column:
 def leaves(reps: DataFrame, run_count: int) -> DataFrame:
     """(rep, path, n): the buckets of two texts or more that paths end in. reps (rep, sig) is read several times."""
     first = reps.select("rep", "sig", F.explode(F.array(*map(F.lit, range(run_count)))).alias("run"))
-    now = first.select("rep", F.xxhash64("run", _coordinate(F.col("run"))).alias("path"))
+    now = first.select("rep", F.xxhash64("run", _coordinate(F.col("run"))).alias("path"), F.lit(None).cast("long").alias("parent_n"))
     done = None
     for level in range(LEVELS + 1):
         sizes = now.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         now = stored(now.join(sizes, "path"))
-        small = now if level == LEVELS else now.where(F.col("n") <= SMALL_BUCKET)
+        # Texts all alike stay together however often they are split: such a bucket is left as it is.
+        apart = (F.col("n") > SMALL_BUCKET) & (F.lit(level < LEVELS)) & (F.col("parent_n").isNull() | (F.col("n") <= DENSE * F.col("parent_n")))
+        small = now.where(~apart)
         done = small if done is None else done.union(small)
-        if level == LEVELS:
-            break
-        large = now.where(F.col("n") > SMALL_BUCKET).select("rep", "path")
-        if large.isEmpty():
+        large = now.where(apart).select("rep", "path", "n")
+        if level == LEVELS or large.isEmpty():
             break
         large = large.withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES))))).join(reps, "rep")
         at = F.pmod(F.xxhash64("path", "branch"), F.lit(COORDINATES - run_count)) + run_count
-        now = large.select("rep", F.xxhash64("path", "branch", at, _coordinate(at.cast("int"))).alias("path"))
+        now = large.select("rep", F.xxhash64("path", "branch", at, _coordinate(at.cast("int"))).alias("path"), F.col("n").alias("parent_n"))
     return done.select("rep", "path", "n")
 
 
