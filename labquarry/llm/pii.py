@@ -15,7 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -36,8 +37,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Cheap tests that a text must pass to be searched at all.
-GUARD = {"email": "%@%", "ip": "%.%", "card": "%", "phone": "%+%"}
+#: Cheap tests that a text must pass to be searched at all: one of these parts (to LIKE) is in it.
+GUARD = {"email": ("%@%",), "ip": ("%.%",), "card": ("%",), "phone": ("%+%",)}
 
 # Looser forms: what stands for the kind in writing that avoids or varies the plain form.
 LOOSE = {
@@ -46,7 +47,7 @@ LOOSE = {
     "card": r"(?<![0-9.])[0-9]{4}+(?:[.\x20/_-]{1,2}+[0-9]{4}+){2}+[.\x20/_-]{1,2}+[0-9]{2,4}+(?![0-9.])",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}+\)?[\x20.-]{1,2}+[0-9]{3}+[\x20.-][0-9]{4}+(?![0-9.-])",
 }
-LOOSE_GUARD = {"email": "%[%", "ip": "%[.]%", "card": "%", "phone": "%"}
+LOOSE_GUARD = {"email": ("%[%", "%(%"), "ip": ("%[.]%",), "card": ("%",), "phone": ("%",)}
 _CONTEXT = {
     "email": r"(?i)(e-?mail|contact|write|reach|address|correo|courriel)",
     "ip": r"(?i)(\bip\b|host|server|address|client|login)",
@@ -118,8 +119,9 @@ def _found(text: Column, pattern: str, guard: Column, keep: Callable[[Column], C
     return F.when(guard & text.rlike(pattern), matches(text, pattern, keep)).otherwise(F.array().cast(_SPAN))
 
 
-def _guard(text: Column, kind: str, like: str) -> Column:
-    return text.like(like) if kind == "email" else text.like(like) & text.rlike("[0-9]")
+def _guard(text: Column, kind: str, likes: tuple[str, ...]) -> Column:
+    some = reduce(or_, map(text.like, likes))
+    return some if kind == "email" else some & text.rlike("[0-9]")
 
 
 def base_spans(text: Column) -> Column:

@@ -57,6 +57,13 @@ def test_looser_forms(spark, model):
     assert red[0] == "call me on [PHONE] today" and red[4] == texts[4]
 
 
+def test_round_brackets(spark, model):
+    texts = ["ann(at)mail3.org", "write to ann (at) mail3 (dot) com now", "ann(AT)mail3(DOT)org", "ann [at] mail3 (dot) com", "ann (at home) mail3.org"]
+    got, red = spans(spark, model, texts)
+    assert [[s[3] for s in g] for g in got] == [["email"]] * 4 + [[]]
+    assert red == ["[EMAIL]", "write to [EMAIL] now", "[EMAIL]", "[EMAIL]", texts[4]]
+
+
 def test_trees_are_sure_of_held_out_candidates(spark, model):
     assert set(model.thresholds) == set(pii.KINDS) and all(0 < t < 1 for t in model.thresholds.values())
 
