@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,22 +87,70 @@ def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     raise OperatorError(f"no metric {metric!r}")
 
 
-#: A training set up to this size is broadcast to the rows that look for neighbours; a larger one is refused.
-BROADCAST_ROWS = 200_000
+#: Rows of a block of the training set, and of the rows that look for neighbours: what one task compares at a time.
+TRAIN_BLOCK, ROW_BLOCK = 4096, 4096
 
 
-def knn(train: DataFrame, rows: DataFrame, key: str, train_key: str, vector: str, k: int = 5, metric: str = "euclidean") -> DataFrame:
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """distance() of every row of a with every row of b, summed in the same order; NaN where there is none."""
+    out = np.zeros((len(a), len(b)))
+    dot, ones, twos = np.zeros_like(out), np.zeros((len(a), 1)), np.zeros((1, len(b)))
+    for x, y in zip(a.T[:, :, None], b.T[:, None, :], strict=True):
+        if metric == "cosine":
+            dot, ones, twos = dot + x * y, ones + x * x, twos + y * y
+        elif metric == "chebyshev":
+            out = np.maximum(out, np.abs(x - y))
+        else:
+            out += np.abs(x - y) if metric == "cityblock" else (x - y) * (x - y)
+    if metric == "cosine":
+        norm = np.sqrt(ones * twos)
+        return 1 - np.divide(dot, norm, out=np.full_like(dot, np.nan), where=norm != 0)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def _nearest(rows: pd.DataFrame, train: pd.DataFrame, k: int, metric: str, leave_own: bool) -> pd.DataFrame:
+    """(key, neighbour, distance): the k nearest of a block of the training set for each of a block of rows."""
+    rows, train = rows.reset_index(drop=True), train.sort_values("neighbour", kind="stable").reset_index(drop=True)
+    as_array = lambda v: np.zeros(0) if v is None else np.asarray(v, float)
+    a, b = [as_array(v) for v in rows["_v"]], [as_array(v) for v in train["_t"]]
+    width, lengths = (np.array([len(v) for v in x], int) for x in (a, b))
+    keys, others, got = rows["key"].to_numpy(), train["neighbour"].to_numpy(), []
+    for start in range(0, len(a), 256):
+        d = np.full((min(256, len(a) - start), len(b)), np.nan)
+        for n in set(width[start : start + 256].tolist()) & set(lengths.tolist()) - {0}:
+            i, j = np.flatnonzero(width[start : start + 256] == n), np.flatnonzero(lengths == n)
+            d[np.ix_(i, j)] = _distances(np.stack([a[start + x] for x in i]), np.stack([b[x] for x in j]), metric)
+        known = np.where(np.isnan(d), np.inf, d)
+        for r in range(len(d)):
+            may = np.flatnonzero(others != keys[start + r]) if leave_own else np.arange(len(b))
+            if len(may) > k:
+                may = may[known[r, may] <= np.partition(known[r, may], k - 1)[k - 1]]
+            may = may[np.argsort(known[r, may], kind="stable")[:k]]
+            got.append((np.full(len(may), start + r), may, d[r, may]))
+    at, to, far = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pd.DataFrame({"key": rows["key"].iloc[at].reset_index(drop=True), "neighbour": train["neighbour"].iloc[to].reset_index(drop=True), "distance": far})
+
+
+def knn(train: DataFrame, rows: DataFrame, key: str, train_key: str, vector: str, k: int = 5, metric: str = "euclidean", leave_own: bool = False) -> DataFrame:
     """(key, neighbour, rank, distance): the k nearest training rows of each row, ties to the smaller key.
 
-    The training set's size is checked before it is broadcast. Each partition keeps k candidates a row.
+    Both sides are dealt into blocks by their keys, and each pair of blocks is compared by a task of its own, which
+    keeps k candidates a row; so either side may be of any size. leave_own leaves out training rows of the row's own
+    key. Training rows without a distance (a missing vector, another length) come last, their distance is null.
     """
-    n = train.limit(BROADCAST_ROWS + 1).count()
-    if n > BROADCAST_ROWS:
-        raise OperatorError(f"the training set has more than {BROADCAST_ROWS} rows; use an index")
+    if metric not in ("euclidean", "cityblock", "chebyshev", "cosine"):
+        raise OperatorError(f"no metric {metric!r}")
     t = train.select(q(train_key).alias("neighbour"), q(vector).alias("_t"))
-    d = rows.select(q(key).alias("key"), q(vector).alias("_v")).crossJoin(F.broadcast(t)).withColumn("distance", distance(F.col("_v"), F.col("_t"), metric)).drop("_v", "_t")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    d = rows.select(q(key).alias("key"), q(vector).alias("_v"))
+    parts, blocks = max(1, -(-t.count() // TRAIN_BLOCK)), max(1, -(-d.count() // ROW_BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = t.withColumn("_part", dealt("neighbour", parts)).withColumn("_block", every(blocks)).groupBy("_part", "_block")
+    d = d.withColumn("_block", dealt("key", blocks)).withColumn("_part", every(parts)).groupBy("_part", "_block")
+    types = {"key": rows.select(q(key)).dtypes[0][1], "neighbour": train.select(q(train_key)).dtypes[0][1]}
+    near = d.cogroup(t).applyInPandas(lambda a, b: _nearest(a, b, k, metric, leave_own), f"key {types['key']}, neighbour {types['neighbour']}, distance double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("distance").asc_nulls_last(), "neighbour"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "neighbour", "distance", "rank")
 
 
 def knn_classify(train: DataFrame, rows: DataFrame, key: str, train_key: str, vector: str, label: str, k: int = 5, weights: str = "uniform") -> DataFrame:
@@ -170,6 +220,8 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
 
 
 UNCLUSTERED = -1
+#: The greedy pass takes up to ten times as many pairs.
+BROADCAST_ROWS = 200_000
 
 
 def leader_clusters(df: DataFrame, key: str, fingerprint: str, n_bits: int, threshold: float = 0.35) -> DataFrame:

@@ -274,6 +274,13 @@ def knn(spark, d):
     return n.knn(v.where("vec_id % 100 <> 7"), v.where("vec_id % 100 = 7"), "vec_id", "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("""WITH q AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT vec_id AS neighbour, embedding::DOUBLE[] AS w FROM embeddings),
+d AS (SELECT key, neighbour, list_distance(v, w) AS distance FROM q, t WHERE key <> neighbour) SELECT key, neighbour, CAST(row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS INTEGER) AS rank, round(distance, 6) AS distance FROM d QUALIFY rank <= 5""")
+def knn_whole(spark, d):
+    v = table(spark, d, "embeddings")
+    return n.knn(v, v.where("vec_id % 50 = 0"), "vec_id", "vec_id", "embedding", 5, leave_own=True).withColumn("distance", F.round("distance", 6))
+
+
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.b::DOUBLE[], y.b::DOUBLE[]) AS z, list_sum(x.b) AS m, list_sum(y.b) AS n FROM b x JOIN b y ON x.vec_id < y.vec_id)
 SELECT a, b, round(z / (m + n - z), 8) AS similarity FROM p WHERE z / (m + n - z) >= 0.55""")
 def similarity_pairs(spark, d):

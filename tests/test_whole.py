@@ -1,5 +1,8 @@
 """Registered queries that take their tables whole."""
 
+import numpy as np
+
+from labquarry.operators import neighbours
 from labquarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +16,33 @@ def test_joins_take_every_key(spark):
     keys = {r[0] for r in customers.select("c_custkey").collect()}
     assert set(got["right"]["k"]) == keys and set(got["outer"]["k"]) >= keys
     assert all((g["k"] % 2 == 1).any() and (g["k"] % 3 == 0).any() for g in got.values())
+
+
+def test_knn_asks_all_rows(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = registry.queries()["knn_whole"](spark, SF).toPandas()
+    assert set(got["key"]) == {r[0] for r in v.where("vec_id % 50 = 0").select("vec_id").collect()} and not (got["key"] == got["neighbour"]).any()
+    assert got.groupby("key").size().eq(5).all()
+
+
+def test_knn_in_blocks_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 8)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 5))
+    x[60:80] = x[3]  # copies: ties go to the smaller key
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(500, None)], "id long, v array<double>")
+    forms = {"euclidean": lambda a: np.sqrt(((x - a) ** 2).sum(1)), "cityblock": lambda a: np.abs(x - a).sum(1), "chebyshev": lambda a: np.abs(x - a).max(1), "cosine": lambda a: 1 - x @ a / np.sqrt((x * x).sum(1) * (a @ a))}
+    for metric, form in forms.items():
+        got = neighbours.knn(df, df.where("id < 500 and id % 4 = 3"), "id", "id", "v", 4, metric, leave_own=True).toPandas()
+        for key in range(3, 120, 4):
+            d = np.round(form(x[key]), 9)
+            d[key] = np.inf
+            own = got[got["key"] == key].sort_values("rank")
+            assert own["neighbour"].tolist() == np.lexsort((np.arange(120), d))[:4].tolist() and np.allclose(own["distance"], np.sort(d)[:4], atol=1e-7)
+
+
+def test_knn_refuses_no_size(spark):
+    train = spark.range(200_500).selectExpr("id", "array(double(id)) AS v")
+    got = neighbours.knn(train, train.where("id = 200400"), "id", "id", "v", 3).orderBy("rank").collect()
+    assert [(r["neighbour"], r["distance"]) for r in got] == [(200400, 0.0), (200399, 1.0), (200401, 1.0)]
