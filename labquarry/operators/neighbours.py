@@ -220,34 +220,79 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
 
 
 UNCLUSTERED = -1
-#: The greedy pass takes up to ten times as many pairs.
-BROADCAST_ROWS = 200_000
+
+
+#: Fingerprints of a block, of which pairs are compared at a time.
+ALIKE_BLOCK = 2048
+
+
+def _alike(left: pd.DataFrame, right: pd.DataFrame, least: float, same: bool) -> pd.DataFrame:
+    """(a, b) and (b, a) of the pairs of two blocks, or within one, that are at least `least` alike."""
+    words = [[np.asarray(v, np.int64) for v in x["fp"]] for x in (left, right)]
+    most = max((len(v) for x in words for v in x), default=0)
+    lengths = [np.array([len(v) for v in x], int) for x in words]
+    bit = [np.unpackbits(np.array([np.pad(v, (0, most - len(v))) for v in x], np.int64).reshape(len(x), most).view(np.uint8), axis=1).astype(np.float32) for x in words]
+    n, keys, got = [x.sum(1, dtype=float) for x in bit], [x["k"].to_numpy() for x in (left, right)], []
+    for start in range(0, len(left), 512):
+        part = slice(start, start + 512)
+        z = (bit[0][part] @ bit[1].T).astype(float)
+        hit = (z / (n[0][part, None] + n[1] - z) >= least) & (lengths[0][part, None] == lengths[1])
+        got.append(np.argwhere(hit) + [start, 0])
+    i, j = np.concatenate(got).T if got else np.zeros((2, 0), int)
+    a, b = pd.Series(keys[0][i]), pd.Series(keys[1][j])
+    both = pd.DataFrame({"a": a, "b": b}) if same else pd.DataFrame({"a": pd.concat([a, b]), "b": pd.concat([b, a])})
+    return both[both["a"] != both["b"]]
+
+
+def _links(nodes: DataFrame, least: float, kind: str) -> DataFrame:
+    """(a, b) of all ordered pairs of different (k, fp) that are at least `least` alike, compared block by block."""
+    n = max(1, -(-nodes.count() // ALIKE_BLOCK))
+    own = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    x = nodes.select("k", "fp", own.alias("_own"))
+    a = x.select("k", "fp", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.lit(n - 1))).alias("_j"))
+    b = x.select("k", "fp", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
+    compare = lambda at, x, y: _alike(x, y, least, at[0] == at[1])
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def leader_clusters(df: DataFrame, key: str, fingerprint: str, n_bits: int, threshold: float = 0.35) -> DataFrame:
     """df with cluster: greedy clusters of rows at least 1 - threshold alike, largest neighbourhoods first.
 
-    The pairs are found in parallel; the greedy pass needs one order over all rows that have neighbours, so their
-    number is checked (at most BROADCAST_ROWS). Rows without neighbours are clusters of their own.
+    Equal fingerprints are one row with a weight: they have the same neighbours and always share a cluster. Different
+    ones are compared block by block, which is quadratic in their number. The greedy
+    pass runs in rounds over stored pairs. A row is a head if none of those it shares a neighbour with, or is a
+    neighbour of, has more neighbours left (ties to the smaller number or the larger text). Heads of one round have no
+    neighbour in common, so the clusters are those of taking the head of all rows one by one. Rows without neighbours
+    are clusters of their own.
     """
-    pairs = similarity_pairs(df, key, fingerprint, n_bits, 1 - threshold)
-    if pairs.limit(BROADCAST_ROWS * 10 + 1).count() > BROADCAST_ROWS * 10:
-        raise OperatorError("too many pairs for a greedy pass")
-    near: dict = {}
-    for a, b, _ in pairs.collect():
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    left, clusters = dict(near), {}
-    while left:
-        head = max(left, key=lambda x: (len(left[x]), [-x] if isinstance(x, (int, float)) else x))
-        members = {head, *left[head]}
-        for m in members:
-            clusters[m] = head
-            for other in left.pop(m, ()):
-                if other in left:
-                    left[other].discard(m)
-    spark = df.sparkSession
     kind = dict(df.dtypes)[key]
-    table = spark.createDataFrame(list(clusters.items()), f"_member {kind}, _head {kind}")
-    return df.drop("cluster").join(F.broadcast(table), q(key) == F.col("_member"), "left").withColumn("cluster", F.coalesce("_head", q(key))).drop("_member", "_head")
-
+    by_number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    first = F.min if by_number else F.max
+    rows = df.select(q(key).alias("k"), q(fingerprint).alias("fp"))
+    # Rows without a bit are alike to none, their copies included.
+    some = rows.where(_popcount(F.col("fp")) > 0)
+    nodes = stored(some.groupBy("fp").agg(first("k").alias("k"), F.count(F.lit(1)).alias("w")))
+    left, links = nodes.select("k", "w"), stored(_links(nodes.select("k", "fp"), 1 - threshold, kind))
+    rank = F.struct("n", *([(-F.col("k")).alias("tie")] if by_number else [F.col("k").alias("tie")]), "k")
+    done = None
+    while not left.isEmpty():
+        # What a row has left, then the best among its neighbours and itself, then the best among theirs.
+        count = links.join(left.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.sum("w").alias("more"))
+        at = left.join(count, F.col("k") == F.col("a"), "left").withColumn("n", F.col("w") + F.coalesce("more", F.lit(0)))
+        at = stored(at.select("k", "w", rank.alias("own")))
+        best = at.select("k", F.col("own").alias("best"))
+        for _ in range(2):
+            told = links.join(best.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.max("best").alias("told"))
+            best = best.join(told, F.col("k") == F.col("a"), "left").select("k", F.greatest("best", F.coalesce("told", "best")).alias("best"))
+        heads = stored(best.where(F.col("best.k") == F.col("k")).select(F.col("k").alias("head")))
+        taken = links.join(heads, F.col("a") == F.col("head"), "left_semi").select(F.col("b").alias("member"), F.col("a").alias("head"))
+        taken = stored(taken.union(heads.select(F.col("head").alias("member"), "head")))
+        done = taken if done is None else done.union(taken)
+        left = stored(at.join(taken, F.col("k") == F.col("member"), "left_anti").select("k", "w"))
+        links = links.join(taken, F.col("a") == F.col("member"), "left_anti").join(taken.withColumnRenamed("member", "_b"), F.col("b") == F.col("_b"), "left_anti")
+        links = stored(links)
+    out = df.drop("cluster")
+    if done is None:
+        return out.withColumn("cluster", q(key))
+    heads = nodes.join(done, F.col("k") == F.col("member")).select(F.col("fp").alias("_fp"), F.col("head").alias("_head"))
+    return out.join(heads, q(fingerprint) == F.col("_fp"), "left").withColumn("cluster", F.coalesce("_head", q(key))).drop("_fp", "_head")

@@ -46,3 +46,33 @@ def test_knn_refuses_no_size(spark):
     train = spark.range(200_500).selectExpr("id", "array(double(id)) AS v")
     got = neighbours.knn(train, train.where("id = 200400"), "id", "id", "v", 3).orderBy("rank").collect()
     assert [(r["neighbour"], r["distance"]) for r in got] == [(200400, 0.0), (200399, 1.0), (200401, 1.0)]
+
+
+def greedy(rows, threshold, best):
+    """Clusters one by one: (key, bits) -> {key: head}; best() picks of keys that tie."""
+    alike = lambda a, b: len(a | b) and len(a & b) / len(a | b) >= 1 - threshold
+    near = {k: {o for o, c in rows.items() if o != k and alike(b, c)} for k, b in rows.items()}
+    out = {}
+    while len(out) < len(rows):
+        sizes = {k: len(near[k] - out.keys()) for k in rows if k not in out}
+        head = best(k for k, n in sizes.items() if n == max(sizes.values()))
+        out |= {m: head for m in (near[head] | {head}) - out.keys()}
+    return out
+
+
+def test_leader_clusters_like_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ALIKE_BLOCK", 32)
+    rng = np.random.default_rng(5)
+    bits = [frozenset(np.flatnonzero(rng.random(24) < 0.35).tolist()) for _ in range(90)]
+    bits += [bits[k % 7] for k in range(40)] + [frozenset()] * 3  # copies, and rows alike to none
+    for kind, name, best in (("long", int, min), ("string", "k{:03}".format, max)):
+        rows = {name(k): b for k, b in enumerate(bits)}
+        df = spark.createDataFrame([(k, [sum(1 << (23 - i) for i in b)]) for k, b in rows.items()], f"id {kind}, fp array<long>")
+        got = {r["id"]: r["cluster"] for r in neighbours.leader_clusters(df, "id", "fp", 24, 0.45).collect()}
+        assert got == greedy(rows, 0.45, best)
+
+
+def test_leader_clusters_of_many_copies(spark):
+    df = spark.range(6600).selectExpr("id", "array(IF(id % 3 = 0, 7L, 7L + (id % 500) * 8)) AS fp")
+    got = neighbours.leader_clusters(df, "id", "fp", 16, 0.45)
+    assert got.count() == 6600 and got.where("id % 3 = 0").select("cluster").distinct().count() == 1
