@@ -183,8 +183,14 @@ def op6_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in no language (null texts, no letter) go, all others stay as they are."""
+    """Pipeline stage: documents in no language go, all others stay as they are.
+
+    In no language are null texts, texts without a letter, and those with no more n-grams of any language than the
+    filter's false positives account for. If no language could be learnt, all texts with a letter stay.
+    """
     names = docs.columns
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    kept = predict(docs.withColumn("_text", F.col("text")), model, "_text").where(F.col("lang_pred") != UNKNOWN)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    kept = predict(docs.withColumn("_text", F.col("text")), model, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
     return kept.select(*names)

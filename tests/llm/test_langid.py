@@ -42,3 +42,11 @@ def test_stage_keeps_clean_documents(spark):
     more = docs.union(spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "12 34", "en", "s", 5)], docs.schema))
     got = langid.keep_identified(spark, more, SF)
     assert got.columns == docs.columns and got.count() == docs.count()
+
+
+def test_stage_drops_untaught_scripts(spark):
+    rows = [(k, t, lang, "s", 1) for k, (t, lang) in enumerate([("the cat and the dog are in the house", "en"), ("der hund und die katze sind im haus", "de")] * 40)]
+    docs = spark.createDataFrame([*rows, (900, "汉字漢語", None, "s", 4), (901, "the house", None, "s", 9), (902, "12 34", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in langid.keep_identified(spark, docs, "").collect()} == {*range(80), 901}
+    untaught = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in langid.keep_identified(spark, untaught, "").collect()} == {*range(80), 900, 901}
