@@ -5,18 +5,50 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        key = spark.sparkContext.applicationId
+        found = _own_folder.get(key)
+        if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            found = _own_folder[key] = tempfile.mkdtemp(prefix="labquarry-")
+    return found.rstrip("/")
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/labquarry-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """df written once to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        key = spark.sparkContext.applicationId
-        folder = _own_folder.get(key) or _own_folder.setdefault(key, tempfile.mkdtemp(prefix="labquarry-"))
-    path = f"{folder.rstrip('/')}/labquarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Deletes the files of stored() tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                if "/labquarry-" in folder:
+                    _delete(df.sparkSession, folder)
+
+
+def drop_all_stored(spark: SparkSession) -> None:
+    """Deletes what this application has stored: call it when no result of an operator is to be read any more."""
+    _delete(spark, _application_folder(spark))
