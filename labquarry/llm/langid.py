@@ -15,17 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import read
+from .common import drop_stored, read, stored
 
 SIZES = (2, 3, 4)
 POSITIONS = 1 << 20
 HASHES = 3
 #: About so many labelled documents, chosen by hash, teach the filter: the documented bound of the training sample.
 TRAINING_DOCUMENTS = 6000
-#: Of each language, the commonest n-grams that make up its profile.
-PROFILE = 20_000
+#: The stage may reject about this share of documents like the labelled ones, at most.
+REJECTED = 0.001
 UNKNOWN = "und"
 
 
@@ -118,16 +117,21 @@ def _popcounts(masks: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     return (((values[:, None] >> shifts) & np.uint64(1)) * n[:, None].astype(np.uint64)).sum(0).astype(float)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bound: int = TRAINING_DOCUMENTS, profile: int = PROFILE, positions: int = POSITIONS) -> LanguageFilter:
+def taught_by(labelled: DataFrame, text: str = "text", lang: str = "lang", bound: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """(text, lang): about `bound` rows chosen by their text's hash; rows with a null text or language teach nothing."""
+    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    share = min(1.0, bound / max(1, labelled.count()))
+    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bound: int = TRAINING_DOCUMENTS, positions: int = POSITIONS) -> LanguageFilter:
     """A filter learnt from about `bound` rows chosen by their text's hash; rows with a null language teach nothing.
 
     An n-gram enters a language's profile if its rate there is at least a quarter of its highest rate in any
-    language: passages of one language in documents of another do not blur the profiles.
+    language: passages of one language in documents of another do not blur the profiles. All such n-grams that two
+    documents have enter (or one, where a language has fewer than 20); the training sample alone bounds their number.
     """
-    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    total = labelled.count()
-    share = min(1.0, bound / max(1, total))
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    picked = taught_by(labelled, text, lang, bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[np.ndarray]] = {}
@@ -139,21 +143,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bound: int
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([language], pa.string()), pa.array([None], pa.int64()), pa.array([len(parts)], pa.int64())], ["lang", "gram", "n"])
 
-    counts = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = stored(picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     docs = counts.where("gram is null").select("lang", F.col("n").alias("docs"))
     rates = counts.where("gram is not null").join(F.broadcast(docs), "lang").withColumn("rate", F.col("n") / F.col("docs"))
     # One row for each language: bounded by the training sample, as the n-grams are.
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
     kept = rates.join(top, "gram").where("rate >= top / 4 and (n >= 2 or docs < 20)")
-    best = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= profile)
-    profiles: dict[str, list[int]] = {r["lang"]: [] for r in docs.collect()}
-    for r in best.select("lang", "gram").collect():  # at most `profile` rows a language
-        profiles[r["lang"]].append(r["gram"])
-    return LanguageFilter.of({k: np.array(v, np.int64).view(np.uint64) for k, v in profiles.items()}, positions)
+    profiles = {r["lang"]: np.zeros(0, np.uint64) for r in docs.collect()}
+    for language, some in kept.select("lang", "gram").toPandas().groupby("lang")["gram"]:  # n-grams of the bounded sample
+        profiles[language] = np.sort(some.to_numpy(np.int64)).view(np.uint64)
+    drop_stored(counts)
+    return LanguageFilter.of(profiles, positions)
 
 
 def predict(df: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """df with lang_pred and score (columns of those names are replaced); `und`, 0 for null texts and texts without a letter."""
+    """df with lang_pred and score (columns of those names are replaced); `und`, 0 for null texts and texts without a letter.
+
+    Ties go to the language that comes first by name; very long texts are read whole; repeated rows get equal results;
+    an empty table stays empty.
+    """
     df = df.drop("lang_pred", "score")
     shared = df.sparkSession.sparkContext.broadcast(model)  # POSITIONS words, whatever the corpus
     names = df.columns
@@ -182,15 +190,31 @@ def op6_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in no language go, all others stay as they are.
+def least_score(labelled: DataFrame, model: LanguageFilter, share: float = REJECTED, bound: int = TRAINING_DOCUMENTS) -> float:
+    """Half the score that all but `share` of the rows that teach (text, lang) reach; 0 if there are none."""
+    scores = predict(taught_by(labelled, bound=bound).select("text"), model).where(F.col("lang_pred") != UNKNOWN)
+    found = scores.agg(F.percentile("score", F.lit(share))).first()[0]
+    return (found or 0.0) / 2
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Pipeline stage: documents that are in no language go; those that stay and have no `lang` get the predicted one.
 
-    In no language are null texts, texts without a letter, and those with no more n-grams of any language than the
-    filter's false positives account for. If no language could be learnt, all texts with a letter stay.
+    In no language are null texts, texts without a letter, those with no more n-grams of any language than the filter's
+    false positives account for, and those whose score is under half of what all but a thousandth of the labelled
+    documents reach. `languages`, if given, are the predictions that stay (by default all). If no language could be
+    learnt, all texts with a letter stay. Ties go to the language that comes first by name; very long texts are read
+    whole; repeated rows are treated alike; an empty table stays empty; columns of any name are carried along.
     """
     names = docs.columns
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    taught = docs.where(~held_out(F.col("doc_id"))).select("text", "lang")
+    model = fit(taught)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    kept = predict(docs.withColumn("_text", F.col("text")), model, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
-    return kept.select(*names)
+    least = least_score(taught, model)
+    boxed = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), "text")
+    found = predict(boxed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= least))
+    if languages is not None:
+        found = found.where(F.col("lang_pred").isin(*languages))
+    lang = F.coalesce(F.col("row.lang"), F.col("lang_pred").cast(docs.schema["lang"].dataType)).alias("lang")
+    return found.select(*(lang if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in names))

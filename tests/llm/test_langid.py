@@ -37,6 +37,31 @@ def test_odd_texts(spark):
     assert langid.predict(spark.createDataFrame(odd, "doc_id long, text string, score string"), langid.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_predictions_like_plain_counts(spark, monkeypatch):
+    """Against sets of n-grams kept whole: the filter's corrected counts differ by its rare false positives alone."""
+    taught = {}
+    of = langid.LanguageFilter.of
+    monkeypatch.setattr(langid.LanguageFilter, "of", staticmethod(lambda profiles, positions=langid.POSITIONS: taught.update(profiles) or of(profiles, positions)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    got = langid.predict(docs.select("text"), model).toPandas()
+    for text, lang, score in zip(got["text"], got["lang_pred"], got["score"], strict=True):
+        h = langid.grams(text)
+        plain = {k: np.isin(h, v).sum() / max(1, len(h)) for k, v in taught.items()}
+        assert abs(score - max(plain.values())) <= 0.02 and plain[lang] >= max(plain.values()) - 0.02
+
+
+def test_stage_fills_languages_and_carries_columns(spark):
+    rows = [(k, t, lang, "s", 1, "x", 7) for k, (t, lang) in enumerate([("the cat and the dog are in the house", "en"), ("der hund und die katze sind im haus", "de")] * 40)]
+    rows += [(900, "the dog in the house", None, "s", 4, "y", 8), (900, "the dog in the house", None, "s", 4, "y", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string, row int")
+    got = langid.keep_identified(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.where("doc_id = 900").collect()) == [(900, "the dog in the house", "en", "s", 4, "y", 8)] * 2
+    assert {r["lang"] for r in langid.keep_identified(spark, docs, "", ("de",)).collect()} == {"de"}
+    assert langid.keep_identified(spark, docs.limit(0), "").count() == 0
+
+
 def test_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = docs.union(spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "12 34", "en", "s", 5)], docs.schema))
