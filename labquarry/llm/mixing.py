@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, stored
+from .common import drop_stored, numbered, read, stored
 
 #: Documents in a block of the reduction tree.
 FAN_IN = 64
@@ -96,7 +96,8 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, size, source, source_size, target, alike, drawn): of `alike` equal rows, copies drawn for all of them.
 
     sizes: (doc_id, size, source), read several times. Rows equal in all three are one unit with `alike` times the
-    mass, so that repeats gather in no block. Rows of size 0 have no mass and are drawn 0 times. Reruns agree.
+    mass, so that repeats gather in no block. Rows of size 0 have no mass and are drawn 0 times. Null ids and null sources
+    are values like others; an empty table gives an empty result. Reruns agree. The result is stored.
     """
     spark = sizes.sparkSession
     small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -114,12 +115,13 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     level = units.where("_p > 0").select("source", "_block", _unit(F.xxhash64("doc_id", "size"), F.col("alike"), F.col("size"), F.col("_p")).alias("u"), "doc_id", "size")
     largest = units.agg(F.max("_block")).first()[0]
     blocks = 1 if largest is None else largest + 1
-    ups = []
+    ups, trees = [], []
     level = level.select("source", "_block", "u")
     depth = 0
     while True:
         folded = level.groupBy("source", "_block").agg(F.sort_array(F.collect_list("u")).alias("units"))
         folded = stored(folded.select("source", "_block", _fold(F.col("units"), seed + depth).alias("f")))
+        trees.append(folded)
         ups.append(folded.select("source", F.explode("f.up").alias("u")))
         level = folded.where("f.rest is not null").select("source", F.expr(f"_block div {FAN_IN}").alias("_block"), F.col("f.rest").alias("u"))
         depth += 1
@@ -136,7 +138,9 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     on = units["source"].eqNullSafe(F.col("_s")) & (F.xxhash64(units["doc_id"], units["size"]) == F.col("_id")) & (units["size"] == F.col("_size"))
     out = units.join(up, on, "left")
     drawn = F.col("_base") + F.when(F.col("_id").isNotNull(), 1).otherwise(0)
-    return out.select("doc_id", "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "alike", drawn.cast("long").alias("drawn"))
+    out = stored(out.select("doc_id", "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "alike", drawn.cast("long").alias("drawn")))
+    drop_stored(units, *trees)
+    return out
 
 
 def _shared_out(drawn: Column, alike: Column, number: Column) -> Column:
@@ -147,22 +151,32 @@ def _shared_out(drawn: Column, alike: Column, number: Column) -> Column:
 def op2_pivotal_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("size"), "source"))
     drawn = copies(sizes, stored(source_targets(sizes)))
+    drop_stored(sizes)
     rows = drawn.withColumn("_number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)))
     taken = F.col("size") * _shared_out(F.col("drawn"), F.col("alike"), F.col("_number"))
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix draws it (0, 1 or 2 times), with its own columns."""
-    names = docs.columns
-    sized = docs.withColumns({"_size": words(F.col("text"))})
-    sizes = stored(sized.select("doc_id", F.col("_size").alias("size"), "source"))
-    drawn = copies(sizes, stored(source_targets(sizes))).where("drawn > 0")
-    drawn = drawn.select(*(F.col(c).alias(f"_{c}_") for c in ("doc_id", "size", "source", "alike", "drawn")))
-    on = sized["doc_id"].eqNullSafe(F.col("_doc_id_")) & (sized["_size"] == F.col("_size_")) & sized["source"].eqNullSafe(F.col("_source_"))
-    joined = sized.join(drawn, on)
-    once = joined.where("_alike_ = 1").withColumn("_times", F.col("_drawn_"))
-    same = Window.partitionBy("_doc_id_", "_size_", "_source_").orderBy(F.xxhash64("text"))
-    several = joined.where("_alike_ > 1").withColumn("_times", _shared_out(F.col("_drawn_"), F.col("_alike_"), F.row_number().over(same) - 1))
-    both = once.select(*names, F.col("_times").cast("int").alias("_times")).union(several.select(*names, F.col("_times").cast("int").alias("_times")))
-    return both.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    """Pipeline stage: each document as often as the mix draws it (0, 1 or 2 times), with its own columns.
+
+    Null and empty texts have no words and are not drawn; a null source is a source like others; very long texts count
+    whole. Rows alike in doc_id, size and source share their copies out as equally as can be. An empty table stays
+    empty; columns of any name are carried along.
+    """
+    boxed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), "doc_id", words(F.col("text")).alias("size"), "source")
+    sizes = stored(boxed.select("doc_id", "size", "source"))
+    targets = stored(source_targets(sizes))
+    all_drawn = copies(sizes, targets)
+    drop_stored(sizes, targets)
+    drawn = all_drawn.where("drawn > 0").select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "size", "source")), "alike", "drawn")
+    on = boxed["doc_id"].eqNullSafe(F.col("of_doc_id")) & (boxed["size"] == F.col("of_size")) & boxed["source"].eqNullSafe(F.col("of_source"))
+    keys = ["doc_id", "size", "source"]
+    joined = boxed.join(drawn, on).select("row", *keys, "alike", "drawn")
+    out = joined.where("alike = 1").select("row", F.col("drawn").alias("times"))
+    if not all_drawn.where("drawn > 0 and alike > 1").isEmpty():
+        several = joined.where("alike > 1").withColumn("order", F.xxhash64("row.text"))
+        several = numbered(several, keys, ["order"])
+        out = out.union(several.select("row", _shared_out(F.col("drawn"), F.col("alike"), F.col("number"))))
+    times = F.col("times").cast("int")
+    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*")

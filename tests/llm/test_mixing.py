@@ -76,7 +76,54 @@ def test_repeats_ties_empty(spark):
 
 def test_stage_repeats_rows(spark):
     rows = docs(200) + [(1, "w w", "en", "b", 9), (1, "v v", "en", "b", 9)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", _size string")
-    got = mixing.mix(spark, df.drop("_size"), "").toPandas()
-    assert list(got.columns) == ["doc_id", "text", "lang", "source", "n_chars"]
+    extra = "_size string, _times string, size string, alike string, row string, number string"
+    df = spark.createDataFrame([(*r, *["x"] * 6) for r in rows], f"{SCHEMA}, {extra}")
+    got = mixing.mix(spark, df, "").toPandas()
+    assert list(got.columns) == df.columns and (got[["_size", "_times", "size", "alike", "row", "number"]] == "x").all().all()
     assert got.groupby(["doc_id", "text"]).size().max() <= 2 and len(got) > 100
+
+
+def test_stage_on_nothing(spark):
+    assert mixing.mix(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+    no_words = spark.createDataFrame([(1, None, "en", "s", 0), (2, " ", None, None, 1)], SCHEMA)
+    assert mixing.mix(spark, no_words, "").count() == 0
+
+
+def test_long_texts_count_whole(spark):
+    rows = [(k, "w " * (300_000 if k == 3 else 50), "en", "s", 1) for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = df.select("doc_id", mixing.words(df.text).alias("size"), "source")
+    assert sizes.agg({"size": "max"}).first()[0] == 300_000
+    got = mixing.copies(sizes, mixing.source_targets(sizes)).toPandas()
+    assert abs((got["drawn"] * got["size"]).sum() - got.target.iloc[0]) <= 150_000
+
+
+def test_fold_like_a_plain_pivotal_loop(spark):
+    """The same pairings done in plain Python, with the same random numbers, round the same units up."""
+    from pyspark.sql import functions as F
+
+    units = [(100 + k, 1, 3 + 7 * k % 11, ((k * 37) % 97 + 1) / 99) for k in range(30)]
+    df = spark.createDataFrame([(units,)], f"u array<{mixing._UNIT}>")
+    got = df.select(mixing._fold(F.col("u"), 5).alias("f")).first()["f"]
+    pairs = [(a[0], b[0]) for a in units for b in units]
+    draws = spark.createDataFrame(pairs, "r long, u long").select("r", "u", mixing._uniform(F.col("r"), F.lit(1).cast("long"), F.col("u"), F.lit(1).cast("long"), F.lit(5)).alias("x"))
+    draw = {(r["r"], r["u"]): r["x"] for r in draws.collect()}
+    rest, up = None, []
+    for i, _, size, p in units:
+        if rest is None:
+            rest = (i, size, p)
+            continue
+        j, other, q = rest
+        gain, lose = min((1 - q) * other, p * size), min(q * other, (1 - p) * size)
+        if draw[j, i] * (gain + lose) < lose:  # mass moves to the rest
+            q, p = q + gain / other, p - gain / size
+            done_rest = (1 - rest[2]) * other <= units[[u[0] for u in units].index(i)][3] * size
+            if done_rest:
+                up.append(j)
+        else:
+            done_rest = rest[2] * other <= (1 - p) * size
+            q, p = q - lose / other, p + lose / size
+            if not done_rest:
+                up.append(i)
+        rest = (i, size, p) if done_rest else (j, other, q)
+    assert [u["id"] for u in got["up"]] == up and got["rest"]["id"] == rest[0] and abs(got["rest"]["p"] - rest[2]) < 1e-9
