@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_own_folder: dict[str, str] = {}
+from ..storage import drop_stored, shared_folder, stored
+
+__all__ = ["components", "drop_stored", "join_by_key", "local_forest", "numbered", "partitions", "parts_for", "read", "runs", "shared_folder", "sieve", "stored", "text_bytes", "whole_groups"]
+
+#: A key with more than one in so many of all rows is hot; there are no more hot keys than that.
+HOT = 1000
+#: Bits of a sieve for each key, and at most in all (128 MB as a broadcast). Beyond that it only lets more rows through.
+SIEVE_BITS = 16
+MOST_SIEVE_BITS = 1 << 30
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,39 +23,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        key = spark.sparkContext.applicationId
-        found = _own_folder.setdefault(key, "")
-        if not found:
-            found = _own_folder[key] = tempfile.mkdtemp(prefix="labquarry-")
-    return found.rstrip("/")
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/labquarry-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def parts_for(spark: SparkSession, rows: int, per: int) -> int:
+    """Partitions of about `per` rows, no fewer than the session's own number."""
+    return max(partitions(spark), -(-rows // per))
 
 
-def drop_stored(df: DataFrame | None) -> None:
-    """Deletes the files of a stored() table that nothing reads any more."""
-    if df is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/labquarry-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row a key and in n how many of the `total` rows have it.
 
+    Rows of hot keys stay where they are, as the HOT rows of the table at most that they need are broadcast; only the
+    others are shuffled by key. Both sides should be stored: they are read twice.
+    """
+    is_hot = F.col(n) * HOT > total
+    hot = F.broadcast(table.where(is_hot))
+    rest = rows.join(F.broadcast(table.where(is_hot).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(table.where(~is_hot).hint("merge"), keys, how))
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def sieve(rows: DataFrame, h: Column, wanted: DataFrame, wanted_h: Column) -> tuple[Column, DataFrame]:
+    """(condition, rows): the rows beside a bitmap of the wanted hashes; rows without the condition surely have none of them.
+
+    The bitmap has SIEVE_BITS bits for each wanted row (stored, counted here) and MOST_SIEVE_BITS at most; it is
+    made of blocks of 4 KB by partial aggregation and broadcast. A row that passes by chance costs work, never an answer.
+    """
+    bits = 1 << 15
+    needed = max(1, wanted.count()) * SIEVE_BITS
+    while bits < min(needed, MOST_SIEVE_BITS):
+        bits *= 2
+    place = lambda x: F.pmod(x, F.lit(bits)) + 1
+    at = wanted.select(place(wanted_h).alias("_at"))
+    blocks = at.groupBy(F.bitmap_bucket_number("_at").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    joined = rows.withColumn("_at", place(h)).join(F.broadcast(blocks), F.bitmap_bucket_number(F.col("_at")) == F.col("_block"), "left")
+    bit = F.bitmap_bit_position(F.col("_at"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")) != 0, F.lit(False)), joined
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "number") -> DataFrame:
