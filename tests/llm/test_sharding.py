@@ -34,3 +34,33 @@ def test_map_is_versioned():
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sharding.op4_fixed_virtual_slots(spark, str(tmp_path)).count() == 0
+
+
+def test_stored_map_over_a_grown_table(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    rows = [(k, 1 + k * k % 97) for k in range(2000)]
+    table = lambda some: spark.createDataFrame([(*r, "x", 7) for r in some], "doc_id long, size long, shard string, virtual_slot int")
+    first, one = sharding.assign_shards(table(rows), ["doc_id"], "size", 4, 64, folder=folder)
+    assert sharding.versions(spark, folder)[-1] == one.version and sharding.load(spark, folder) == one
+    before = {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in first.collect()}
+    stored = sharding.versions(spark, folder)
+    _, same = sharding.assign_shards(table(rows), ["doc_id"], "size", 4, 64, folder=folder)
+    assert same == one and sharding.versions(spark, folder) == stored  # an unchanged table makes no new version
+    grown = rows + [(5000 + k, 300) for k in range(40)]
+    second, two = sharding.assign_shards(table(grown), ["doc_id"], "size", 4, 64, folder=folder)
+    assert two.version == one.version + 1 and sharding.versions(spark, folder) == [*stored, two.version]
+    moved = {slot: (a, b) for _, slot, a, b in sharding.load(spark, folder).edits}
+    after = {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in second.collect()}
+    for i, (slot, shard) in before.items():
+        assert after[i][0] == slot and after[i][1] == (moved[slot][1] if slot in moved else shard)
+    assert moved and sharding.load(spark, folder, one.version) == one  # old versions stay
+    assert sharding.load(spark, str(tmp_path / "none")) is None
+    _, third = sharding.assign_shards(table([]), ["doc_id"], "size", 4, 64, folder=folder)
+    assert third == two
+
+
+def test_very_long_texts_and_clashes(spark, tmp_path):
+    rows = [(k, "é" * 400_000 if k == 9 else "a" * k, *["x"] * 4) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, size string, shard string, slot string, number string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op4_fixed_virtual_slots(spark, str(tmp_path)).toPandas()
+    assert len(got) == 60 and got["size"].max() == 800_001 and sorted(got["doc_id"]) == list(range(60))
