@@ -4,6 +4,7 @@ Vectors belong to the cell of their nearest pivot, and large cells are cut into
 sphere: x can lie within the angle r of a member of chunk c only if angle(x, pivot) is within r of the range of angles
 between that pivot and the chunk's members, so x is sent to just those later chunks. Each pair meets once: in a chunk,
 or in the later one of two chunks. A chunk gives the number of links of each vector and a spanning forest, not pairs.
+Vectors of different lengths never meet: each length has pivots, cells and chunks of its own, all in one pass.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, local_forest, partitions, read, stored
+from .common import components, drop_stored, join_by_key, local_forest, partitions, read, runs, stored
 
 THRESHOLD = 0.9
 #: Vectors in a chunk, about, or as many more as keep the chunks to MOST_CHUNKS and a cell each.
 CHUNK = 1024
-MOST_CHUNKS = 8192
-#: Pivots are drawn from about this many vectors chosen by hash.
+MOST_CHUNKS = 65536
+#: Pivots are drawn from about this many vectors chosen by hash, and at least about so many of each length.
 SAMPLE = 8192
-MOST_PIVOTS = 512
+LEAST_OF_LENGTH = 64
+MOST_PIVOTS = 2048
 PACKED = 256
 
 
@@ -38,6 +40,27 @@ def bytes_of(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
 
 
+def by_length(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    """(length, rows, their vectors) of each length in the column `vector`."""
+    sizes = pdf["vector"].map(len).to_numpy()
+    for d in np.unique(sizes):
+        part = pdf[sizes == d]
+        yield int(d), part, bytes_of(part["vector"])
+
+
+def sampled(good: DataFrame, bound: int, least: int) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """(vectors of each length, some of them): of good (rep, vector), about `bound` in all by hash, but about `least` of each length."""
+    counts = {r["d"]: r["count"] for r in good.groupBy(F.size("vector").alias("d")).count().collect()}  # a row a length
+    total = sum(counts.values())
+    out = {}
+    for d, n in counts.items():
+        share = min(1.0, max(bound / total, least / n))
+        some = good.where((F.size("vector") == d) & (F.pmod("rep", F.lit(1_000_003)) <= int(share * 1_000_003))).orderBy("rep").limit(2 * bound)
+        found = bytes_of(some.select("vector").toPandas()["vector"])
+        out[d] = found if len(found) else np.eye(1, d)  # any direction will do
+    return counts, out
+
+
 def pivots_of(sample: np.ndarray, n: int) -> np.ndarray:
     """n rows of the sample, each farthest from those before it (fewer, if the sample has fewer distinct rows)."""
     picked, far = [0], 1 - sample @ sample[0]
@@ -93,71 +116,81 @@ def chunk_links(ids: np.ndarray, same: np.ndarray, x: np.ndarray, others: Iterat
 def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id) of vectors (id long, vector array): one row for each row.
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing; so do vectors of another
-    length than most have. Repeated ids are rows of their own in the counts. Equal vectors are compared once.
+    Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different lengths
+    do not link with each other. Repeated ids are rows of their own in the counts. Equal vectors are compared once, and
+    are sent as single-precision numbers where the table holds such. An empty table gives an empty result; further
+    columns are ignored.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if dict(vectors.dtypes)["vector"] == "array<float>" else "<f8"
     vectors = vectors.select("id", "vector").withColumn("ok", usable(F.col("vector")))
     rows = stored(vectors.withColumn("key", F.when(F.col("ok"), F.unhex(F.md5(F.col("vector").cast("array<double>").cast("string"))))))
+    total = rows.count()
     good = rows.where("ok").groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
     good = stored(good.withColumn("rep", F.xxhash64("key")))
-    lengths = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
+    counts, samples = sampled(good, SAMPLE, LEAST_OF_LENGTH)
+    if not counts:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    length, count = lengths[0]["d"], lengths[0]["count"]
-    good = good.where(F.size("vector") == length)
-    picked = good.where(F.pmod("rep", F.lit(1_000_003)) <= int(min(1.0, SAMPLE / count) * 1_000_003)).orderBy("rep").limit(2 * SAMPLE).select("vector").toPandas()
-    n_pivots = max(1, min(MOST_PIVOTS, round(count / CHUNK)))
-    pivots = pivots_of(unit(bytes_of(picked["vector"])), n_pivots)
-    shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
+    count, pivots, first = sum(counts.values()), {}, 0
+    for d in sorted(counts):
+        found = pivots_of(unit(samples[d]), max(1, min(MOST_PIVOTS, round(counts[d] / CHUNK))))
+        pivots[d] = (first, found)  # cells of a length are numbered from `first`
+        first += len(found)
+    shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors a length
 
     def own_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                near = unit(bytes_of(pdf["vector"])) @ shared.value.T
+            for d, part, x in by_length(pdf):
+                start, found = shared.value[d]
+                near = unit(x) @ found.T
                 cell = near.argmax(1)
-                yield pdf.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(near[np.arange(len(pdf)), cell], -1, 1)))
+                yield part.assign(cell=(start + cell).astype("int32"), angle=np.arccos(np.clip(near[np.arange(len(part)), cell], -1, 1)))
 
-    celled = stored(good.select("rep", "n", "vector").mapInPandas(own_cell, "rep long, n long, vector array<double>, cell int, angle double"))
+    vector_type = "array<float>" if kind == "<f4" else "array<double>"
+    numbers = good.select("rep", "n", F.col("vector").cast(vector_type).alias("vector"))
+    celled = stored(numbers.mapInPandas(own_cell, f"rep long, n long, vector {vector_type}, cell int, angle double"))
     per_chunk = max(CHUNK, math.ceil(count / MOST_CHUNKS))
     cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / per_chunk).cast("int"))
-    celled = celled.join(F.broadcast(cells.drop("m")), "cell")  # at most one row a pivot
-    celled = stored(celled.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
-    spans = celled.groupBy("cell", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
-    spans = spans.orderBy("cell", "part").toPandas()  # one row a chunk: MOST_CHUNKS + MOST_PIVOTS at most
-    table = spark.sparkContext.broadcast((spans["cell"].to_numpy(), spans["part"].to_numpy(), spans["low"].to_numpy(), spans["high"].to_numpy()))
+    parted = celled.join(F.broadcast(cells.drop("m")), "cell")  # at most one row a pivot
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    spans = parted.groupBy("cell", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    spans = spans.orderBy("cell", "part").toPandas()  # one row a chunk: MOST_CHUNKS + a cell each at most
+    table = spark.sparkContext.broadcast(tuple(spans[c].to_numpy() for c in ("cell", "part", "low", "high")))
     reach = math.acos(threshold) + 1e-7
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Packs of vectors for their own chunk and for each later one within reach."""
+        """Packs of vectors for their own chunk and for each later one of their length within reach."""
         cell_of, part_of, low, high = table.value
-        number = {x: k for k, x in enumerate(zip(cell_of.tolist(), part_of.tolist(), strict=True))}
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = bytes_of(pdf["vector"])
-            own = np.array([number[c] for c in zip(pdf["cell"].tolist(), pdf["part"].tolist(), strict=True)])
-            angle = np.arccos(np.clip(unit(x) @ shared.value.T, -1, 1))
-            ids, same = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-            out = []
-            for c in range(len(cell_of)):
-                a = angle[:, cell_of[c]]
-                for mine, who in ((True, own == c), (False, (own < c) & (a >= low[c] - reach) & (a <= high[c] + reach))):
-                    at = np.flatnonzero(who)
-                    for k in range(0, len(at), PACKED):
-                        part = at[k : k + PACKED]
-                        out.append((c, 0 if mine else 1, ids[part].tobytes(), same[part].tobytes(), x[part].tobytes()))
-            yield pd.DataFrame(out, columns=["chunk", "kind", "ids", "same", "x"])
-
-    packs = celled.select("rep", "n", "vector", "cell", "part").mapInPandas(sent, "chunk int, kind int, ids binary, same binary, x binary")
+            for d, part, x in by_length(pdf):
+                start, found = shared.value[d]
+                a, b = np.searchsorted(cell_of, [start, start + len(found)])  # this length's chunks
+                number = {c: k for k, c in enumerate(zip(cell_of[a:b].tolist(), part_of[a:b].tolist(), strict=True))}
+                own = np.array([number[c] for c in zip(part["cell"].tolist(), part["part"].tolist(), strict=True)])
+                angle = np.arccos(np.clip(unit(x) @ found.T, -1, 1))[:, cell_of[a:b] - start]
+                go = (angle >= low[a:b] - reach) & (angle <= high[a:b] + reach) & (own[:, None] < np.arange(b - a))
+                go[np.arange(len(own)), own] = True
+                ids, same, raw = part["rep"].to_numpy(), part["n"].to_numpy(), x.astype(kind)
+                out = []
+                chunk, who = np.nonzero(go.T)
+                for i, j in runs(chunk):
+                    c = int(chunk[i])
+                    mine = own[who[i:j]] == c
+                    for role, at in ((0, who[i:j][mine]), (1, who[i:j][~mine])):
+                        for k in range(0, len(at), PACKED):
+                            some = at[k : k + PACKED]
+                            out.append((a + c, role, d, ids[some].tobytes(), same[some].tobytes(), raw[some].tobytes()))
+                yield pd.DataFrame(out, columns=["chunk", "kind", "d", "ids", "same", "x"])
+
+    packs = parted.select("rep", "n", "vector", "cell", "part").mapInPandas(sent, "chunk int, kind int, d int, ids binary, same binary, x binary")
     n = max(partitions(spark), min(len(spans), 4 * partitions(spark)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flat():
             for pdf in batches:
-                for chunk, kind, i, s, x in pdf.itertuples(index=False):
+                for chunk, role, d, i, s, x in pdf.itertuples(index=False):
                     i = np.frombuffer(i, np.int64)
-                    yield chunk, kind, i, np.frombuffer(s, np.int64), unit(np.frombuffer(x, np.float64).reshape(len(i), length))
+                    yield chunk, role, i, np.frombuffer(s, np.int64), unit(np.frombuffer(x, kind).astype(np.float64).reshape(len(i), d))
 
         stream = flat()
         head = next(stream, None)
@@ -180,15 +213,18 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     dealt = packs.repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     links = stored(dealt.mapInPandas(compare, "id long, links long, other long"))
+    drop_stored(celled)
     classes = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     summed = links.groupBy("id").agg(F.sum("links").alias("links"))
     by_rep = good.select("key", F.col("rep").alias("id"), "low", "n").join(summed, "id", "left").join(classes, "id", "left")
-    by_rep = stored(by_rep.select("key", "low", F.coalesce("component", "id").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links")))
-    lowest = by_rep.groupBy("group").agg(F.min("low").alias("_component"))
-    by_key = by_rep.join(lowest, "group").select(F.col("key").alias("_key"), "_component", "_links")
-    drop_stored(celled)
-    out = rows.select("id", "key").join(by_key, F.col("key") == F.col("_key"), "left")
-    return out.select("id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_component", "id").alias("component_id"))
+    by_rep = stored(by_rep.select("key", "low", "n", F.coalesce("component", "id").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    lowest = stored(by_rep.groupBy("group").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m")))
+    by_key = stored(join_by_key(by_rep.drop("low"), lowest, ["group"], "m", count).drop("m"))
+    drop_stored(good, links, by_rep, lowest)
+    result = ["id", "n_links", "component_id"]
+    out = join_by_key(rows.where("ok").select("id", "key"), by_key, ["key"], "n", total)
+    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.select("id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).select(*result).union(alone)
 
 
 def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,42 @@ def test_search_few(spark):
     assert got.groupby("query_id").size().tolist() == [2, 2, 2]
     none = frame(spark, np.zeros((0, 8)))
     assert ann.search(none, none.select("id")).count() == 0
+
+
+def test_two_lengths(spark):
+    """Vectors of a rarer length link and are found among themselves."""
+    x = vectors(300, 16)
+    rows = [(int(k), [float(v) for v in r]) for k, r in enumerate(x)]
+    rows += [(1000, [1.0, 2.0, 3.0]), (1001, [2.0, 4.0, 6.0]), (1002, [1.0, 2.0, 3.1]), (1003, [-1.0, 0.0, 0.0]), (1004, [5.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = rangejoin.linked(df).toPandas().set_index("id")
+    assert got.loc[[1000, 1001, 1002, 1003, 1004], "n_links"].tolist() == [2, 2, 2, 0, 0]
+    assert got.loc[[1000, 1001, 1002, 1003, 1004], "component_id"].tolist() == [1000, 1000, 1000, 1003, 1004]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (got["n_links"].sort_index()[:300].to_numpy() == ((u @ u.T) >= 0.9).sum(1) - 1).all()
+    found = ann.search(df, df.where("id = 1000 or id = 1004 or id = 7").select("id")).toPandas()
+    own = found[found["query_id"] == 1000].sort_values("rank")
+    assert own["id"].tolist() == [1002, 1001, 1003] and not (found["query_id"] == 1004).any()
+    assert len(found[found["query_id"] == 7]) == 10 and (found[found["query_id"] == 7]["id"] < 300).all()
+
+
+def test_single_precision_links_like_double(spark):
+    x = vectors(200, 8).astype(np.float32)
+    rows = [(int(k), [float(v) for v in r]) for k, r in enumerate(x)]
+    single = rangejoin.linked(spark.createDataFrame(rows, "id long, vector array<float>")).orderBy("id").collect()
+    assert single == rangejoin.linked(spark.createDataFrame(rows, "id long, vector array<double>")).orderBy("id").collect()
+
+
+def test_recall_where_codes_prune(spark, monkeypatch):
+    """Far more vectors than are reranked: the codes decide."""
+    monkeypatch.setattr(ann, "RERANK", 16)
+    monkeypatch.setattr(ann, "SAMPLE", 2000)
+    x = np.random.default_rng(3).normal(size=(8000, 24))
+    df = frame(spark, x, odd=False)
+    got = ann.search(df, df.where("id % 200 = 0").select("id")).toPandas()
+    hit = 0
+    for q in range(0, len(x), 200):
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hit += len(set(np.argsort(dist)[:10]) & set(got[got["query_id"] == q]["id"]))
+    assert hit / 400 >= 0.9
