@@ -5,11 +5,12 @@ of one hash function. A run starts from one coordinate and sends a text down the
 the same path meet in a bucket. Buckets that are not small are split on further coordinates, sampled by the path, two
 for each level, so that a pair keeps a path in common with high probability. Small buckets are compared by brute force:
 first the sketches, then the exact sets of those texts that have a likely partner. Buckets that no split makes small
-(texts all alike) are compared in a grid of blocks, no block being larger than 256 or the square root of the bucket.
+(texts all alike) are compared in a grid of blocks; a block has the square root of the bucket's texts, from 256 to 2048.
 Runs repeat until a pair at the threshold is missed with a probability below 1 - RECALL.
 
 Each pair is counted in the first bucket that holds both texts and in no other, so nothing has to list all pairs: a
-bucket gives each text's links and the edges of a spanning forest.
+bucket gives each text's links and the edges of a spanning forest. Sides that grow with the corpus are joined by shuffles
+(hint merge) at any size; texts are moved only for representatives with a likely partner, which a sieve picks out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, local_forest, partitions, read, runs, stored, whole_groups
+from .common import components, drop_stored, join_by_key, local_forest, parts_for, read, runs, sieve, stored, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,8 +39,10 @@ LEVELS = 2
 BRANCHES = 2
 #: A bucket that a split has left with more than this share of its texts is not split again.
 DENSE = 0.6
-#: Buckets still larger are compared in blocks of at least so many texts.
-BLOCK = 256
+#: Buckets still larger are compared in blocks of so many texts, at least and at most.
+BLOCK, MOST_BLOCK = 256, 2048
+#: Rows a task compares, about.
+COMPARED = 20_000
 #: Sketches agree on this share of coordinates for less than one in 100,000 pairs below it.
 SKETCH_MARGIN = 0.27
 
@@ -107,7 +110,7 @@ def leaves(reps: DataFrame, run_count: int) -> DataFrame:
     done = None
     for level in range(LEVELS + 1):
         sizes = now.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        now = stored(now.join(sizes, "path"))
+        now = stored(now.join(sizes.hint("merge"), "path"))
         # Texts all alike stay together however often they are split: such a bucket is left as it is.
         apart = (F.col("n") > SMALL_BUCKET) & (F.lit(level < LEVELS)) & (F.col("parent_n").isNull() | (F.col("n") <= DENSE * F.col("parent_n")))
         small = now.where(~apart)
@@ -115,19 +118,24 @@ def leaves(reps: DataFrame, run_count: int) -> DataFrame:
         large = now.where(apart).select("rep", "path", "n")
         if level == LEVELS or large.isEmpty():
             break
-        large = large.withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES))))).join(reps, "rep")
+        large = large.withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES))))).join(reps.hint("merge"), "rep")
         at = F.pmod(F.xxhash64("path", "branch"), F.lit(COORDINATES - run_count)) + run_count
         now = large.select("rep", F.xxhash64("path", "branch", at, _coordinate(at.cast("int"))).alias("path"), F.col("n").alias("parent_n"))
     return done.select("rep", "path", "n")
 
 
+def blocks_of(n: F.Column) -> F.Column:
+    """Blocks of a bucket of n texts."""
+    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n))))
+    return F.when(n <= SMALL_BUCKET, 1).otherwise(F.ceil(n / size)).cast("int")
+
+
 def grid(members: DataFrame) -> DataFrame:
     """members (path, rep, n, ...) with gid, side: small buckets whole, large ones as pairs of blocks.
 
     Block a meets blocks b >= a: a row goes to as many groups as there are blocks, and each pair of rows meets in one.
     """
-    blocks = F.when(F.col("n") <= SMALL_BUCKET, 1).otherwise(F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.ceil(F.sqrt("n"))))).cast("int")
-    m = members.withColumn("_blocks", blocks)
+    m = members.withColumn("_blocks", blocks_of(F.col("n")))
     m = m.withColumn("_own", F.pmod(F.xxhash64("rep", "path"), F.col("_blocks")).cast("int"))
     m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     gid = F.xxhash64("path", F.least("_own", "_other"), F.greatest("_own", "_other"))
@@ -229,48 +237,66 @@ def _verified(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.
             yield pd.DataFrame({"rep": pd.array(rep, "int64"), "links": pd.array(links, "int64"), "other": pd.array(other, "Int64")})
 
 
+def _id_key(id_: F.Column) -> F.Column:
+    """The id as text; empty for null, which no id is."""
+    return F.coalesce(id_.cast("string"), F.lit(""))
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (rep, key, low) with the text of each: one pass over docs, of which only rows that a sieve lets through are moved.
+
+    One row of each text is looked for, that of the smallest id, so that copies stay where they are.
+    """
+    keyed = docs.select("key", _id_key(F.col("id")).alias("idk"), "text")
+    wanted = wanted.select("rep", "key", _id_key(F.col("low")).alias("idk"))
+    passes, joined = sieve(keyed, F.xxhash64("key", "idk"), wanted, F.xxhash64("key", "idk"))
+    some = joined.where(passes).groupBy("key", "idk").agg(F.first("text").alias("text"))  # repeated rows combine where they are
+    return wanted.join(some.hint("merge"), ["key", "idk"]).select("rep", "text")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, key, group, class_id, n_links) of docs (id long, text): one row for each row of docs.
 
     n_links: how many other rows have a Jaccard similarity of at least the threshold, equal texts included.
     group: a number for the texts reachable by links; class_id: the smallest id among their rows, null if all are null.
     Null texts, empty ones and those without a word link with nothing, and each row of theirs is its own class (group
-    is null). Repeated ids count as rows of their own; an empty table gives an empty result.
+    is null). Repeated ids count as rows of their own; very long texts are compared whole; an empty table gives an empty
+    result; extra columns are ignored. docs is read twice.
     """
+    spark = docs.sparkSession
     run_count = n_runs(threshold, recall)
     docs = docs.select("id", text_key(F.col("text")).alias("key"), "text")
     rows = stored(sketched(docs))
+    total = rows.count()
     # Equal texts are one representative, numbered by a hash of their key; counts combine before the shuffle.
     same = rows.where("sig is not null").groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n_same"), F.first("sig").alias("sig"))
     same = stored(same.withColumn("rep", F.xxhash64("key")))
     found = stored(leaves(same.select("rep", "sig"), run_count))
     of_rep = found.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # at most runs * branches^levels
-    members = found.join(of_rep.join(same.select("rep", "n_same", "sig"), "rep"), "rep")
-    n = partitions(docs.sparkSession)
+    members = found.join(of_rep.join(same.select("rep", "n_same", "sig").hint("merge"), "rep").hint("merge"), "rep")
+    n = parts_for(spark, found.agg(F.sum(blocks_of(F.col("n")))).first()[0] or 0, COMPARED)
     dealt = grid(members).repartition(n, "gid").sortWithinPartitions("gid")
     kept = "gid long, side int, path long, rep long, paths array<long>, n_same long"
     likely = dealt.select("gid", "side", "path", "rep", "paths", "n_same", "sig").mapInPandas(lambda b: _likely(b, threshold), kept)
     likely = stored(likely)
-    wanted = likely.select("rep").distinct().join(same.select("rep", "key", "low"), "rep")
-    # One row of each text wanted; texts whose ids are all null are found by their key alone.
-    wanted = wanted.select(F.col("rep").alias("_rep"), F.col("key").alias("_key"), F.col("low").alias("_low"))
-    on = (docs["key"] == F.col("_key")) & (docs["id"].eqNullSafe(F.col("_low")))
-    texts = docs.join(wanted, on).select(F.col("_rep").alias("rep"), "text").dropDuplicates(["rep"])
-    dealt = likely.join(texts, "rep").repartition(n, "gid").sortWithinPartitions("gid")
+    drop_stored(found)
+    wanted = stored(likely.select("rep").distinct().join(same.select("rep", "key", "low"), "rep"))
+    n = parts_for(spark, likely.count(), COMPARED)
+    dealt = likely.join(_texts_of(docs, wanted).hint("merge"), "rep").repartition(n, "gid").sortWithinPartitions("gid")
     links = dealt.select("gid", "side", "path", "rep", "paths", "n_same", "text").mapInPandas(lambda b: _verified(b, threshold), "rep long, links long, other long")
     links = stored(links)
-    drop_stored(likely)
-    drop_stored(found)
+    drop_stored(likely, wanted)
     classes = components(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"))
     table = same.select("key", "rep", "low", "n_same").join(summed, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    table = table.select("key", "low", F.coalesce("component", "rep").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n_same") - 1).alias("_links"))
-    table = stored(table)
-    lowest = table.groupBy("group").agg(F.min("low").alias("_class"))
-    table = table.join(lowest, "group").select(F.col("key").alias("_key"), "group", "_class", "_links")
-    out = rows.select("id", "key").join(table, F.col("key") == F.col("_key"), "left")
-    class_id = F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("_class"))
-    return out.select("id", "key", "group", class_id.alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    table = stored(table.select("key", "low", "n_same", F.coalesce("component", "rep").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n_same") - 1).alias("n_links")))
+    lowest = stored(table.groupBy("group").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("_texts")))
+    by_key = stored(join_by_key(table.drop("low"), lowest, ["group"], "_texts", table.count()).drop("_texts"))
+    drop_stored(same, links, table, lowest)
+    result = ["id", "key", "group", "class_id", "n_links"]
+    worded = join_by_key(rows.where("sig is not null").select("id", "key"), by_key, ["key"], "n_same", total).select(*result)
+    wordless = rows.where("sig is null").select("id", "key", F.lit(None).cast("long").alias("group"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return worded.union(wordless)
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,14 +305,29 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of documents linked as near copies, directly or through others, one of the smallest id stays."""
+    """Pipeline stage: of documents linked as near copies, directly or through others, one of the smallest id stays.
+
+    Rows that link with nothing stay as they are, however often they come: null texts, empty ones, texts without a
+    word. Where several rows of a group have its smallest id, one of them stays; if all ids are null, one row of the
+    group does. Very long texts are compared whole; an empty table stays empty; columns of any name are carried along.
+    The rows to go are listed; only documents that a sieve over that list lets through are moved.
+    """
     names = docs.columns
-    found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text")).where("n_links > 0")
-    linked = stored(found.groupBy("key", "group", "class_id").agg(F.lit(1).alias("_one")).select(F.col("key").alias("_key"), F.col("group").alias("_group"), F.col("class_id").alias("_class")))
-    keyed = docs.withColumn("_own", text_key(F.col("text"))).join(linked, F.col("_own") == F.col("_key"), "left")
-    alone = keyed.where("_key is null").select(*names)
-    first = keyed.where("_key is not null and doc_id <=> _class").dropDuplicates(["_group"]).select(*names)
-    return alone.union(first)
+    found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
+    linked = stored(found.where("n_links > 0").select("id", "key", _id_key(F.col("id")).alias("idk"), "group", "class_id"))
+    go = linked.where("not id <=> class_id").groupBy("key", "idk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(False))
+    of_class = linked.where("id <=> class_id").groupBy("group", "key", "idk").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = of_class.groupBy("group").agg(F.min("key").alias("_first"))
+    of_class = of_class.join(chosen, "group").withColumn("_one", F.col("key") == F.col("_first")).where("_n > 1 or not _one")
+    acts = stored(go.union(of_class.select("key", "idk", "_n", "_one")))
+    boxed = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), text_key(F.col("text")).alias("key"), _id_key(F.col("doc_id").cast("long")).alias("idk"))
+    passes, joined = sieve(boxed, F.xxhash64("key", "idk"), acts, F.xxhash64("key", "idk"))
+    clear = joined.where(~passes).select("row")
+    maybe = stored(joined.where(passes).select("row", "key", "idk"))
+    both = join_by_key(maybe, acts, ["key", "idk"], "_n", maybe.count(), "left")
+    one = both.where("_one").groupBy("key", "idk").agg(F.first("row").alias("row")).select("row")
+    drop_stored(linked)
+    return clear.union(both.where("_one is null").select("row")).union(one).select("row.*")
 
 
 OP8_SQL = r"""

@@ -92,3 +92,44 @@ def test_stage_keeps_one(spark):
     got = jaccard.keep_one_of_each(spark, df, "").toPandas()
     classes = {(c, i) if n == 0 else (c, None) for i, c, n in brute(rows)}
     assert list(got.columns) == df.columns and len(got) == len(classes)
+
+
+def test_stage_with_repeats_and_clashing_columns(spark):
+    near = texts(7, 2, 4)
+    rows = [*near, near[1], near[1], (near[1][0], near[2][1]), (None, near[3][1]), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (5, "..."), (5, "..."), (None, None)]
+    schema = "doc_id long, text string, _key string, _group int, _class int, _own string, key string, idk int, row string, _at int, _n int, _one int"
+    df = spark.createDataFrame([(i, t, *["k", 1, 2, "o", "y", 3, "r", 4, 5, 6]) for i, t in rows], schema)
+    got = jaccard.keep_one_of_each(spark, df, "")
+    assert got.columns == df.columns
+    out = got.collect()
+    assert all(tuple(r)[2:] == ("k", 1, 2, "o", "y", 3, "r", 4, 5, 6) for r in out)
+    found = brute(rows)
+    assert len(out) == sum(n == 0 for _, _, n in found) + len({c for _, c, n in found if n})
+    assert jaccard.keep_one_of_each(spark, df.limit(0), "").count() == 0
+
+
+def test_sieve_lets_all_wanted_through(spark):
+    from pyspark.sql import functions as F
+
+    from labquarry.llm import common
+
+    rows = common.stored(spark.range(20000).withColumn("h", F.xxhash64("id")))
+    wanted = common.stored(rows.where("id % 20 = 3"))
+    passes, joined = common.sieve(rows, F.col("h"), wanted, F.col("h"))
+    got = {r["id"] for r in joined.where(passes).select("id").collect()}
+    assert got >= set(range(3, 20000, 20)) and len(got) < 4000
+    assert joined.where(passes | ~passes).count() == 20000
+    passes, joined = common.sieve(rows, F.col("h"), rows.where("id < 0"), F.col("h"))
+    assert joined.where(passes).count() == 0
+
+
+def test_hot_keys_join_like_others(spark):
+    from pyspark.sql import functions as F
+
+    from labquarry.llm import common
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 700).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("k <> 5")
+    for how in ("inner", "left"):
+        got = common.join_by_key(rows, table, ["k"], "n", 2000, how).select("k", "id", "top")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(table, "k", how).select("k", "id", "top").collect()), key=str)
