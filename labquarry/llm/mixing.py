@@ -136,7 +136,7 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
         up = up.union(x)
     up = up.select(F.col("source").alias("_s"), F.col("u.id").alias("_id"), F.col("u.size").alias("_size"))
     on = units["source"].eqNullSafe(F.col("_s")) & (F.xxhash64(units["doc_id"], units["size"]) == F.col("_id")) & (units["size"] == F.col("_size"))
-    out = units.join(up, on, "left")
+    out = units.join(up.hint("merge"), on, "left")  # grows with the corpus: never broadcast
     drawn = F.col("_base") + F.when(F.col("_id").isNotNull(), 1).otherwise(0)
     out = stored(out.select("doc_id", "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "alike", drawn.cast("long").alias("drawn")))
     drop_stored(units, *trees)
@@ -172,7 +172,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drawn = all_drawn.where("drawn > 0").select(*(F.col(c).alias(f"of_{c}") for c in ("doc_id", "size", "source")), "alike", "drawn")
     on = boxed["doc_id"].eqNullSafe(F.col("of_doc_id")) & (boxed["size"] == F.col("of_size")) & boxed["source"].eqNullSafe(F.col("of_source"))
     keys = ["doc_id", "size", "source"]
-    joined = boxed.join(drawn, on).select("row", *keys, "alike", "drawn")
+    joined = boxed.join(drawn.hint("merge"), on).select("row", *keys, "alike", "drawn")
     out = joined.where("alike = 1").select("row", F.col("drawn").alias("times"))
     if not all_drawn.where("drawn > 0 and alike > 1").isEmpty():
         several = joined.where("alike > 1").withColumn("order", F.xxhash64("row.text"))
