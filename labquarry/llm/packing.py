@@ -25,8 +25,9 @@ from .common import numbered, read, stored
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct words a worker remembers with their ids; beyond it, the memory starts anew.
-WORDS_KEPT = 500_000
+#: Distinct words a worker remembers with their ids, and their longest length; beyond so many, the memory starts anew.
+WORDS_KEPT = 400_000
+LONGEST_KEPT = 64
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -172,7 +173,7 @@ def _byte_signs() -> dict[int, int]:
 
 
 class Words(dict):
-    """Ids of white-space free words, as little-endian unsigned 32-bit integers, remembered up to a bound.
+    """Ids of white-space free words, as little-endian unsigned 32-bit integers, remembered up to a bound, if not too long.
 
     The tokenizer drops white space and nothing it does reaches across it, so a text's ids are those of its words in turn.
     Plain words go straight to the merges, which is most of the work saved; all others through the whole tokenizer.
@@ -190,7 +191,9 @@ class Words(dict):
         """Ids of lower-case letters, or of one sign."""
         if (ids := self.parts.get(word)) is None:
             written = word.encode().decode("latin-1").translate(self.signs)
-            ids = self.parts[word] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            if len(word) <= LONGEST_KEPT:
+                self.parts[word] = ids
         return ids
 
     def learn(self, words: set[str]) -> None:
@@ -217,10 +220,18 @@ class Words(dict):
             try:
                 out.append(b"".join(map(self.__getitem__, words)))
             except KeyError:
-                self.learn({w for w in words if w not in self})
+                new = {w for w in words if w not in self}
+                self.learn(new)
                 out.append(b"".join(map(self.__getitem__, words)))
+                for w in new:
+                    if len(w) > LONGEST_KEPT:
+                        del self[w]
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
 
 @lru_cache(maxsize=1)
 def words_of(file: str) -> Words:
@@ -256,6 +267,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
                     crc.append(zlib.crc32(part))
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.forget()  # a worker is used for other tasks too
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, schema)
