@@ -44,6 +44,13 @@ def test_stages_against_brute_force(results):
     assert packed[packed["piece"] == 0].shape[0] == len(mixed)
 
 
+def test_nothing_goes_through(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
