@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
+from .running import accumulated
 from .tabular import _need, as_text, numeric, q
 
 
@@ -78,11 +79,10 @@ def classification_report(df: DataFrame, true: str, predicted: str) -> DataFrame
 
 
 def _curve_counts(df: DataFrame, true: str, score: str) -> DataFrame:
-    """(score, tp, fp, p, n) at each distinct score, from the highest: windows run over distinct scores, not rows."""
+    """(score, tp, fp, p, n) at each distinct score, from the highest, by running sums that no single task holds."""
     k = df.where(q(true).isNotNull() & q(score).isNotNull()).groupBy(q(score).cast("double").alias("score")).agg(F.sum((q(true) == 1).cast("long")).alias("a"), F.count(F.lit(1)).alias("c"))
-    down = Window.orderBy(F.desc("score"))
-    whole = Window.partitionBy(F.lit(1))
-    return k.select("score", F.sum("a").over(down).alias("tp"), F.sum(F.col("c") - F.col("a")).over(down).alias("fp"), F.sum("a").over(whole).alias("p"), F.sum(F.col("c") - F.col("a")).over(whole).alias("n"))
+    k = accumulated(k.withColumn("b", F.col("c") - F.col("a")), "score", {"tp": "a", "fp": "b"}, descending=True)
+    return k.crossJoin(F.broadcast(k.agg(F.max("tp").alias("p"), F.max("fp").alias("n"))))  # one row
 
 
 def roc_curve(df: DataFrame, true: str, score: str) -> DataFrame:
@@ -91,10 +91,10 @@ def roc_curve(df: DataFrame, true: str, score: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, true: str, score: str) -> DataFrame:
-    c = roc_curve(df, true, score)
-    down = Window.orderBy(F.desc("score"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(down), F.lit(0.0)), F.coalesce(F.lag("tpr").over(down), F.lit(0.0))
-    return c.withColumn("area", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).agg(F.sum("area").alias("auc"))
+    c = _curve_counts(df, true, score)
+    # A step's width is its own negatives; its height lies midway between the positives before and after it.
+    area = F.try_divide("b", "n") * F.try_divide(F.col("tp") - F.col("a") / 2, "p")
+    return c.agg(F.sum(area).alias("auc"))
 
 
 def pr_curve(df: DataFrame, true: str, score: str) -> DataFrame:
@@ -103,9 +103,8 @@ def pr_curve(df: DataFrame, true: str, score: str) -> DataFrame:
 
 
 def average_precision(df: DataFrame, true: str, score: str) -> DataFrame:
-    c = pr_curve(df, true, score)
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return c.withColumn("area", (F.col("recall") - before) * F.col("precision")).agg(F.sum("area").alias("average_precision"))
+    c = _curve_counts(df, true, score)
+    return c.agg(F.sum(F.try_divide("a", "p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
 
 
 def regression_scores(df: DataFrame, true: str, predicted: str) -> DataFrame:

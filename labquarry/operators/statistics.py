@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
+from .running import accumulated
 from .tabular import OperatorError, numeric, q
 
 
@@ -21,11 +22,10 @@ def _known(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
 def ranked(df: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     """df with rank, the mean rank of equal values inside `by`, and ties, how many are equal.
 
-    Values are counted first, so that the window runs over distinct values and never over rows.
+    Values are counted first; the counts are summed in order without a task that holds all distinct values.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("rank", F.coalesce(F.sum("ties").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    counts = accumulated(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties")), value, {"upto": "ties"}, by)
+    counts = counts.withColumn("rank", F.col("upto") - F.col("ties") + (F.col("ties") + 1) / 2)
     counts = counts.select(*(F.col(c).alias(f"_r_{c}") for c in [*by, value]), "rank", "ties")
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*by, value]])
     return df.join(counts, on).drop(*(f"_r_{c}" for c in [*by, value]))
