@@ -55,7 +55,8 @@ def similarity_pairs(df: DataFrame, key: str, fingerprint: str, n_bits: int, lea
     """(a, b, similarity) of pairs a < b with a tanimoto similarity of at least `least` > 0, found without comparing all pairs.
 
     Two such fingerprints of x and y bits share at least o = least / (1 + least) * (x + y) bits, so they share one of
-    the first x - ceil(least * x) + 1 bits of each in a fixed order: pairs meet there and only there (prefix filter).
+    the first x - o + 1 bits of each in a fixed order, o being the smallest number with o / x >= least: pairs meet
+    there (prefix filter), and are compared at the first such bit alone, if their sizes allow the similarity at all.
     """
     if metric != "tanimoto" or least <= 0:
         raise OperatorError("pairs are found for tanimoto above 0")
@@ -66,11 +67,17 @@ def similarity_pairs(df: DataFrame, key: str, fingerprint: str, n_bits: int, lea
     order = counts.agg(F.map_from_entries(F.collect_list(F.struct("bit", "c"))).alias("order"))
     p = p.crossJoin(F.broadcast(order))
     sorted_on = F.array_sort(F.transform("on", lambda i: F.struct(F.element_at("order", i).alias("c"), i.alias("i"))))
-    length = F.size("on") - F.ceil(F.size("on") * least).cast("int") + 1
-    prefix = p.select("k", "fp", F.explode(F.slice(sorted_on, F.lit(1), length)).alias("s")).select("k", "fp", F.col("s.i").alias("bit"))
-    a, b = prefix.select(F.col("k").alias("a"), F.col("fp").alias("fa"), "bit"), prefix.select(F.col("k").alias("b"), F.col("fp").alias("fb"), "bit")
-    both = a.join(b, "bit").where("a < b").select("a", "b", "fa", "fb").dropDuplicates(["a", "b"])
-    return both.withColumn("similarity", similarity(F.col("fa"), F.col("fb"), F.lit(n_bits), metric)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    x = F.size("on")
+    up = F.ceil(x * least).cast("int")
+    up = F.when((up - 1) / x >= least, up - 1).otherwise(up)  # the product may round up past a whole number
+    first = F.transform(F.slice(sorted_on, F.lit(1), x - up + 1), lambda s: s["i"])
+    prefix = p.select("k", "fp", x.alias("x"), first.alias("first")).withColumn("bit", F.explode("first"))
+    named = lambda s: prefix.select("bit", *(F.col(c).alias(c + s) for c in ("k", "fp", "x", "first")))
+    both = named("a").join(named("b"), "bit").where((F.col("ka") < F.col("kb")) & (F.least("xa", "xb") / F.greatest("xa", "xb") >= least))
+    both = both.where(F.element_at(F.array_intersect("firsta", "firstb"), 1) == F.col("bit"))
+    z = _popcount(F.zip_with("fpa", "fpb", lambda u, v: u.bitwiseAND(v)))
+    out = both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), (z / (F.col("xa") + F.col("xb") - z)).alias("similarity"))
+    return out.where(F.col("similarity") >= least)
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
