@@ -16,9 +16,17 @@ DRUG_LIKENESS: dict[str, list[tuple[str, str, float]]] = {
     "lipinski": [("mol_weight", "<=", 500), ("logp", "<=", 5), ("h_donors", "<=", 5), ("h_acceptors", "<=", 10)],
     "veber": [("rotatable_bonds", "<=", 10), ("tpsa", "<=", 140)],
     "egan": [("logp", "<=", 5.88), ("tpsa", "<=", 131.6)],
-    "ghose": [("mol_weight", ">=", 160), ("mol_weight", "<=", 480), ("logp", ">=", -0.4), ("logp", "<=", 5.6), ("heavy_atoms", ">=", 20), ("heavy_atoms", "<=", 70)],
-    "lead_like": [("mol_weight", "<=", 350), ("logp", "<=", 3.5), ("rotatable_bonds", "<=", 7)],
-}
+    "ghose": [("mol_weight", ">", 160), ("mol_weight", "<", 480), ("logp", ">", -0.4), ("logp", "<", 5.6), ("molar_refractivity", ">", 40), ("molar_refractivity", "<", 130), ("n_atoms", ">", 20), ("n_atoms", "<", 70)],
+    "lead_like": [("mol_weight", "<=", 300), ("logp", "<=", 3), ("h_donors", "<=", 3), ("h_acceptors", "<=", 3)],
+    "reos": [
+        ("mol_weight", ">", 200), ("mol_weight", "<", 500), ("logp", ">", -5), ("logp", "<", 5), ("h_donors", "<", 5), ("h_acceptors", "<", 10),
+        ("rotatable_bonds", "<", 8), ("formal_charge", ">", -2), ("formal_charge", "<", 2), ("heavy_atoms", ">", 15), ("heavy_atoms", "<", 50),
+    ],
+    "murcko": [("mol_weight", ">=", 200), ("mol_weight", "<=", 400), ("logp", "<=", 5.2), ("h_donors", "<=", 3), ("h_acceptors", "<=", 4), ("rotatable_bonds", "<=", 7)],
+    "van_de_waterbeemd": [("mol_weight", "<=", 450), ("tpsa", "<=", 90)],
+    "palm": [("tpsa", "<=", 140)],
+    "ppi": [("mol_weight", ">=", 400), ("h_acceptors", ">=", 4), ("logp", ">=", 4), ("rings", ">=", 4)],
+}
 _TESTS = {"<": lambda c, v: c < v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v, ">=": lambda c, v: c >= v, "=": lambda c, v: c == v}
 
 

@@ -25,9 +25,12 @@ def exclude_cells(cells: DataFrame, excluded: str, stem: str = "file_stem", cell
 
 
 def blank_normalize(cells: DataFrame, background: DataFrame, value: str, reference: str = "", normalize: bool = True, stem: str = "file_stem", group: str = "group", cell: str = "cell") -> DataFrame:
-    """(group, stem, cell, value): less the file's background, then over the reference group's mean if it is known and not 0."""
-    b = background.groupBy(q(stem).alias("_stem")).agg(F.first(q(value)).alias("_blank"))
-    out = cells.join(b, q(stem) == F.col("_stem"), "left").select(q(group), q(stem), q(cell), (q(value) - F.coalesce("_blank", F.lit(0.0))).alias(value))
+    """(group, stem, cell, value): less the file's background, then over the reference group's mean if it is known and not 0.
+
+    A file is known by its group and stem. Of several background rows of a file the smallest value counts.
+    """
+    b = background.groupBy(q(group).alias("_group"), q(stem).alias("_stem")).agg(F.min(q(value)).alias("_blank"))
+    out = cells.join(b, (q(stem) == F.col("_stem")) & (q(group).eqNullSafe(F.col("_group"))), "left").select(q(group), q(stem), q(cell), (q(value) - F.coalesce("_blank", F.lit(0.0))).alias(value))
     if not normalize:
         return out
     mean = out.where(q(group) == reference).agg(F.avg(q(value)).alias("_mean"))

@@ -237,17 +237,35 @@ def blobs(df: DataFrame, low: float = 3, high: float = 20, threshold: float = 0.
     return _tables(df, find, ["y", "x", "radius", "strength"], "key string, y int, x int, radius double, strength double")
 
 
-# Absorbance of red, green and blue by the common stains, one row a stain.
+# Absorbance of red, green and blue by the common stains, one row a stain, as published by Ruifrok and
+# Johnston and by G. Landini; a row of zeros stands for what is at right angles to the other two.
 STAINS = {
     "hematoxylin_eosin": [(0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78)],
-    "hematoxylin_dab": [(0.65, 0.70, 0.29), (0.27, 0.57, 0.78), (0.71, 0.42, 0.56)],
+    "hematoxylin_dab": [(0.650, 0.704, 0.286), (0.268, 0.570, 0.776), (0.0, 0.0, 0.0)],
+    "hematoxylin_eosin_dab": [(0.650, 0.704, 0.286), (0.072, 0.990, 0.105), (0.268, 0.570, 0.776)],
+    "feulgen_light_green": [(0.46420921, 0.83008335, 0.30827187), (0.94705542, 0.25373821, 0.19650764), (0.0, 0.0, 0.0)],
+    "giemsa": [(0.834750233, 0.513556283, 0.196330403), (0.092789, 0.954111, 0.283111), (0.0, 0.0, 0.0)],
+    "fast_red_fast_blue_dab": [(0.21393921, 0.85112669, 0.47794022), (0.74890292, 0.60624161, 0.26731082), (0.268, 0.570, 0.776)],
+    "methyl_green_dab": [(0.98003, 0.144316, 0.133146), (0.268, 0.570, 0.776), (0.0, 0.0, 0.0)],
+    "hematoxylin_aec": [(0.650, 0.704, 0.286), (0.2743, 0.6796, 0.6803), (0.0, 0.0, 0.0)],
+    "blue_red_orange": [(0.853033, 0.508733, 0.112656), (0.09289875, 0.8662008, 0.49098468), (0.10732849, 0.36765403, 0.9237484)],
+    "methylene_blue_ponceau": [(0.7995107, 0.5913521, 0.10528667), (0.09997159, 0.73738605, 0.6680326), (0.0, 0.0, 0.0)],
+    "alcian_blue_hematoxylin": [(0.874622, 0.457711, 0.158256), (0.552556, 0.7544, 0.353744), (0.0, 0.0, 0.0)],
+    "hematoxylin_pas": [(0.644211, 0.716556, 0.266844), (0.175411, 0.972178, 0.154589), (0.0, 0.0, 0.0)],
 }
 
 
+def stain_matrix(stains: str) -> np.ndarray:
+    """The three absorbances, each of length 1; a third stain that is not given is the cross product of the others."""
+    m = np.array(STAINS[stains], float)
+    if not m[2].any():
+        m[2] = np.cross(m[0], m[1])
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def color_deconvolution(df: DataFrame, stains: str = "hematoxylin_eosin") -> dict[str, DataFrame]:
     """ch1, ch2, ch3: how much of each stain a pixel holds, from the logarithms of red, green and blue."""
-    m = np.array(STAINS[stains], float)
-    inverse = np.linalg.inv(m / np.linalg.norm(m, axis=1, keepdims=True))
+    inverse = np.linalg.inv(stain_matrix(stains))
 
     def channel(k: int) -> DataFrame:
         weights = inverse[:, k]

@@ -38,8 +38,8 @@ def read_cell_folder(spark: SparkSession, root: str, layout: str = "subfolders",
     group = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1) if layout == "subfolders" else F.lit(default_group or root.rstrip("/").rsplit("/", 1)[-1])
     df = clean(df).withColumns({"file_stem": stem, "group": group}).drop("_path")
     is_background = F.trim(F.col("cell").cast("string")) == "BG"
-    whole = df.where(is_background).select(F.col("file_stem").alias("_s")).distinct()
-    cells = df.where(~is_background).join(whole, F.col("file_stem") == F.col("_s"), "left_semi")
+    whole = df.where(is_background).select(F.col("file_stem").alias("_s"), F.col("group").alias("_g")).distinct()
+    cells = df.where(~is_background).join(whole, (F.col("file_stem") == F.col("_s")) & (F.col("group") == F.col("_g")), "left_semi")
     return {"cells": cells.withColumn("cell", F.col("cell").cast("int")), "background": df.where(is_background).drop("cell")}
 
 
