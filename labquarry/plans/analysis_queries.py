@@ -87,11 +87,11 @@ def mann_whitney_u(spark, d):
     return _rounded(s.mann_whitney(table(spark, d, "events"), "value", "event_type").select("group1", "group2", "u"), 3)
 
 
-@query("""WITH e AS (SELECT event_type AS g, value AS v FROM events WHERE event_type IN ('click', 'view')), n AS (SELECT count(*) FILTER (g = 'click') AS a, count(*) FILTER (g = 'view') AS b FROM e),
-c AS (SELECT v, sum(count(*) FILTER (g = 'click')) OVER (ORDER BY v) AS x, sum(count(*) FILTER (g = 'view')) OVER (ORDER BY v) AS y FROM e GROUP BY v) SELECT 'click' AS group1, 'view' AS group2, round(max(abs(x / a - y / b)), 8) AS d FROM c, n""")
+@query("""WITH e AS (SELECT event_type AS g, value AS v FROM events), p AS (SELECT a.g AS g1, b.g AS g2 FROM (SELECT DISTINCT g FROM e) a JOIN (SELECT DISTINCT g FROM e) b ON a.g < b.g),
+c AS (SELECT g1, g2, v, count(*) FILTER (g = g1) AS x, count(*) FILTER (g = g2) AS y FROM p JOIN e ON g = g1 OR g = g2 GROUP BY 1, 2, 3), r AS (SELECT g1, g2, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(x) OVER (PARTITION BY g1, g2) AS a, sum(y) OVER (PARTITION BY g1, g2) AS b FROM c WINDOW w AS (PARTITION BY g1, g2 ORDER BY v))
+SELECT g1 AS group1, g2 AS group2, round(max(abs(x / a - y / b)), 8) AS d FROM r GROUP BY 1, 2""")
 def kolmogorov_smirnov_d(spark, d):
-    ev = table(spark, d, "events").where("event_type in ('click', 'view')")
-    return _rounded(s.kolmogorov_smirnov(ev, "value", "event_type").select("group1", "group2", "d"), 8)
+    return _rounded(s.kolmogorov_smirnov(table(spark, d, "events"), "value", "event_type").select("group1", "group2", "d"), 8)
 
 
 @query("""WITH k AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS c FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(c) AS r FROM k GROUP BY 1), q AS (SELECT b, sum(c) AS q FROM k GROUP BY 1), n AS (SELECT sum(c) AS n FROM k)
@@ -134,14 +134,14 @@ def correlation_matrix(spark, d):
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2.0 AS y FROM lineitem)
-SELECT 'l_quantity' AS a, 'l_tax' AS b, round(corr(x, y), 8) AS value FROM r""")
+SELECT 'l_quantity' AS a, 'l_tax' AS b, round(corr(x, y), 8) AS value FROM r UNION ALL SELECT 'l_tax', 'l_quantity', round(corr(x, y), 8) FROM r UNION ALL SELECT 'l_quantity', 'l_quantity', 1.0 UNION ALL SELECT 'l_tax', 'l_tax', 1.0""")
 def spearman(spark, d):
-    return _rounded(s.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "spearman"), 8).where("a = 'l_quantity' and b = 'l_tax'")
+    return _rounded(s.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "spearman"), 8)
 
 
-@query("SELECT 'l_quantity' AS a, 'l_tax' AS b, round(sum(abs(l_quantity - l_tax)), 3) AS value FROM lineitem")
+@query("""WITH s AS (SELECT round(sum(abs(l_quantity - l_tax)), 3) AS v FROM lineitem) SELECT 'l_quantity' AS a, 'l_tax' AS b, v AS value FROM s UNION ALL SELECT 'l_tax', 'l_quantity', v FROM s UNION ALL SELECT 'l_quantity', 'l_quantity', 0.0 UNION ALL SELECT 'l_tax', 'l_tax', 0.0""")
 def cityblock(spark, d):
-    return _rounded(s.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "cityblock"), 3).where("a = 'l_quantity' and b = 'l_tax'")
+    return _rounded(s.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "cityblock"), 3)
 
 
 @query("SELECT l_returnflag AS \"group\", round((CASE WHEN max(l_extendedprice) - avg(l_extendedprice) >= avg(l_extendedprice) - min(l_extendedprice) THEN max(l_extendedprice) - avg(l_extendedprice) ELSE avg(l_extendedprice) - min(l_extendedprice) END) / stddev_samp(l_extendedprice), 6) AS g FROM lineitem GROUP BY 1")
@@ -267,16 +267,9 @@ def particle_linker(spark, d):
 # Neighbours
 
 
-@query("""WITH q AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 7), t AS (SELECT vec_id AS neighbour, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id % 100 <> 7),
-d AS (SELECT key, neighbour, list_distance(v, w) AS distance FROM q, t) SELECT key, neighbour, CAST(row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS INTEGER) AS rank, round(distance, 6) AS distance FROM d QUALIFY rank <= 5""")
-def knn(spark, d):
-    v = table(spark, d, "embeddings")
-    return n.knn(v.where("vec_id % 100 <> 7"), v.where("vec_id % 100 = 7"), "vec_id", "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 6))
-
-
 @query("""WITH q AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), t AS (SELECT vec_id AS neighbour, embedding::DOUBLE[] AS w FROM embeddings),
 d AS (SELECT key, neighbour, list_distance(v, w) AS distance FROM q, t WHERE key <> neighbour) SELECT key, neighbour, CAST(row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS INTEGER) AS rank, round(distance, 6) AS distance FROM d QUALIFY rank <= 5""")
-def knn_whole(spark, d):
+def knn(spark, d):
     v = table(spark, d, "embeddings")
     return n.knn(v, v.where("vec_id % 50 = 0"), "vec_id", "vec_id", "embedding", 5, leave_own=True).withColumn("distance", F.round("distance", 6))
 

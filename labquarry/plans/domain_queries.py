@@ -143,11 +143,6 @@ def image_regions(spark, d):
     return images.region_properties(images.label_regions(images.threshold(_pictures(spark, d), 0.05), 8), _pictures(spark, d))
 
 
-@query()
-def image_otsu(spark, d):
-    return images.otsu(images.brightness_contrast(_pictures(spark, d), -0.5, 0.5))
-
-
 @query()
 def image_texture(spark, d):
     return images.glcm(images.brightness_contrast(_pictures(spark, d), -0.5, 0.5), 1, 8)

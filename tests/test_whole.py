@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_joins_take_every_key(spark):
     orders, customers = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("orders", "customer"))
     queries = registry.queries()
-    got = {how: queries[f"join_whole_{how}"](spark, SF).toPandas() for how in ("inner", "left", "right", "outer")}
+    got = {how: queries[f"join_{how}"](spark, SF).toPandas() for how in ("inner", "left", "right", "outer")}
     assert all(set(g["o_orderkey"].dropna()) == {r[0] for r in orders.select("o_orderkey").collect()} for g in got.values())
     keys = {r[0] for r in customers.select("c_custkey").collect()}
     assert set(got["right"]["k"]) == keys and set(got["outer"]["k"]) >= keys
@@ -20,7 +20,7 @@ def test_joins_take_every_key(spark):
 
 def test_knn_asks_all_rows(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = registry.queries()["knn_whole"](spark, SF).toPandas()
+    got = registry.queries()["knn"](spark, SF).toPandas()
     assert set(got["key"]) == {r[0] for r in v.where("vec_id % 50 = 0").select("vec_id").collect()} and not (got["key"] == got["neighbour"]).any()
     assert got.groupby("key").size().eq(5).all()
 
