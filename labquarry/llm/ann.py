@@ -78,6 +78,9 @@ class Index:
         of = nearest(sample, centroids)
         queries = np.linspace(0, len(sample) - 1, min(256, len(sample))).astype(int)
         codes = np.stack([nearest(rest[:, c], b) for c, b in zip(cuts, books, strict=True)], 1)
+        meant = centroids[of]  # what the codes stand for
+        for m, (cut, book) in enumerate(zip(cuts, books, strict=True)):
+            meant[:, cut] += book[codes[:, m]]
         needed, deep = [], []
         for q in queries:
             d = ((sample - sample[q]) ** 2).sum(1)
@@ -86,10 +89,7 @@ class Index:
             rank = np.empty(len(centroids), int)
             rank[np.argsort(squares(sample[q : q + 1], centroids)[0], kind="stable")] = np.arange(len(centroids))
             needed.append(rank[of[true]])
-            # Asymmetric distances as a search would see them: from the query's residual in each vector's own cell.
-            rough = np.zeros(len(sample))
-            for m, (cut, book) in enumerate(zip(cuts, books, strict=True)):
-                rough += ((sample[q, cut] - centroids[of][:, cut] - book[codes[:, m]]) ** 2).sum(1)
+            rough = ((sample[q] - meant) ** 2).sum(1)  # as the tables of a search would give it
             rough[q] = np.inf
             deep.append(np.searchsorted(np.sort(rough), rough[true]))
         needed, deep = (np.concatenate(x) if x else np.zeros(0, int) for x in (needed, deep))
