@@ -117,6 +117,26 @@ def kolmogorov_sf(x):
     return np.where(np.atleast_1d(x) < 0.2, 1.0, np.clip(value, 0, 1)).reshape(x.shape)
 
 
+def range_sf(q, k, df):
+    """P(Q > q) of the studentized range of k means with df degrees of freedom, by Gauss-Legendre sums over the scale and the place."""
+    q, k, df = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, float)) for v in (q, k, df)))
+    node, weight = np.polynomial.legendre.leggauss(200)
+    z = 9 * node
+    phi, upto = np.exp(-z * z / 2) / math.sqrt(2 * math.pi), 1 - normal_sf(z)
+    out = np.full(q.shape, np.nan)
+    for i, (x, m, d) in enumerate(zip(q.ravel(), k.ravel(), df.ravel(), strict=True)):
+        if not (x >= 0 and m >= 2 and d >= 1):
+            continue
+        low, high = max(0.0, 1 - 9 / math.sqrt(2 * d)), 1 + 9 / math.sqrt(2 * d)
+        s = (low + high) / 2 + (high - low) / 2 * node
+        log_density = (d - 1) * np.log(s) - d * (s * s - 1) / 2
+        scale = weight * np.exp(log_density - log_density.max())
+        inside = np.maximum(0, upto - (1 - normal_sf(z - x * s[:, None])))
+        within = 9 * m * (weight * phi * inside ** (m - 1)).sum(1)
+        out.ravel()[i] = min(1.0, max(0.0, 1 - (scale * within).sum() / scale.sum()))
+    return out
+
+
 def _inverse(sf, p, low, high):
     for _ in range(200):
         mid = (low + high) / 2
@@ -165,3 +185,7 @@ def p_chi2(x: Column, df: Column) -> Column:
 
 def p_kolmogorov(x: Column) -> Column:
     return _column(kolmogorov_sf, x)
+
+
+def p_range(q: Column, k: Column, df: Column) -> Column:
+    return _column(range_sf, q, k, df)

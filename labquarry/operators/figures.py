@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
-from .tabular import numeric, q
+from .tabular import OperatorError, numeric, q
 
 
 def bars(df: DataFrame, value: str, group: str, error: str = "se") -> DataFrame:
@@ -87,3 +87,55 @@ def regression_line(df: DataFrame, x: str, y: str, group: str | None = None) ->
     """([group,] n, slope, intercept, r2)."""
     keys = [q(group).alias("group")] if group else []
     return df.groupBy(*keys).agg(F.regr_count(q(y), q(x)).alias("n"), F.regr_slope(q(y), q(x)).alias("slope"), F.regr_intercept(q(y), q(x)).alias("intercept"), F.regr_r2(q(y), q(x)).alias("r2"))
+
+
+def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, regression: bool = False) -> dict[str, DataFrame]:
+    """points (x, y[, hue]) where both are known, and with regression the line through all of them (without a hue)."""
+    points = df.where(q(x).isNotNull() & q(y).isNotNull()).select(q(x).alias("x"), q(y).alias("y"), *([q(hue).alias("hue")] if hue else []))
+    return {"points": points} | ({"line": regression_line(points, "x", "y")} if regression and not hue else {})
+
+
+def joint(df: DataFrame, x: str, y: str, bins: int = 20, hue: str | None = None) -> dict[str, DataFrame]:
+    """points as scatter() has them; marginals (axis, [group,] bin, low, high, count); cells (x_bin, y_bin, count) of the plane."""
+    points = scatter(df, x, y, hue)["points"]
+    sides = [histogram(points, c, bins, "hue" if hue else None).select(F.lit(c).alias("axis"), "*") for c in ("x", "y")]
+    s = points.agg(*(f(c).cast("double").alias(f"{n}{c}") for n, f in (("a", F.min), ("b", F.max)) for c in ("x", "y")))
+
+    def at(c):
+        place = F.try_divide((F.col(c) - F.col(f"a{c}")) * bins, F.col(f"b{c}") - F.col(f"a{c}"))
+        return F.least(F.lit(bins - 1), F.coalesce(F.floor(place), F.lit(0))).cast("int").alias(f"{c}_bin")
+
+    cells = points.crossJoin(F.broadcast(s)).groupBy(at("x"), at("y")).agg(F.count(F.lit(1)).alias("count"))  # one row
+    return {"points": points, "marginals": sides[0].union(sides[1]), "cells": cells}
+
+
+def regression_scatter(df: DataFrame, true: str, predicted: str) -> dict[str, DataFrame]:
+    """points (true, predicted, residual), and fit: n, r2 (0 if the true values are all equal) and the ends of the identity line."""
+    t, p = q(true).cast("double"), q(predicted).cast("double")
+    points = df.where(t.isNotNull() & p.isNotNull()).select(t.alias("true"), p.alias("predicted"), (t - p).alias("residual"))
+    rest = F.sum(F.col("residual") ** 2)
+    low, high = F.least(F.min("true"), F.min("predicted")), F.greatest(F.max("true"), F.max("predicted"))
+    fit = points.agg(F.count(F.lit(1)).alias("n"), rest.alias("rest"), (F.var_pop("true") * F.count(F.lit(1))).alias("total"), low.alias("low"), high.alias("high"))
+    margin = (F.col("high") - F.col("low")) * 0.05
+    r2 = F.when(F.col("total") > 0, 1 - F.col("rest") / F.col("total")).otherwise(0.0)
+    return {"points": points, "fit": fit.select("n", r2.alias("r2"), (F.col("low") - margin).alias("line_low"), (F.col("high") + margin).alias("line_high"))}
+
+
+def cluster_scatter(df: DataFrame, x: str, y: str, cluster: str | None = None, label: str | None = None) -> dict[str, DataFrame]:
+    """points (x, y, cluster, class), and centers (cluster, class, n, x, y) of what is drawn in one colour and marker."""
+    points = df.where(q(x).isNotNull() & q(y).isNotNull()).select(q(x).alias("x"), q(y).alias("y"), (q(cluster) if cluster else F.lit(None)).cast("string").alias("cluster"), (q(label) if label else F.lit(None)).cast("string").alias("class"))
+    return {"points": points, "centers": points.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))}
+
+
+def double_variable(df: DataFrame, x: str, y: str, kind: str = "scatter", hue: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a plot of two columns: scatter; box and violin of y by x; pairplot, all pairs of numeric columns."""
+    if kind == "scatter":
+        return scatter(df, x, y, hue)
+    if kind in ("box", "violin"):
+        return {"boxes": boxes(df, y, x)}
+    if kind != "pairplot":
+        raise OperatorError(f"no plot {kind!r}")
+    columns = [c for c in numeric(df) if c != hue]
+    keep = [q(hue).alias("hue")] if hue else []
+    pairs = F.array(*(F.struct(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), q(a).cast("double").alias("x"), q(b).cast("double").alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]))
+    return {"points": df.select(*keep, F.explode(pairs).alias("p")).select(*(["hue"] if hue else []), "p.*").where("x is not null and y is not null")}

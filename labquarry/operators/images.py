@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tabular import OperatorError
+
 IMAGE = "key string, h int, w int, c int, pixels array<double>"
 VOLUME = "key string, d int, h int, w int, pixels array<double>"
 
@@ -58,6 +60,21 @@ def pixelwise(df: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     return df.withColumn("pixels", F.transform("pixels", f))
 
 
+def with_bit_depth(df: DataFrame, depth: int = 8) -> DataFrame:
+    """df with bit_depth, the range that savers and displays scale to; pixels stay from 0 to 1."""
+    if depth not in (8, 12, 14, 16):
+        raise OperatorError(f"no bit depth {depth}")
+    return df.withColumn("bit_depth", F.lit(depth))
+
+
+def with_scale(df: DataFrame, um_per_pixel: float = 1.0, known_distance: float = 0.0, distance_pixels: float = 0.0) -> DataFrame:
+    """df with scale_um, micrometres a pixel: given, or a known distance over its pixels if both are."""
+    scale = known_distance / distance_pixels if known_distance > 0 and distance_pixels > 0 else um_per_pixel
+    if scale <= 0:
+        raise OperatorError("a scale must be above 0")
+    return df.withColumn("scale_um", F.lit(float(scale)))
+
+
 def invert(df: DataFrame) -> DataFrame:
     return pixelwise(df, lambda x: 1 - x)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import accumulated
 from .tabular import OperatorError, _need, q
 
 # The published limits of each rule set, as (descriptor, operator, limit).
@@ -30,6 +31,42 @@ DRUG_LIKENESS: dict[str, list[tuple[str, str, float]]] = {
 _TESTS = {"<": lambda c, v: c < v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v, ">=": lambda c, v: c >= v, "=": lambda c, v: c == v}
 
 
+def from_table(df: DataFrame, smiles: str = "smiles", name: str | None = "id", properties: list[str] | None = None) -> DataFrame:
+    """(name, smiles, properties...) of a table's rows that have a SMILES; names are Mol_1, Mol_2, ... if there is no such column.
+
+    Made-up names follow the order of (smiles, properties), numbered without a task that holds all rows. SMILES are
+    checked for balanced brackets and known signs only and are kept as given.
+    """
+    properties = properties or []
+    _need(df, smiles, *properties)
+    text = F.trim(q(smiles).cast("string"))
+    formed = text.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%*]+$")
+    for a, b in ("[]", "()"):
+        formed = formed & (F.length(F.regexp_replace(text, rf"[^\{a}]", "")) == F.length(F.regexp_replace(text, rf"[^\{b}]", "")))
+    kept = df.where(F.coalesce(formed, F.lit(False)))
+    named = name is not None and name in df.columns
+    out = kept.select(*([q(name).cast("string").alias("name")] if named else []), text.alias("smiles"), *(q(c) for c in properties))
+    if named:
+        return out
+    one = accumulated(out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_order", F.struct("smiles", *(q(c) for c in properties))), "_order", {"_upto": "_n"}, [])
+    every = one.withColumn("_k", F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"))))
+    return every.select(F.concat(F.lit("Mol_"), F.col("_k").cast("long")).alias("name"), "smiles", *(q(c) for c in properties))
+
+
+def to_table(df: DataFrame, structure: str = "ROMol") -> DataFrame:
+    """A molecule table as a plain one, without the column of structures."""
+    return df.drop(structure)
+
+
+def nth_molecule(df: DataFrame, row: int = 0, order: str = "name") -> DataFrame:
+    """The one row at place `row` (from 0) in the order of a column, ties by the rest; an error if there is none."""
+    ties = sorted(c for c in df.columns if c != order)
+    found = df.orderBy(q(order), *(q(c) for c in ties)).offset(row).limit(1) if row >= 0 else df.limit(0)
+    if found.isEmpty():
+        raise OperatorError(f"row {row} is out of range")
+    return found
+
+
 def property_filter(df: DataFrame, column: str, operator: str, limit: float) -> dict[str, DataFrame]:
     """matches and rejects; values that are missing or not finite are rejected."""
     _need(df, column)

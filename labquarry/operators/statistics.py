@@ -186,6 +186,34 @@ def dunn(df: DataFrame, value: str, group: str, correction: str = "none") -> Dat
     return adjusted(p.select(F.col("g1").alias("group1"), F.col("g2").alias("group2"), "z", "p"), "p", correction)
 
 
+def tukey(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group1, group2, n1, n2, mean_diff, q, p, p_adj) for each pair: honest differences of means, unequal sizes by Kramer.
+
+    p is of the studentized range over all groups, and so adjusted already.
+    """
+    m = _moments(df, value, group)
+    total = m.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("within"))
+    p = _pairs(m).crossJoin(F.broadcast(total))  # one row
+    free = F.col("all") - F.col("k")
+    gap = F.col("mean1") - F.col("mean2")
+    p = p.withColumn("mean_diff", gap).withColumn("q", F.try_divide(F.abs(gap), F.sqrt(F.try_divide(F.col("within"), free) / 2 * (1 / F.col("n1") + 1 / F.col("n2")))))
+    p = p.withColumn("p", special.p_range(F.col("q"), F.col("k"), free))
+    return p.select(F.col("g1").alias("group1"), F.col("g2").alias("group2"), "n1", "n2", "mean_diff", "q", "p", F.col("p").alias("p_adj"))
+
+
+def fisher_z(df: DataFrame, value: str, group: str, alternative: str = "two-sided", correction: str = "none") -> DataFrame:
+    """(group1, group2, n1, n2, r1, r2, z, p, p_adj) for each pair: values are correlations, compared by their groups' means.
+
+    Means are kept within 0.9999 of 0; groups of fewer than four have null z and p.
+    """
+    p = _pairs(_moments(df, value, group).select("g", "n", F.col("mean").alias("r")))
+    enough = (F.col("n1") >= 4) & (F.col("n2") >= 4)
+    a, b = (F.atanh(F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), F.col(r)))) for r in ("r1", "r2"))
+    p = p.withColumn("z", F.when(enough, F.try_divide(a - b, F.sqrt(F.try_divide(F.lit(1.0), F.col("n1") - 3) + F.try_divide(F.lit(1.0), F.col("n2") - 3)))))
+    p = p.withColumn("p", special.p_normal(F.col("z"), alternative))
+    return adjusted(p.select(F.col("g1").alias("group1"), F.col("g2").alias("group2"), "n1", "n2", "r1", "r2", "z", "p"), "p", correction)
+
+
 CORRECTIONS = ("none", "bonferroni", "sidak", "holm-sidak", "holm", "simes-hochberg", "fdr_bh", "fdr_by")
 
 

@@ -40,19 +40,40 @@ def filter_tracks(df: DataFrame, min_length: int = 0, max_length: int = 0, min_d
     return kept if drop_unlinked else kept.unionByName(df.where(q(track).isNull() | (q(track) == UNLINKED)))
 
 
-def mean_squared_displacement(df: DataFrame, max_lag: int = 10, per_track: bool = False, track: str = "track_id", frame: str = "frame", x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
-    """([track_id,] lag, msd, n): squared displacements of points `lag` frames apart in a track, for lags up to max_lag.
+def mean_squared_displacement(df: DataFrame, max_lag: int = 0, per_track: bool = False, track: str = "track_id", frame: str = "frame", x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
+    """([track_id,] lag, msd, n): squared displacements of points `lag` points apart in a track, for lags up to max_lag.
 
-    Each point is sent to the frames that it is paired with, so that the join is on track and frame.
+    max_lag 0 is half the median length of a track, two at least. Points of a frame that is missing are not waited for.
+    Each point is sent to the places that it is paired with, so that the join is on track and place.
     """
-    p = df.where(q(track).isNotNull() & (q(track) != UNLINKED)).select(q(track).alias("track_id"), q(frame).cast("long").alias("f"), q(x).alias("x"), q(y).alias("y"))
-    later = p.select("track_id", "f", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    sent = p.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max(1, max_lag))))).withColumn("f", F.col("f") + F.col("lag"))
-    d = sent.join(later, ["track_id", "f"])
+    p = df.where(q(track).isNotNull() & (q(track) != UNLINKED)).select(q(track).alias("track_id"), q(frame).alias("f"), q(x).alias("x"), q(y).alias("y"))
+    if not max_lag:
+        median = p.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).agg(F.median("n")).first()[0]
+        max_lag = max(2, int((median or 0) // 2))
+    p = p.withColumn("place", F.row_number().over(Window.partitionBy("track_id").orderBy("f", "x", "y"))).drop("f")
+    later = p.select("track_id", "place", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    sent = p.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("place", F.col("place") + F.col("lag"))
+    d = sent.join(later, ["track_id", "place"])
     square = (F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2
     return d.groupBy(*(["track_id"] if per_track else []), "lag").agg(F.avg(square).alias("msd"), F.count(F.lit(1)).alias("n"))
 
 
+def trajectories(df: DataFrame, color_by: str = "track_id", tail_frames: int = 0, track: str = "track_id", frame: str = "frame", x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
+    """The segments that a plot of paths draws: (track_id, frame, x, y, to_x, to_y, color), one row a point but for the last of a track.
+
+    color is the track's id, or with "speed" the segment's length over the frames it spans. tail_frames > 0 keeps the
+    segments that end within so many frames of the last frame of all.
+    """
+    by = Window.partitionBy("track_id").orderBy("frame", "x", "y")
+    p = df.where(q(track).isNotNull() & (q(track) != UNLINKED)).select(q(track).alias("track_id"), q(frame).alias("frame"), q(x).cast("double").alias("x"), q(y).cast("double").alias("y"))
+    s = p.withColumns({"to_x": F.lead("x").over(by), "to_y": F.lead("y").over(by), "_to": F.lead("frame").over(by)}).where("_to is not null")
+    if tail_frames:
+        s = s.crossJoin(F.broadcast(p.agg(F.max("frame").alias("_last")))).where(F.col("_to") > F.col("_last") - tail_frames).drop("_last")  # one row
+    length = F.sqrt((F.col("to_x") - F.col("x")) ** 2 + (F.col("to_y") - F.col("y")) ** 2)
+    color = F.try_divide(length, (F.col("_to") - F.col("frame")).cast("double")) if color_by == "speed" else F.col("track_id")
+    return s.withColumn("color", color).drop("_to")
+
+
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost; infinite costs are never paired. Shortest augmenting paths."""
     n, m = cost.shape

@@ -248,9 +248,10 @@ def track_properties(spark, d):
     return _rounded(out.withColumn("path_length", F.round("path_length", 4)), 6)
 
 
-@query(f"""WITH t AS ({_TRACKS}) SELECT b.frame - a.frame AS lag, round(avg((b.centroid_x - a.centroid_x) ** 2 + (b.centroid_y - a.centroid_y) ** 2), 4) AS msd, count(*) AS n FROM t a JOIN t b ON a.track_id = b.track_id AND b.frame - a.frame BETWEEN 1 AND 5 GROUP BY 1""")
+@query(f"""WITH t AS ({_TRACKS}), m AS (SELECT greatest(2, CAST(floor(median(n) / 2) AS BIGINT)) AS most FROM (SELECT count(*) AS n FROM t GROUP BY track_id))
+SELECT CAST(b.frame - a.frame AS INTEGER) AS lag, round(avg((b.centroid_x - a.centroid_x) ** 2 + (b.centroid_y - a.centroid_y) ** 2), 4) AS msd, count(*) AS n FROM t a JOIN t b ON a.track_id = b.track_id JOIN m ON b.frame - a.frame BETWEEN 1 AND most GROUP BY 1""")
 def msd(spark, d):
-    return _rounded(tr.mean_squared_displacement(_tracks(spark, d), 5), 4)
+    return _rounded(tr.mean_squared_displacement(_tracks(spark, d)), 4)
 
 
 @query(f"WITH t AS ({_TRACKS}) SELECT * FROM t WHERE track_id IN (SELECT track_id FROM t GROUP BY 1 HAVING count(*) >= 60 AND count(*) <= 75)")
