@@ -3,9 +3,13 @@
 Every document of a source starts with the same real number of copies, target over size of the source. Whole copies
 are kept; the fractional rests are rounded by pairs: mass (probability times size) moves at random from one document
 to the other, in such proportions that expectations hold, until one of the two is integral. What is left of a block of
-documents, one fractional document at most, goes up a reduction tree to be paired with the rests of other blocks. The
-source's mass is kept exactly until the last document of all, which goes to the nearer side, so that the words taken
-miss the target by half that document's size at most.
+documents, one fractional document at most, goes up a reduction tree to be paired with the rests of other blocks.
+
+The one fractional document that the tree leaves may be long. It is settled with a reserve of the source's shorter
+documents, RESERVE of them or half of them if that is fewer, which did not go up the tree: longest first, mass moves
+to the nearer side instead of at random, so that expectations hold for the tree and only nearly for the reserve. The source's mass is kept exactly until the last document of all, which goes to
+the nearer side, so that the words taken miss the target by half its size at most: a few words, unless the reserve is
+too small to take up a document that is long beside all of it.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from .common import drop_stored, numbered, read, stored
 
 #: Documents in a block of the reduction tree.
 FAN_IN = 64
+#: Documents of a source that settle the last of the tree, about.
+RESERVE = 1024
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Up to so many sources, their table is broadcast; beyond it, Spark joins it by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -64,10 +70,11 @@ def _unit(id_: Column, alike: Column, size: Column, p: Column) -> Column:
     return F.struct(id_.alias("id"), alike.alias("alike"), size.alias("size"), p.alias("p"))
 
 
-def _fold(units: Column, seed: int) -> Column:
+def _fold(units: Column, seed: int | None) -> Column:
     """struct(rest, up): the fractional unit left of an array of units, and those rounded up; the others are rounded down.
 
-    A unit of mass p * size meets the rest so far; either the rest gains what it needs or the other has, or the other way.
+    A unit of mass p * size meets the rest so far; either the rest gains what it needs or the other has, or the other
+    way: at random, or without a seed to the rest's nearer side.
     """
     start = F.struct(F.lit(None).cast(_UNIT).alias("rest"), F.array().cast(f"array<{_UNIT}>").alias("up"))
 
@@ -75,7 +82,7 @@ def _fold(units: Column, seed: int) -> Column:
         r = state["rest"]
         gain = F.least((1 - r["p"]) * r["size"], u["p"] * u["size"])  # the rest may gain
         lose = F.least(r["p"] * r["size"], (1 - u["p"]) * u["size"])  # the rest may lose
-        to_rest = _uniform(r["id"], r["alike"], u["id"], u["alike"], F.lit(seed)) * (gain + lose) < lose
+        to_rest = r["p"] >= 0.5 if seed is None else _uniform(r["id"], r["alike"], u["id"], u["alike"], F.lit(seed)) * (gain + lose) < lose
         rest_fills = (1 - r["p"]) * r["size"] <= u["p"] * u["size"]
         rest_empties = r["p"] * r["size"] <= (1 - u["p"]) * u["size"]
         moved = F.when(to_rest, gain).otherwise(-lose)
@@ -112,7 +119,10 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     units = units.withColumn("_p", F.when((F.col("size") == 0) | near, 0.0).otherwise(exact - F.floor(exact)))
     units = units.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / FAN_IN))))
     units = stored(units)
-    level = units.where("_p > 0").select("source", "_block", _unit(F.xxhash64("doc_id", "size"), F.col("alike"), F.col("size"), F.col("_p")).alias("u"), "doc_id", "size")
+    apart = F.greatest(F.lit(2).cast("long"), F.ceil(F.col("n") / RESERVE))
+    held_back = (F.col("size") * F.col("n") <= F.col("source_size")) & (F.pmod(F.xxhash64("size", "doc_id", F.lit(seed)), apart) == 0)
+    level = units.where("_p > 0").select("source", "_block", _unit(F.xxhash64("doc_id", "size"), F.col("alike"), F.col("size"), F.col("_p")).alias("u"), held_back.alias("held"))
+    reserve, level = level.where("held").select("source", "u"), level.where("not held")
     largest = units.agg(F.max("_block")).first()[0]
     blocks = 1 if largest is None else largest + 1
     ups, trees = [], []
@@ -128,9 +138,15 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
         if blocks <= 1:
             break
         blocks = math.ceil(blocks / FAN_IN)
-    # The last unit of a source, the only one still fractional, goes to the nearer side: half its size at most is missed.
-    last = level.where("u.p >= 0.5").select("source", "u")
-    ups.append(last)
+    # The tree's last unit of a source comes first, then the reserve, longest first: what is left in the end is short.
+    closing = level.select("source", F.lit(-(1 << 62)).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "u")
+    closing = closing.union(reserve.select("source", -F.col("u.size"), F.xxhash64("u.id", F.lit(seed)), "u"))
+    closing = closing.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("a", "b", "u"))).alias("units"))
+    closing = stored(closing.select("source", _fold(F.transform("units", lambda x: x["u"]), None).alias("f")))
+    trees.append(closing)
+    ups.append(closing.select("source", F.explode("f.up").alias("u")))
+    # The only unit still fractional goes to the nearer side: half its size at most is missed.
+    ups.append(closing.where("f.rest.p >= 0.5").select("source", F.col("f.rest").alias("u")))
     up = ups[0]
     for x in ups[1:]:
         up = up.union(x)

@@ -98,6 +98,26 @@ def test_long_texts_count_whole(spark):
     assert abs((got["drawn"] * got["size"]).sum() - got.target.iloc[0]) <= 150_000
 
 
+def test_long_documents_do_not_miss_the_target(spark):
+    """The tree's last document may be long; the reserve settles it to a few words."""
+    sizes = spark.createDataFrame([(k, 900 + k % 500 if k % 40 == 0 else 1 + k % 30, "ab"[k % 3 == 0]) for k in range(6000)], "doc_id long, size long, source string").cache()
+    for seed in range(3):
+        got = mixing.copies(sizes, mixing.source_targets(sizes), seed).toPandas()
+        for _, own in got.groupby("source"):
+            assert abs((own["drawn"] * own["size"]).sum() - own.target.iloc[0]) <= 15
+            assert ((own["drawn"] == own.drawn.min()) | (own["drawn"] == own.drawn.min() + 1)).all()
+
+
+def test_closing_moves_mass_to_the_nearer_side(spark):
+    from pyspark.sql import functions as F
+
+    units = [(1, 1, 1000, 0.3), (2, 1, 400, 0.5), (3, 1, 200, 0.5), (4, 1, 10, 0.25)]
+    df = spark.createDataFrame([(units,)], f"u array<{mixing._UNIT}>")
+    got = df.select(mixing._fold(F.col("u"), None).alias("f")).first()["f"]
+    # 1 gives 200 to 2, which is full, and 100 to 3, which is full as 1 is empty: a tie, and 4 is what is left.
+    assert [u["id"] for u in got["up"]][:1] == [2] and sum(u["size"] for u in got["up"]) + got["rest"]["p"] * got["rest"]["size"] == pytest.approx(602.5)
+
+
 def test_fold_like_a_plain_pivotal_loop(spark):
     """The same pairings done in plain Python, with the same random numbers, round the same units up."""
     from pyspark.sql import functions as F
