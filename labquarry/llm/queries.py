@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op3_ivf_pq
+from .exact import OP13_SQL, op13_streaming_dedup
 from .jaccard import OP8_SQL, op8_chosen_path_join
 from .langid import op6_language_bitmask_filters
 from .lexical import OP11_SQL, op11_tiered_index
+from .lifetimes import OP12_SQL, op12_batch_lifetimes
 from .mixing import op2_pivotal_rounding
 from .packing import op10_minimum_bin_slack
 from .pii import op9_candidate_boosting
@@ -32,9 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_candidate_boosting,
         op10_minimum_bin_slack,
         op11_tiered_index,
+        op12_batch_lifetimes,
+        op13_streaming_dedup,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op5_metric_range_join": OP5_SQL, "op8_chosen_path_join": OP8_SQL, "op11_tiered_index": OP11_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op5_metric_range_join": OP5_SQL, "op8_chosen_path_join": OP8_SQL, "op11_tiered_index": OP11_SQL, "op12_batch_lifetimes": OP12_SQL, "op13_streaming_dedup": OP13_SQL}
