@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import drop_stored, read, sieve, stored
 
 #: A segment is closed at so many documents, or when it has so many postings.
-SEGMENT_DOCUMENTS, SEGMENT_POSTINGS = 4096, 1 << 20
+SEGMENT_DOCUMENTS, SEGMENT_POSTINGS = 4096, 1 << 19
 #: Of a term's postings in a segment, the first FIRST and a sixteenth of all are in tier 0, a quarter of all in tier 1 or
 #: before, the others in tier 2: short lists are in tier 0 whole.
 FIRST, SHARES, TIERS = 32, (16, 4), 3
