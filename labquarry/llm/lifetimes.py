@@ -25,6 +25,8 @@ from .common import drop_stored, parts_for, read, runs, stored
 BATCHES = 20
 #: Rows of the histogram in a range partition, about.
 RUN = 500_000
+#: Rows of a run's block, as a power of 2: the rows among which a median is looked for at last.
+BLOCK_BITS = 7
 MEASURES = ["n_rows", "n_distinct", "total", "least", "greatest", "median"]
 
 
@@ -71,55 +73,64 @@ class VerticalCounters:
         return at
 
 
-def _by_batch(masks: DataFrame, keys: list[str], sums: dict[str, str], batches: int) -> DataFrame:
+def _by_batch(masks: DataFrame, sums: dict[str, str], batches: int) -> DataFrame:
     """Sums over the rows whose mask has the batch's bit; masks has few rows, one for each group and mask."""
     spread = masks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).where(F.expr("shiftright(mask, batch) & 1 = 1"))
-    return spread.groupBy(*keys, "batch").agg(*(F.sum(c).cast("long").alias(name) for name, c in sums.items()))
+    return spread.groupBy("group", "batch").agg(*(F.sum(c).cast("long").alias(name) for name, c in sums.items()))
 
 
-def _orders(rows: DataFrame, keys: list[str], batches: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(keys, batch, least, greatest, median) of rows (keys, value, mask), and the tables it reads."""
+def _orders(rows: DataFrame, batches: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(group, batch, least, greatest, median) of rows (group, value, mask), and the tables it reads.
+
+    A median is looked for in its run's counts, then in the counts of blocks of that run, then in the rows of one block.
+    """
     spark = rows.sparkSession
-    histogram = stored(rows.where("value is not null").groupBy(*keys, "value", "mask").agg(F.count(F.lit(1)).alias("w")))
-    order = [*(F.col(k).asc_nulls_first() for k in keys), F.col("value"), F.col("mask")]
-    placed = histogram.repartitionByRange(parts_for(spark, histogram.count(), RUN), *order[:-1]).sortWithinPartitions(*order)
-    placed = stored(placed.withColumn("part", F.spark_partition_id()))
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    names = ["part", *keys]
+    histogram = stored(rows.where("value is not null").groupBy("group", "value", "mask").agg(F.count(F.lit(1)).alias("w")))
+    placed = histogram.repartitionByRange(parts_for(spark, histogram.count(), RUN), "group", "value").sortWithinPartitions("group", "value", "mask")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(placed.withColumns({"part": F.spark_partition_id(), "block": F.shiftright(at, BLOCK_BITS)}))
     lanes = np.arange(batches)
+    names = ["part", "group", "block"]
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if not len(pdf):
-                continue
-            group = pdf[names].fillna("").ne(pdf[names].shift().fillna("")).any(axis=1).cumsum().to_numpy()
-            for a, b in runs(group):
-                counters = VerticalCounters(pdf["mask"].to_numpy()[a:b], pdf["w"].to_numpy()[a:b])
+            out = []
+            new = (pdf[names] != pdf[names].shift()).any(axis=1).cumsum().to_numpy()
+            masks, weights, value = (pdf[c].to_numpy() for c in ("mask", "w", "value"))
+            for a, b in runs(new):
+                counters = VerticalCounters(masks[a:b], weights[a:b])
                 n = counters.counts(lanes)
                 there = lanes[n > 0]
-                value = pdf["value"].to_numpy()[a:b]
                 low, high = counters.select(there, np.ones(len(there))), counters.select(there, n[there])
-                yield pd.DataFrame({**{c: [pdf[c].iloc[a]] * len(there) for c in names}, "batch": there, "n": n[there], "least": value[low], "greatest": value[high]})
-
-    shape = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    found = placed.mapInPandas(measure, f"{shape}, batch int, n long, least long, greatest long")
-    found = stored(found.groupBy(*names, "batch").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
-    group = Window.partitionBy(*keys, "batch")
-    earlier = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = found.withColumns({"all": F.sum("n").over(group), "before": F.coalesce(F.sum("n").over(earlier), F.lit(0))})
-    wanted = wanted.withColumn("rank", F.floor(F.col("all") / 2) + 1 - F.col("before")).where("rank between 1 and n").select(*names, "batch", "rank")
+                first = pdf.iloc[a]
+                out.append(pd.DataFrame({**{c: [first[c]] * len(there) for c in names}, "batch": there, "n": n[there], "least": value[a:b][low], "greatest": value[a:b][high]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    blocks = placed.mapInPandas(measure, "part int, group string, block long, batch int, n long, least long, greatest long")
+    blocks = stored(blocks.groupBy(*names, "batch").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+
+    def sought(found: DataFrame, rank: Column, within: list[str], order: str) -> DataFrame:
+        """The rows of found in which the count by `order` reaches the rank, which is then one among theirs."""
+        earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        return found.withColumn("rank", rank - F.col("before")).where("rank between 1 and n")
+
+    whole = F.sum("n").over(Window.partitionBy("group", "batch"))
+    parts = blocks.groupBy("part", "group", "batch").agg(F.sum("n").alias("n")).withColumn("half", F.floor(whole / 2) + 1)
+    parts = sought(parts, F.col("half"), ["group", "batch"], "part").select("part", "group", "batch", F.col("rank").alias("half"))
+    wanted = sought(blocks.join(parts, ["part", "group", "batch"]), F.col("half"), ["part", "group", "batch"], "block").select(*names, "batch", "rank")
+    wanted = stored(wanted)
 
     def pick(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame(columns=[*keys, "batch", "median"])
         pdf = pdf.sort_values("value", kind="stable")
         at = VerticalCounters(pdf["mask"].to_numpy(), pdf["w"].to_numpy()).select(asked["batch"].to_numpy(), asked["rank"].to_numpy())
-        return pd.DataFrame({**{k: asked[k] for k in keys}, "batch": asked["batch"], "median": pdf["value"].to_numpy()[at]})
+        return pd.DataFrame({"group": asked["group"], "batch": asked["batch"], "median": pdf["value"].to_numpy()[at]})
 
-    shape = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    middle = placed.groupBy(*names).cogroup(wanted.groupBy(*names)).applyInPandas(pick, f"{shape}, batch int, median long")
-    ends = found.groupBy(*keys, "batch").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
-    return ends.unionByName(middle, allowMissingColumns=True), [histogram, placed, found]
+    own = placed.join(wanted.select(*names).distinct(), names, "left_semi")
+    middle = own.groupBy(*names).cogroup(wanted.groupBy(*names)).applyInPandas(pick, "group string, batch int, median long")
+    ends = blocks.groupBy("group", "batch").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    return ends.unionByName(middle, allowMissingColumns=True), [histogram, placed, blocks, wanted]
 
 
 def aggregates_by_batch(rows: DataFrame, keys: list[str], item: str = "item", value: str = "value", mask: str = "mask", batches: int = BATCHES) -> DataFrame:
@@ -135,28 +146,32 @@ def aggregates_by_batch(rows: DataFrame, keys: list[str], item: str = "item", va
     """
     if not 0 < batches <= 62:
         raise ValueError("1 to 62 batches")
-    ks = [f"_k{p}" for p in range(max(1, len(keys)))]  # without keys, one group of all rows
-    rows = rows.select(*(F.col(f"`{k}`").alias(x) for k, x in zip(keys, ks, strict=False)), *([] if keys else [F.lit(0).alias(ks[0])]), F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").cast("long").alias("value"), F.col(f"`{mask}`").cast("long").alias("mask"))
-    rows = rows.where("mask != 0")
-    sums = rows.groupBy(*ks, "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    every = _by_batch(sums, ks, {"n_rows": "n", "total": "total"}, batches)
-    items = rows.where("item is not null").groupBy(*ks, F.unhex(F.sha2(F.col("item").cast("binary"), 256)).alias("item")).agg(F.bit_or("mask").alias("mask"))
-    different = _by_batch(items.groupBy(*ks, "mask").agg(F.count(F.lit(1)).alias("n")), ks, {"n_distinct": "n"}, batches)
-    ordered, tables = _orders(rows, ks, batches)
-    grid = stored(sums.select(*ks).distinct()).select(*ks, F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
+    ks = [f"_k{p}" for p in range(len(keys))]
+    group = F.to_json(F.struct(*ks)) if keys else F.lit("")  # one text for the keys, null or not
+    rows = rows.select(*(F.col(f"`{k}`").alias(x) for k, x in zip(keys, ks, strict=True)), F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").cast("long").alias("value"), F.col(f"`{mask}`").cast("long").alias("mask"))
+    rows = rows.where("mask != 0").withColumn("group", group)
+    sums = rows.groupBy("group", *ks, "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    sums = stored(sums)
+    every = _by_batch(sums, {"n_rows": "n", "total": "total"}, batches)
+    items = rows.where("item is not null").groupBy("group", F.unhex(F.sha2(F.col("item").cast("binary"), 256)).alias("item")).agg(F.bit_or("mask").alias("mask"))
+    different = _by_batch(items.groupBy("group", "mask").agg(F.count(F.lit(1)).alias("n")), {"n_distinct": "n"}, batches)
+    ordered, tables = _orders(rows, batches)
+    groups = sums.select("group", *ks).distinct()
+    grid = groups.select("group", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     found = grid.unionByName(every, allowMissingColumns=True).unionByName(different, allowMissingColumns=True).unionByName(ordered, allowMissingColumns=True)
-    found = found.groupBy(*ks, "batch").agg(*(F.max(m).alias(m) for m in MEASURES))
+    found = found.groupBy("group", "batch").agg(*(F.max(m).alias(m) for m in MEASURES))
     zero = ["n_rows", "n_distinct", "total"]
     found = found.withColumns({m: F.coalesce(m, F.lit(0)) for m in zero})
-    before = Window.partitionBy(*ks).orderBy("batch")
+    before = Window.partitionBy("group").orderBy("batch")
     old = {f"old_{m}": F.coalesce(F.lag(m).over(before), F.lit(0)) if m in zero else F.lag(m).over(before) for m in MEASURES}
     found = found.withColumns(old)
     changed: Column = F.lit(False)
     for m in MEASURES:
         changed = changed | ~F.col(f"old_{m}").eqNullSafe(F.col(m))
     sides = [F.col(c).cast("long").alias(name) for m in MEASURES for c, name in ((f"old_{m}", f"old_{m}"), (m, f"new_{m}"))]
-    out = stored(found.where(changed).select("batch", *(F.col(x).alias(k) for k, x in zip(keys, ks, strict=False)), *sides))
-    drop_stored(*tables)
+    found = found.where(changed).join(groups, "group")
+    out = stored(found.select("batch", *(F.col(x).alias(k) for k, x in zip(keys, ks, strict=True)), *sides))
+    drop_stored(sums, *tables)
     return out
 
 
