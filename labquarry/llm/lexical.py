@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import drop_stored, read, sieve, stored
 
 #: A segment is closed at so many documents, or when it has so many postings.
-SEGMENT_DOCUMENTS, SEGMENT_POSTINGS = 4096, 1 << 19
+SEGMENT_DOCUMENTS, SEGMENT_POSTINGS = 4096, 1 << 20
 #: Of a term's postings in a segment, the first FIRST and a sixteenth of all are in tier 0, a quarter of all in tier 1 or
 #: before, the others in tier 2: short lists are in tier 0 whole.
 FIRST, SHARES, TIERS = 32, (16, 4), 3
@@ -114,6 +114,11 @@ class _Segment:
         return pa.RecordBatch.from_arrays(columns, ["segment", "term", "df", "bound", "docs", "impacts", "tier"])
 
 
+def _slices(rows: pa.RecordBatch, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, size):
+        yield rows.slice(at, size)
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", segment_documents: int = SEGMENT_DOCUMENTS, first: int = FIRST) -> TieredIndex:
     """The stored index of all documents and all their terms, in segments of at most segment_documents (under 65,536).
 
@@ -139,11 +144,11 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
                     continue
                 now.add(i, counts)
                 if len(now.ids) >= segment_documents or len(now.terms) >= SEGMENT_POSTINGS:
-                    done, now = now, _Segment()
-                    yield done.rows(number, n, length, first)
+                    rows, now = now.rows(number, n, length, first), _Segment()
+                    yield from _slices(rows)
                     number += 1
         if now.ids:
-            yield now.rows(number, n, length, first)
+            yield from _slices(now.rows(number, n, length, first))
 
     postings = rows.mapInArrow(invert, "segment long, term string, df long, bound long, docs binary, impacts binary, tier int")
     return TieredIndex(stored(postings, by=["tier"]), n, length)
