@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .molecule_files import MOLECULE, read_mol2, read_sdf, write_molecules  # noqa: F401
+
 
 def clean(df: DataFrame) -> DataFrame:
     """NaN becomes null: the engine has one kind of missing value."""
@@ -43,47 +44,6 @@ def read_cell_folder(spark: SparkSession, root: str, layout: str = "subfolders",
     return {"cells": cells.withColumn("cell", F.col("cell").cast("int")), "background": df.where(is_background).drop("cell")}
 
 
-MOLECULE = "name string, atoms array<struct<element string, x double, y double, z double>>, bonds array<struct<a int, b int, kind int>>, props map<string,string>"
-
-
-def _records(df: DataFrame, parse) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [m for text in pdf["value"] if (m := parse(text)) is not None]
-            yield pd.DataFrame(rows, columns=["name", "atoms", "bonds", "props"])
-
-    return df.select("value").mapInPandas(run, MOLECULE)
-
-
-def parse_sdf(text: str) -> tuple | None:
-    """One V2000 record: (name, atoms, bonds, props); None if it is none."""
-    lines = text.lstrip("\n").splitlines() if not text.startswith("\n") else text[1:].splitlines()
-    if len(lines) < 4 or not re.match(r"\s*\d", lines[3] or ""):
-        return None
-    try:
-        n, m = int(lines[3][:3]), int(lines[3][3:6])
-        atoms = [{"element": x[31:34].strip(), "x": float(x[:10]), "y": float(x[10:20]), "z": float(x[20:30])} for x in lines[4 : 4 + n]]
-        bonds = [{"a": int(x[:3]), "b": int(x[3:6]), "kind": int(x[6:9])} for x in lines[4 + n : 4 + n + m]]
-    except (ValueError, IndexError):
-        return None
-    props, name, rest = {}, None, lines[4 + n + m :]
-    for line in rest:
-        if found := re.match(r">.*<(.+)>", line):
-            name = found[1]
-            props[name] = ""
-        elif name and line.strip():
-            props[name] = f"{props[name]}\n{line}".strip("\n")
-        elif name:
-            name = None
-    return lines[0].strip(), atoms, bonds, props
-
-
-def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """Molecules of SDF files: records are split by Spark's line reader, so that large files are read in parallel."""
-    lines = spark.read.option("lineSep", "$$$$\n").text(path)
-    return _records(lines.where(F.trim("value") != ""), parse_sdf)
-
-
 def parse_xyz(text: str) -> list[tuple]:
     out, lines, at = [], text.splitlines(), 0
     while at + 1 < len(lines) and lines[at].strip().isdigit():
@@ -91,7 +51,7 @@ def parse_xyz(text: str) -> list[tuple]:
         atoms = []
         for line in lines[at + 2 : at + 2 + n]:
             e, x, y, z = line.split()[:4]
-            atoms.append({"element": e, "x": float(x), "y": float(y), "z": float(z)})
+            atoms.append({"element": e, "x": float(x), "y": float(y), "z": float(z), "charge": 0})
         out.append((lines[at + 1].strip(), atoms, [], {}))
         at += 2 + n
     return out
