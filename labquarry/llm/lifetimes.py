@@ -128,9 +128,9 @@ def _orders(rows: DataFrame, batches: int) -> tuple[DataFrame, list[DataFrame]]:
         return pd.DataFrame({"group": asked["group"], "batch": asked["batch"], "median": pdf["value"].to_numpy()[at]})
 
     own = placed.join(wanted.select(*names).distinct(), names, "left_semi")
-    middle = own.groupBy(*names).cogroup(wanted.groupBy(*names)).applyInPandas(pick, "group string, batch int, median long")
+    middle = stored(own.groupBy(*names).cogroup(wanted.groupBy(*names)).applyInPandas(pick, "group string, batch int, median long"))
     ends = blocks.groupBy("group", "batch").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
-    return ends.unionByName(middle, allowMissingColumns=True), [histogram, placed, blocks, wanted]
+    return ends.unionByName(middle, allowMissingColumns=True), [histogram, placed, blocks, wanted, middle]
 
 
 def aggregates_by_batch(rows: DataFrame, keys: list[str], item: str = "item", value: str = "value", mask: str = "mask", batches: int = BATCHES) -> DataFrame:
