@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import trees
 from .tabular import OperatorError, as_text, numeric, q
 
 
@@ -38,6 +39,7 @@ class Model:
     importances: dict[str, float] = field(default_factory=dict)
     pipeline: PipelineModel | None = None
     linear: dict[str, float] | None = None
+    ensembles: list[trees.Ensemble] = field(default_factory=list)
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.transform(df)
@@ -70,25 +72,48 @@ CLASSIFIERS: dict[str, Callable[..., object]] = {
     "logistic_regression": lambda n, C=1.0, max_iter=100, **_: mlc.LogisticRegression(regParam=1 / (C * max(1, n)), maxIter=max_iter, standardization=False),  # noqa: N803
     "svm": lambda n, C=1.0, max_iter=100, **_: mlc.LinearSVC(regParam=1 / (C * max(1, n)), maxIter=max_iter),  # noqa: N803
     "gradient_boosting": lambda n, n_estimators=100, max_depth=3, learning_rate=0.1, seed=42, **_: mlc.GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed),
-    "hist_gradient_boosting": lambda n, n_estimators=100, max_depth=0, learning_rate=0.1, seed=42, **_: mlc.GBTClassifier(maxIter=n_estimators, maxDepth=max_depth or 5, maxBins=255, stepSize=learning_rate, seed=seed),
-    "xgboost": lambda n, n_estimators=100, max_depth=6, learning_rate=0.3, subsample=1.0, seed=42, **_: mlc.GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, seed=seed),
 }
 REGRESSORS: dict[str, Callable[..., object]] = {
     "random_forest": lambda n, n_estimators=100, max_depth=0, seed=42, **_: mlr.RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth or 12, seed=seed),
     "extra_trees": lambda n, n_estimators=100, max_depth=0, seed=42, **_: mlr.RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth or 12, seed=seed, bootstrap=False, featureSubsetStrategy="all"),
     "decision_tree": lambda n, max_depth=0, seed=42, **_: mlr.DecisionTreeRegressor(maxDepth=max_depth or 12, seed=seed),
     "gradient_boosting": lambda n, n_estimators=100, max_depth=3, learning_rate=0.1, seed=42, **_: mlr.GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed),
-    "hist_gradient_boosting": lambda n, n_estimators=100, max_depth=0, learning_rate=0.1, seed=42, **_: mlr.GBTRegressor(maxIter=n_estimators, maxDepth=max_depth or 5, maxBins=255, stepSize=learning_rate, seed=seed),
-    "xgboost": lambda n, n_estimators=100, max_depth=6, learning_rate=0.3, subsample=1.0, seed=42, **_: mlr.GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, seed=seed),
     "lasso": lambda n, alpha=1.0, max_iter=1000, **_: mlr.LinearRegression(regParam=alpha, elasticNetParam=1.0, maxIter=max_iter, standardization=False),
     "elastic_net": lambda n, alpha=1.0, l1_ratio=0.5, max_iter=1000, **_: mlr.LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, maxIter=max_iter, standardization=False),
 }
-_BINARY_ONLY = {"svm", "gradient_boosting", "hist_gradient_boosting", "xgboost"}
+_BINARY_ONLY = {"svm", "gradient_boosting"}
+#: Histogram boosting: what its two forms set unless told otherwise. Trees grow level by level in both.
+BOOSTED: dict[str, dict] = {
+    "xgboost": {"max_depth": 6, "learning_rate": 0.3, "reg_lambda": 1.0, "min_child_weight": 1.0, "max_bins": 256},
+    "hist_gradient_boosting": {"max_depth": 5, "learning_rate": 0.1, "reg_lambda": 0.0, "min_child_weight": 1e-3, "min_samples_leaf": 20, "max_bins": 255},
+}
+
+
+def _boosted(rows: DataFrame, kind: str, target: str, features: list[str], labels: list[str] | None, n_estimators: int = 100, **parameters) -> Model:
+    """Boosted trees of operators/trees.py; unlike the others they take rows with missing features."""
+    given = {k: v for k, v in parameters.items() if not (k == "max_depth" and not v)}
+    found = trees.boost(rows, target, features, labels, rounds=n_estimators, **(BOOSTED[kind] | given))
+    return _boosted_model(found, features, target, labels or [])
+
+
+def _boosted_model(found: list[trees.Ensemble], features: list[str], target: str | None, labels: list[str]) -> Model:
+    used = {c: 0.0 for c in features}
+    for t in [t for e in found for t in e.trees]:
+        for k, f in enumerate(t.feature):
+            if f >= 0:
+                used[features[f]] += t.cover[k]
+    importance = {c: v / (sum(used.values()) or 1.0) for c, v in used.items()}
+    if not labels:
+        return Model("regression", features, target, lambda df: df.withColumn("prediction", found[0].column()), importances=importance, ensembles=found)
+    scores = dict(zip(labels, [F.lit(0.0), found[0].column()] if len(found) == 1 else [e.column() for e in found], strict=False))
+    return Model("classification", features, target, _scored(scores, True), labels, importance, ensembles=found)
 
 
 def fit_classifier(df: DataFrame, kind: str, target: str, features: list[str] | None = None, **parameters) -> Model:
-    """A classifier of CLASSIFIERS, or mlp, naive_bayes, lda, qda or ridge. Two-class methods are fitted one against the rest."""
+    """A classifier of CLASSIFIERS or BOOSTED, or mlp, naive_bayes, lda, qda or ridge. Two-class methods are fitted one against the rest."""
     features = features or [c for c in numeric(df) if c != target]
+    if kind in BOOSTED:
+        return _boosted(df, kind, target, features, _labels(_known(df, [target]), target), **parameters)
     rows = _known(df, [*features, target])
     labels = _labels(rows, target)
     if kind in ("naive_bayes", "lda", "qda"):
@@ -129,9 +154,11 @@ def _ml_classifier(fitted: PipelineModel, features: list[str], target: str, labe
 
 
 def fit_regressor(df: DataFrame, kind: str, target: str, features: list[str] | None = None, **parameters) -> Model:
-    """A regressor of REGRESSORS, or linear, ridge or bayesian_ridge, which solve the normal equations."""
+    """A regressor of REGRESSORS or BOOSTED, or linear, ridge or bayesian_ridge, which solve the normal equations."""
     features = features or [c for c in numeric(df) if c != target]
     rows = _known(df, [*features, target])
+    if kind in BOOSTED:
+        return _boosted(df, kind, target, features, None, **parameters)
     if kind in ("linear", "ridge", "bayesian_ridge"):
         return _least_squares(rows, kind, target, features, **parameters)
     if kind not in REGRESSORS:
@@ -295,6 +322,25 @@ def linear_contributions(model: Model, df: DataFrame) -> DataFrame:
     return out.drop(*(f"_m_{c}" for c in model.features))
 
 
+def shap_values(model: Model, df: DataFrame, label: str | None = None) -> DataFrame:
+    """df with shap_<feature> and shap_base of a model of trees (exact, path-dependent) or a linear one.
+
+    label: of a forest or a decision tree, whose share of that label is explained, or of boosting beyond two labels (its margin).
+    Boosting of two labels is explained by the margin of the second.
+    """
+    if model.linear:
+        return linear_contributions(model, df)
+    if model.ensembles:
+        if len(model.ensembles) > 1 and label is None:
+            raise OperatorError("which label is to be explained?")
+        return trees.tree_shap(df, model.ensembles[model.labels.index(label) if len(model.ensembles) > 1 else 0])
+    last = model.pipeline.stages[-1] if model.pipeline is not None else None
+    if last is None or not (hasattr(last, "trees") or type(last).__name__.startswith("DecisionTree")):
+        raise OperatorError("Shapley values are for trees and linear models")
+    place = model.labels.index(label or model.labels[-1]) if model.task == "classification" else None
+    return trees.tree_shap(df, trees.ml_trees(last, model.features, place))
+
+
 SCORINGS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "r2", "neg_mean_squared_error", "neg_mean_absolute_error", "neg_root_mean_squared_error")
 
 
@@ -338,16 +384,20 @@ def grid_search(df: DataFrame, task: str, kind: str, target: str, key: list[str]
 
 
 def save_model(model: Model, path: str, spark: SparkSession) -> None:
-    """An MLlib model with what it was fitted on."""
-    if model.pipeline is None:
-        raise OperatorError("only MLlib models are saved")
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    meta = {"task": model.task, "features": model.features, "target": model.target, "labels": model.labels}
+    """An MLlib model, or one of boosted trees, with what it was fitted on."""
+    if model.pipeline is None and not model.ensembles:
+        raise OperatorError("only MLlib models and boosted trees are saved")
+    if model.pipeline is not None:
+        model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    meta = {"task": model.task, "features": model.features, "target": model.target, "labels": model.labels, "ensembles": [asdict(e) for e in model.ensembles]}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
 def load_model(path: str, spark: SparkSession) -> Model:
     meta = json.loads(spark.read.text(f"{path}/about").first()[0])
+    if meta.get("ensembles"):
+        found = [trees.Ensemble(e["features"], e["base"], [trees.Tree(**t) for t in e["trees"]]) for e in meta["ensembles"]]
+        return _boosted_model(found, meta["features"], meta["target"], meta["labels"])
     fitted = PipelineModel.load(f"{path}/pipeline")
     if meta["task"] == "classification":
         return _ml_classifier(fitted, meta["features"], meta["target"], meta["labels"])
