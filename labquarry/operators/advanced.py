@@ -16,94 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
+from .curves import CURVES, curve, nonlinear_fit  # noqa: F401
 from .models import Model, _scored, score
 from .statistics import _known, mann_whitney
 from .tabular import OperatorError, as_text, q
 
-# Nonlinear curves
-
-
-def _logistic4(x, bottom, top, ec50, hill):
-    with np.errstate(all="ignore"):
-        return bottom + (top - bottom) / (1 + (np.maximum(x, 1e-300) / ec50) ** -hill)
-
-
-CURVES: dict[str, tuple[list[str], Callable, Callable]] = {
-    "4pl": (["bottom", "top", "ec50", "hill"], _logistic4, lambda x, y: [y.min(), y.max(), max(float(np.median(x)), 1e-6), 1.0 if y[np.argmax(x)] >= y[np.argmin(x)] else -1.0]),
-    "hill": (["vmax", "k", "n"], lambda x, v, k, n: v * np.maximum(x, 0) ** n / (np.abs(k) ** n + np.maximum(x, 0) ** n), lambda x, y: [y.max(), max(float(np.median(x)), 1e-6), 1.0]),
-    "one_phase_decay": (["y0", "plateau", "k"], lambda x, a, p, k: (a - p) * np.exp(-k * x) + p, lambda x, y: [y[np.argmin(x)], y[np.argmax(x)], 1 / max(float(np.ptp(x)) / 3, 1e-9)]),
-    "two_phase_decay": (["a1", "k1", "a2", "k2", "plateau"], lambda x, a, k, b, m, p: a * np.exp(-k * x) + b * np.exp(-m * x) + p, lambda x, y: [np.ptp(y) / 2, 5 / max(float(np.ptp(x)), 1e-9), np.ptp(y) / 2, 1 / max(float(np.ptp(x)), 1e-9), y.min()]),
-    "exponential_growth": (["y0", "k"], lambda x, a, k: a * np.exp(k * x), lambda x, y: [max(float(y[np.argmin(x)]), 1e-6), 1 / max(float(np.ptp(x)), 1e-9)]),
-    "michaelis_menten": (["vmax", "km"], lambda x, v, k: v * x / (k + x), lambda x, y: [y.max() * 1.2, max(float(np.median(x)), 1e-6)]),
-    "gompertz": (["a", "b", "c"], lambda x, a, b, c: a * np.exp(-b * np.exp(-c * x)), lambda x, y: [y.max(), 2.0, 3 / max(float(np.ptp(x)), 1e-9)]),
-    "sigmoid": (["top", "x0", "k"], lambda x, a, m, k: a / (1 + np.exp(-k * (x - m))), lambda x, y: [y.max(), float(np.median(x)), 4 / max(float(np.ptp(x)), 1e-9)]),
-}
-
-
-def levenberg_marquardt(f: Callable, x: np.ndarray, y: np.ndarray, start: list[float], rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
-    """(parameters, standard errors, sum of squares) of the least-squares fit from a start; slopes by differences."""
-    p, damping = np.array(start, float), 1e-3
-
-    def residual(p):
-        with np.errstate(all="ignore"):
-            r = y - f(x, *p)
-        return r if np.isfinite(r).all() else np.full(len(y), 1e150)
-
-    r = residual(p)
-    sse = float(r @ r)
-    for _ in range(rounds):
-        jacobian = np.empty((len(x), len(p)))
-        for k in range(len(p)):
-            h = 1e-7 * max(abs(p[k]), 1e-4)
-            step = p.copy()
-            step[k] += h
-            jacobian[:, k] = (residual(step) - r) / -h
-        if not np.isfinite(jacobian).all():
-            break
-        a, g = jacobian.T @ jacobian, jacobian.T @ r
-        improved = False
-        for _ in range(40):
-            d = np.linalg.lstsq(a + damping * np.diag(np.maximum(np.diag(a), 1e-12)), g, rcond=None)[0]
-            trial = residual(p + d)
-            new = float(trial @ trial)
-            if new < sse:
-                improved = sse - new > 1e-14 * sse
-                p, r, sse, damping = p + d, trial, new, max(damping / 5, 1e-12)
-                break
-            damping *= 4
-        if not improved:
-            break
-    free = max(1, len(x) - len(p))
-    cov = np.linalg.pinv(jacobian.T @ jacobian) * sse / free
-    return p, np.sqrt(np.clip(np.diag(cov), 0, None)), sse
-
-
-def nonlinear_fit(df: DataFrame, x: str, y: str, model: str = "4pl", group: str | None = None) -> DataFrame:
-    """(group, parameter, value, std_error, r_squared, n) of a curve of CURVES; groups of fewer than 4 points are left out."""
-    if model not in CURVES:
-        raise OperatorError(f"no curve {model!r}")
-    names, f, start = CURVES[model]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        if len(a) < max(4, len(names)):
-            return pd.DataFrame(columns=["group", "parameter", "value", "std_error", "r_squared", "n"])
-        p, error, sse = levenberg_marquardt(f, a, b, start(a, b))
-        p = np.abs(p) if model == "hill" else p  # k enters by its size
-        total = float(((b - b.mean()) ** 2).sum())
-        return pd.DataFrame({"group": pdf["g"].iloc[0], "parameter": names, "value": p, "std_error": error, "r_squared": 1 - sse / total if total else np.nan, "n": len(a)})
-
-    rows = df.where(q(x).isNotNull() & q(y).isNotNull()).select((as_text(q(group)) if group else F.lit("all")).alias("g"), q(x).cast("double").alias("x"), q(y).cast("double").alias("y"))
-    return rows.groupBy("g").applyInPandas(fit, "group string, parameter string, value double, std_error double, r_squared double, n long")
-
-
-def curve(model: str, parameters: dict[str, float], low: float, high: float, points: int, spark) -> DataFrame:
-    """(x, y) of a fitted curve on an even grid."""
-    names, f, _ = CURVES[model]
-    x = np.linspace(low, high, points)
-    return spark.createDataFrame(pd.DataFrame({"x": x, "y": f(x, *(parameters[n] for n in names))}))
-
-
 # Outliers and normality
 
 
