@@ -6,6 +6,7 @@ They are meant for the handful of rows that a test yields, not for raw data: the
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -189,3 +190,34 @@ def p_kolmogorov(x: Column) -> Column:
 
 def p_range(q: Column, k: Column, df: Column) -> Column:
     return _column(range_sf, q, k, df)
+
+
+# The published rational approximations of the normal quantile (Wichura, 1988, algorithm AS 241, PPND16),
+# numerators and denominators by rising power: near the middle, and for the tails in sqrt(-ln p) up to 5 and beyond.
+_QUANTILE = {
+    "middle": (
+        [3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727],
+        [1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610],
+    ),
+    "tail": (
+        [1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4],
+        [1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9],
+    ),
+    "far": (
+        [6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+        [1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15],
+    ),
+}
+
+
+def quantile_normal_sql(p: str) -> str:
+    """The normal quantile of an SQL expression strictly between 0 and 1, as an expression that Spark and other engines read."""
+
+    def ratio(part: str, x: str) -> str:
+        powers = [reduce(lambda s, c: f"({s} * ({x}) + CAST({c!r} AS DOUBLE))", reversed(side[:-1]), f"CAST({side[-1]!r} AS DOUBLE)") for side in _QUANTILE[part]]
+        return f"({powers[0]} / {powers[1]})"
+
+    r = f"sqrt(-ln(least({p}, 1 - ({p}))))"
+    middle = f"(({p}) - 0.5) * {ratio('middle', f'0.180625 - (({p}) - 0.5) * (({p}) - 0.5)')}"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio('tail', f'{r} - 1.6')} ELSE {ratio('far', f'{r} - 5')} END"
+    return f"(CASE WHEN abs(({p}) - 0.5) <= 0.425 THEN {middle} WHEN ({p}) < 0.5 THEN -({tail}) ELSE {tail} END)"

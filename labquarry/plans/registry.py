@@ -32,7 +32,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import analysis_queries, domain_queries, further_queries, measure_queries, tabular_queries  # noqa: F401
+    from . import analysis_queries, domain_queries, further_queries, measure_queries, model_queries, structure_queries, tabular_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
