@@ -56,7 +56,7 @@ def test_like_a_plain_loop(spark):
         assert r["is_normal"] == (p > 0.05)
     assert round(got["weights"]["w"], 2) == 0.79 and got["skew"]["p"] < 1e-3
     whole = normality.shapiro_wilk(df.where("k = 'n40'"), "y").first()
-    assert whole["group"] == "all" and whole["w"] == got["n40"]["w"]
+    assert whole["group"] == "all" and whole["w"] == pytest.approx(got["n40"]["w"], abs=1e-12)  # sums run in another order
     assert normality.shapiro_wilk(df.limit(0), "y", "k").count() == 0
 
 
