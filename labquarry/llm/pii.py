@@ -46,14 +46,15 @@ GUARD = {"email": ("%@%",), "ip": ("%.%",), "card": ("%",), "phone": ("%+%",)}
 SECRET = "secret"
 PROPOSED = (*KINDS, SECRET)
 
-# What may stand for the kind in writing that avoids or varies the plain form; the trees decide.
+# What may stand for the kind in writing that avoids or varies the plain form; the trees decide. Runs are matched whole, of any
+# length; only the features that describe them are bounded.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?|\x20@\x20|\x20AT\x20|\x20at\x20(?=[A-Za-z0-9-]{1,64}+\x20(?:dot|DOT)\x20))"
-    r"[A-Za-z0-9-]{1,64}+(?:(?:\x20?[\[(]\x20?(?:dot|DOT|\.)\x20?[\])]\x20?|\x20(?:dot|DOT|\.)\x20|\.)[A-Za-z0-9-]{1,64}+){1,8}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?|\x20@\x20|\x20AT\x20|\x20at\x20(?=[A-Za-z0-9-]++\x20(?:dot|DOT)\x20))"
+    r"[A-Za-z0-9-]++(?:(?:\x20?[\[(]\x20?(?:dot|DOT|\.)\x20?[\])]\x20?|\x20(?:dot|DOT|\.)\x20|\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\x20?(?:\[\.\]|\(\.\))\x20?|\x20\.\x20)[0-9]{1,3}+){3}+(?![0-9.])",
     "card": r"(?<![0-9.])(?:[0-9]{4}(?:[.\x20/_-]{1,3}+[0-9]{4}){2}[.\x20/_-]{1,3}+[0-9]{2,4}+|[0-9]{4}[.\x20/_-][0-9]{6}[.\x20/_-][0-9]{5})(?![0-9.])",
     "phone": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[\x20.-]{1,2}+[0-9]{3}[\x20.-][0-9]{4}|0[0-9]{2,4}+\x20?[/-]\x20?[0-9]{3}\x20?[0-9]{3,5}+|00[0-9]{2}(?:[\x20.-]?[0-9]{2,4}+){3,4}+)(?![0-9.-])",
-    SECRET: r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}+[0-9])[A-Za-z0-9_+/-]{16,512}+={0,2}+",
+    SECRET: r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}+",
 }
 LOOSE_GUARD = {"email": ("%[%", "%(%", "% @ %", "% AT %", "% dot %", "% DOT %"), "ip": ("%[.]%", "%(.)%", "% . %"), "card": ("%",), "phone": ("%",), SECRET: ("%",)}
 #: Words beside a candidate that speak for its kind, and those that speak against any.

@@ -94,6 +94,16 @@ def test_secrets_and_prose(spark, model):
     assert red[0] == 'thstorti token = "[SECRET]" thhantou' and red[2:5] == texts[2:5]
 
 
+def test_long_runs_go_whole(spark, model):
+    """No part of a long secret or address stays, wherever its first digit stands."""
+    key = "".join(hashlib.sha512(str(k).encode()).hexdigest() for k in range(300))
+    keys = [key[:600], key[:5000], key, "Q" * 40 + "x" * 80 + key[:64]]
+    mail = ["a" * 100 + " [at] mail3 [dot] com", "ann [at] " + "m" * 90 + " [dot] com", "ann [at] m" + " [dot] m" * 12 + " [dot] com"]
+    _, red = spans(spark, model, [f'now token = "{k}" then' for k in keys] + [f"write to {m} now" for m in mail])
+    assert red[:4] == ['now token = "[SECRET]" then'] * 4
+    assert red[4:] == ["write to [EMAIL] now"] * 3
+
+
 def test_overlaps_go_to_the_higher_score(spark):
     rows = [(0, 1, 9, "card", False, 0.7), (4, 3, 12, "phone", False, 0.9), (12, 0, 20, "email", False, 0.6), (18, 1, 25, "ip", True, 0.1), (30, 0, 35, "email", True, 0.2), (31, 4, 50, "secret", False, 1.0), (60, 4, 80, "secret", False, 0.8)]
     df = spark.createDataFrame([(rows,)], "s " + pii._FOUND).select(pii.chosen(F.col("s")).alias("s"))
