@@ -134,7 +134,8 @@ def assign_shards(df: DataFrame, keys: list[str], size: str, n_shards: int = 16,
 def op4_fixed_virtual_slots(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:
     """All documents in shards by law `bytes`: near-equal sums of size (UTF-8 bytes of the text, null: none, plus 1).
 
-    The map is kept in the shared folder, one for each table; a run over the same table finds and leaves it as it is.
+    The map is kept in the shared folder, one for each table, whatever the number of shards: a run over the same table
+    finds and leaves it as it is, one that asks for more or fewer shards edits it, and only the slots of that edit move.
     slot is a row's place in its shard, gapless from 0, in order of virtual slot, doc_id and text.
     """
     docs = read(spark, sf_dir, "documents").select(
@@ -142,7 +143,7 @@ def op4_fixed_virtual_slots(spark: SparkSession, sf_dir: str, n_shards: int = 16
         (text_bytes(F.col("text")) + 1).alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
     )
-    name = hashlib.md5(f"{sf_dir.rstrip('/')}/documents {n_shards}".encode()).hexdigest()
+    name = hashlib.md5(f"{sf_dir.rstrip('/')}/documents".encode()).hexdigest()
     docs = stored(docs)
     placed, _ = assign_shards(docs, ["doc_id", "text_crc32", "size"], "size", n_shards, folder=f"{shared_folder(spark)}/slot-maps/{name}")
     out = numbered(placed, ["shard"], ["virtual_slot", "doc_id", "text_crc32", "size"], "slot")

@@ -59,6 +59,21 @@ def test_stored_map_over_a_grown_table(spark, tmp_path):
     assert third == two
 
 
+def test_more_and_fewer_shards_edit_the_same_map(spark, tmp_path):
+    """16, 17 and again 16 shards: versions of one map; only slots of its edits move, and shards stay near equal."""
+    rows = [(k, "w" * (k * 7919 % 301)) for k in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    runs = [sharding.op4_fixed_virtual_slots(spark, str(tmp_path), n).toPandas().set_index("doc_id") for n in (16, 17, 16)]
+    for n, got in zip((16, 17, 16), runs, strict=True):
+        sums = got.groupby("shard")["size"].sum()
+        assert list(sums.index) == list(range(n)) and sums.max() - sums.min() <= 0.02 * sums.mean()
+        assert all(sorted(own) == list(range(len(own))) for _, own in got.groupby("shard")["slot"])
+    few, more, back = (got["shard"] for got in runs)
+    assert (few != more.loc[few.index]).mean() <= 1.3 / 17  # about a seventeenth of the rows is needed
+    assert (more != back.loc[more.index]).mean() <= 1.3 / 17
+    assert (runs[0]["virtual_slot"] == runs[1]["virtual_slot"].loc[few.index]).all()
+
+
 def test_very_long_texts_and_clashes(spark, tmp_path):
     rows = [(k, "é" * 400_000 if k == 9 else "a" * k, *["x"] * 4) for k in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, size string, shard string, slot string, number string").write.parquet(str(tmp_path / "documents.parquet"))
