@@ -47,6 +47,11 @@ def _mixed():
             # The ratio of variances is searched, which SQL cannot; tests hold it against dense matrices.
             query(None, f"mixed_{part}_{'reml' if reml else 'ml'}")(run)
 
+        def sloped(spark, d, part=part):
+            return mixed.mixed_effects(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey", slope="l_quantity")[part]
+
+        query(None, f"mixed_slope_{part}")(sloped)
+
 
 _mixed()
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labquarry.functions import special
 from labquarry.operators import cells, figures, images, mixed, molecules
@@ -115,3 +116,57 @@ def test_molecule_tables(spark):
     for row in (-1, 3):
         with pytest.raises(OperatorError):
             molecules.nth_molecule(numbered, row)
+
+
+def dense_slope(y, x, z, g, psi, reml):
+    """Log likelihood, coefficients, errors, residual variance and effects of intercept and slope, by n x n matrices."""
+    n, p = x.shape
+    v = np.eye(n)
+    for k in np.unique(g):
+        own = np.where(g == k)[0]
+        v[np.ix_(own, own)] += z[own] @ psi @ z[own].T
+    i = np.linalg.inv(v)
+    a = x.T @ i @ x
+    b = np.linalg.solve(a, x.T @ i @ y)
+    r = y - x @ b
+    free = n - p if reml else n
+    scale = r @ i @ r / free
+    value = free * np.log(2 * np.pi * scale) + free + np.linalg.slogdet(v)[1] + (np.linalg.slogdet(a)[1] if reml else 0)
+    effects = np.array([psi @ z[g == k].T @ (i @ r)[g == k] for k in np.unique(g)])
+    return -value / 2, b, np.sqrt(np.diag(np.linalg.inv(a)) * scale), scale, effects
+
+
+@pytest.mark.parametrize("reml", [True, False])
+def test_random_slope_like_dense_matrices(spark, reml):
+    rng = np.random.default_rng(9)
+    g = np.repeat(np.arange(10), 6)
+    x, w = rng.normal(20, 3, 60), rng.normal(0, 1, 60)
+    y = 3 + 0.7 * x - w + rng.normal(0, 2, 10)[g] + rng.normal(0, 0.6, 10)[g] * (x - 20) + rng.normal(0, 1, 60)
+    rows = [(int(a), float(b), float(c), float(d)) for a, b, c, d in zip(g, x, w, y, strict=True)] + [(1, None, 0.0, 2.0), (None, 1.0, 0.0, 2.0)]
+    got = mixed.mixed_effects(spark.createDataFrame(rows, "g long, x double, w double, y double"), "y", ["x", "w"], "g", reml, slope="x")
+    one, fixed = got["summary"].first(), got["fixed_effects"].collect()
+    psi = np.array([[one["var_random_intercept"], one["cov_random"]], [one["cov_random"], one["var_random_slope"]]]) / one["var_residual"]
+    design, z = np.column_stack([np.ones(60), x, w]), np.column_stack([np.ones(60), x])
+    value, b, error, scale, effects = dense_slope(y, design, z, g, psi, reml)
+    assert one["log_likelihood"] == pytest.approx(value, abs=1e-6) and one["var_residual"] == pytest.approx(scale, rel=1e-6)
+    assert [r["coefficient"] for r in fixed] == pytest.approx(b.tolist(), rel=1e-6) and [r["std_error"] for r in fixed] == pytest.approx(error.tolist(), rel=1e-6)
+    own = got["random_effects"].orderBy("group").collect()
+    assert np.allclose([(r["intercept"], r["slope"]) for r in own], effects, atol=1e-5) and one["n_obs"] == 60 and one["n_groups"] == 10
+    root = np.linalg.cholesky(psi)
+    for size in (1e-3, 1e-2, 0.1, 0.5):
+        for _ in range(100):
+            near = root @ (np.eye(2) + rng.normal(0, size, (2, 2)))
+            assert dense_slope(y, design, z, g, near @ near.T, reml)[0] <= value + 1e-6
+
+
+def test_random_slope_at_the_edge(spark):
+    """Groups that do not differ: both variances near 0, the line that of least squares; a column that does not vary is refused."""
+    rows = [(k % 4, float(k // 4), float(k // 4) * 2 + (1 if k % 8 < 4 else -1)) for k in range(40)]
+    df = spark.createDataFrame(rows, "g long, x double, y double")
+    got = mixed.mixed_effects(df, "y", ["x"], "g", slope="x")
+    one = got["summary"].first()
+    assert one["var_random_intercept"] < 1e-3 and one["var_random_slope"] < 1e-3 and one["log_likelihood"] >= mixed.mixed_effects(df, "y", ["x"], "g")["summary"].first()["log_likelihood"] - 1e-6
+    with pytest.raises(OperatorError):
+        mixed.mixed_effects(df.withColumn("x", F.lit(2.0)), "y", ["x"], "g", slope="x")
+    with pytest.raises(OperatorError):
+        mixed.mixed_effects(df.limit(0), "y", ["x"], "g", slope="x")
