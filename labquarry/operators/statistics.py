@@ -350,8 +350,8 @@ def correlations(df: DataFrame, columns: list[str] | None = None, method: str =
         base = df
         for k, c in enumerate(columns):
             counts = base.where(q(c).isNotNull()).groupBy(q(c).alias(f"_c{k}")).agg(F.count(F.lit(1)).alias("_t"))
-            before = Window.orderBy(f"_c{k}").rowsBetween(Window.unboundedPreceding, -1)
-            counts = counts.select(f"_c{k}", (F.coalesce(F.sum("_t").over(before), F.lit(0)) + (F.col("_t") + 1) / 2).alias(f"_r{k}"))
+            counts = accumulated(counts, f"_c{k}", {"_upto": "_t"})
+            counts = counts.select(f"_c{k}", (F.col("_upto") - F.col("_t") + (F.col("_t") + 1) / 2).alias(f"_r{k}"))
             base = base.join(counts, q(c) == F.col(f"_c{k}"), "left").drop(f"_c{k}")
         value = {c: F.col(f"_r{k}") for k, c in enumerate(columns)}
         df, method = base, "pearson"

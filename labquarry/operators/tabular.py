@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.expressions import assignment, compiled
+from ..storage import stored
 
 def _everything() -> WindowSpec:
     return Window.partitionBy(F.lit(1))
@@ -259,19 +260,38 @@ def aggregate(df: DataFrame, operation: str, group_by: list[str] | None = None,
         x = sort_by or next((c for c in numbers if c not in columns), None)
         if x is None:
             raise OperatorError("auc needs a column to sort by")
-        parts = []
-        order = Window.partitionBy(*(map(q, group_by) if group_by else [F.lit(1)])).orderBy(q(x))
-        for c in columns:
-            known = q(x).isNotNull() & q(c).isNotNull()
-            by = order if not group_by else Window.partitionBy(*map(q, group_by), known).orderBy(q(x))
-            by = by if group_by else Window.partitionBy(known).orderBy(q(x))
-            area = (q(x) - F.lag(q(x)).over(by)) * (q(c) + F.lag(q(c)).over(by)) / 2
-            parts.append((c, F.when(known, area)))
-        df = df.select(*map(q, group_by), *(v.alias(f"_area_{k}") for k, (_, v) in enumerate(parts)))
-        out = df.groupBy(*map(q, group_by)).agg(*(F.sum(f"_area_{k}").alias(c) for k, (c, _) in enumerate(parts)))
+        areas = [area_under(df, x, c, group_by) for c in columns]
+        if group_by:
+            together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), areas, df.select(*map(q, group_by)).distinct())
+            out = together.groupBy(*map(q, group_by)).agg(*(F.max(q(c)).alias(c) for c in columns))
+        else:
+            out = reduce(lambda a, b: a.crossJoin(b), areas)  # tables of one row
     return out if group_by else out.select(F.lit(operation).alias("stat"), *map(q, columns))
 
 
+def area_under(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., y): the area under y over x by trapezoids, rows in order of x and then y; null for less than two known rows.
+
+    Rows with a null in x or y are left out, equal ones counted first. Range partitions are summed apart, and between two
+    that follow each other comes the trapezoid of their ends: one row a partition and group, and no task that holds a group.
+    """
+    by = by or []
+    keys = [f"_k{i}" for i in range(len(by))]
+    known = df.select(*(q(c).alias(k) for c, k in zip(by, keys, strict=True)), q(x).cast("double").alias("_x"), q(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    points = known.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(points.repartitionByRange(n, *keys, "_x", "_y").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_x", "_y")
+    area = lambda x0, y0, x1, y1: (x1 - x0) * (y1 + y0) / 2
+    placed = placed.withColumn("_a", area(F.lag("_x").over(inside), F.lag("_y").over(inside), F.col("_x"), F.col("_y")))
+    end = F.struct("_x", "_y")
+    parts = placed.groupBy(*keys, "_part").agg(F.sum("_a").alias("_a"), F.sum("_n").alias("_n"), F.min(end).alias("_f"), F.max(end).alias("_l"))
+    before = F.lag("_l").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_part"))
+    parts = parts.withColumn("_e", area(before["_x"], before["_y"], F.col("_f._x"), F.col("_f._y")))
+    total = F.coalesce(F.sum("_a"), F.lit(0.0)) + F.coalesce(F.sum("_e"), F.lit(0.0))
+    return parts.groupBy(*keys).agg(F.when(F.sum("_n") > 1, total).alias(y)).select(*(q(k).alias(c) for c, k in zip(by, keys, strict=True)), q(y))
+
+
 def value_counts(df: DataFrame, column: str, percent: bool = False) -> DataFrame:
     """(column, count[, pct]): how often each known value occurs; pct is rounded half to even to 2 places."""
     _need(df, column)

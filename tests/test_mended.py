@@ -1,10 +1,11 @@
 """Cases that were once answered wrongly, and running sums without a hot task."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labquarry.operators import evaluation, molecules, neighbours, running, screening, shapes, statistics
+from labquarry.operators import evaluation, molecules, neighbours, running, screening, shapes, statistics, tabular
 
 
 def test_pairs_at_the_threshold(spark):
@@ -74,3 +75,28 @@ def test_no_window_over_all_values(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert all("_part" in w or "windowspecdefinition(1," in w for w in windows), windows
+
+
+def test_areas_and_rank_correlations_need_no_task_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(["a", "a", "b", None][k % 4], float(rng.integers(0, 900)), float(rng.integers(0, 40))) for k in range(3000)]
+    rows += [("a", 5.0, 7.0)] * 400 + [("c", 1.0, 2.0), ("d", 1.0, None), ("d", None, 1.0), ("e", 2.0, 2.0), ("e", 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+
+    def area(own):
+        own = sorted((x, y) for x, y in own if x is not None and y is not None)
+        return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(own, own[1:])) if len(own) > 1 else None
+
+    whole = tabular.aggregate(df, "auc", None, ["y"], "x")
+    assert whole.first()["y"] == pytest.approx(area([r[1:] for r in rows]))
+    got = {r["g"]: r["y"] for r in tabular.aggregate(df, "auc", ["g"], ["y"], "x").collect()}
+    want = {g: area([r[1:] for r in rows if r[0] == g]) for g in "abcde"}
+    assert set(got) == set(want) and all(got[g] == (None if want[g] is None else pytest.approx(want[g])) for g in want) and got["e"] == 0.0 and got["c"] is None
+    pairs = statistics.correlations(df.where("y is not null and x is not null"), ["x", "y"], "spearman")
+    frame = pd.DataFrame([r for r in rows if None not in r[1:]], columns=["g", "x", "y"])
+    found = {(r["a"], r["b"]): r["value"] for r in pairs.collect()}
+    assert found["x", "y"] == pytest.approx(frame["x"].rank().corr(frame["y"].rank()), abs=1e-9)
+    for out, values in ((whole, ("_x", "x")), (pairs, ("_c0", "_c1"))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window" in line]
+        assert windows and all("_part" in w for w in windows)
