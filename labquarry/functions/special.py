@@ -221,3 +221,15 @@ def quantile_normal_sql(p: str) -> str:
     middle = f"(({p}) - 0.5) * {ratio('middle', f'0.180625 - (({p}) - 0.5) * (({p}) - 0.5)')}"
     tail = f"CASE WHEN {r} <= 5 THEN {ratio('tail', f'{r} - 1.6')} ELSE {ratio('far', f'{r} - 5')} END"
     return f"(CASE WHEN abs(({p}) - 0.5) <= 0.425 THEN {middle} WHEN ({p}) < 0.5 THEN -({tail}) ELSE {tail} END)"
+
+
+#: The Euler-Mascheroni constant.
+EULER = 0.57721566490153286
+
+
+def digamma(n: Column) -> Column:
+    """psi of whole numbers from 1: harmonic sums below 10, the asymptotic series from there."""
+    small = F.array(*(F.lit(sum(1 / j for j in range(1, i)) - EULER) for i in range(1, 10)))
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < 10, F.element_at(small, F.greatest(n, F.lit(1)).cast("int"))).otherwise(series)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
+from .information import mutual_information
 from .running import accumulated
 from .tabular import _need, as_text, numeric, q
 
@@ -119,7 +120,10 @@ def regression_scores(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 
 def feature_scores(df: DataFrame, target: str, columns: list[str] | None = None, task: str = "classification") -> DataFrame:
-    """(feature, score, p): F of a one-way layout by class, or of the correlation with a numeric target."""
+    """(feature, score, p): F of a one-way layout by class (classification), or of the correlation with a numeric target (regression);
+    or mutual information with a class (mutual_information), which has no p."""
+    if task == "mutual_information":
+        return mutual_information(df, target, columns).withColumn("p", F.lit(None).cast("double"))
     columns = columns or [c for c in numeric(df) if c != target]
     if task == "classification":
         long = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("g"), *(q(c).cast("double").alias(c) for c in columns)).unpivot(["g"], columns, "feature", "v").where("v is not null")

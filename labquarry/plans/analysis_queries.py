@@ -230,6 +230,19 @@ def feature_selection(spark, d):
     return _rounded(e.feature_scores(table(spark, d, "events"), "event_type", ["value"]).select("feature", "score"), 6)
 
 
+_PSI = "CASE WHEN {m} < 10 THEN coalesce(list_sum(list_transform(range(1, CAST({m} AS BIGINT)), lambda i: 1.0::DOUBLE / i)), 0) - 0.57721566490153286 ELSE ln({m}) - 1 / (2 * {m}::DOUBLE) - 1 / (12 * {m}::DOUBLE ** 2) + 1 / (120 * {m}::DOUBLE ** 4) - 1 / (252 * {m}::DOUBLE ** 6) END"
+
+
+@query(f"""WITH e AS (SELECT event_type AS g, unnest(['cents', 'user_id']) AS feature, unnest([CAST(floor(value * 100) AS BIGINT), user_id]) AS v FROM events WHERE event_type IS NOT NULL),
+c AS (SELECT *, count(*) OVER (PARTITION BY feature, g) AS n FROM e WHERE v IS NOT NULL QUALIFY count(*) OVER (PARTITION BY feature, g) > 1),
+d AS (SELECT *, list_sort(list_filter([v - lag(v, 1) OVER w, v - lag(v, 2) OVER w, v - lag(v, 3) OVER w, lead(v, 1) OVER w - v, lead(v, 2) OVER w - v, lead(v, 3) OVER w - v], lambda x: x IS NOT NULL))[least(3, n - 1)] AS r FROM c WINDOW w AS (PARTITION BY feature, g ORDER BY v)),
+m AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY v RANGE BETWEEN greatest(r - 1, 0) PRECEDING AND greatest(r - 1, 0) FOLLOWING) AS m, CASE WHEN r = 0 THEN count(*) OVER (PARTITION BY feature, g, v) ELSE least(3, n - 1) END AS k FROM d)
+SELECT feature, round(greatest(0, {_PSI.format(m='count(*)')} + avg({_PSI.format(m='k')}) - avg({_PSI.format(m='n')}) - avg({_PSI.format(m='m')})), 6) AS score FROM m GROUP BY feature""")
+def mutual_information(spark, d):
+    df = table(spark, d, "events").selectExpr("event_type", "floor(value * 100) AS cents", "user_id")
+    return _rounded(e.feature_scores(df, "event_type", ["cents", "user_id"], "mutual_information").select("feature", "score"), 6)
+
+
 # Trajectories: users are tracks, and their events in turn the frames
 
 _TRACKS = "SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame, value AS centroid_x, CAST(event_id % 50 AS DOUBLE) AS centroid_y FROM events"
