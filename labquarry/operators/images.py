@@ -376,13 +376,16 @@ def histogram(df: DataFrame, bins: int = 256, low: float = 0.0, high: float = 1.
 
 
 def otsu(df: DataFrame, bins: int = 256) -> DataFrame:
-    """(key, threshold): the cut that parts the histogram into the two classes farthest apart; windows run over bins."""
+    """(key, threshold): the cut that parts the histogram into the two classes farthest apart; windows run over bins.
+
+    Distances of classes are compared at 9 decimal places, so that sums which differ by rounding alone tie; ties go to the lower cut.
+    """
     h = histogram(df, bins).groupBy("key", "bin").agg(F.sum("count").alias("n"))
     upto, whole = Window.partitionBy("key").orderBy("bin"), Window.partitionBy("key")
     center = (F.col("bin") + 0.5) / bins
     h = h.withColumns({"a": F.sum("n").over(upto), "sa": F.sum(F.col("n") * center).over(upto), "t": F.sum("n").over(whole), "st": F.sum(F.col("n") * center).over(whole)})
     gap = F.try_divide(F.col("sa"), F.col("a")) - F.try_divide(F.col("st") - F.col("sa"), F.col("t") - F.col("a"))
-    h = h.withColumn("between", F.col("a") * (F.col("t") - F.col("a")) * gap * gap)
+    h = h.withColumn("between", F.round(F.col("a") * (F.col("t") - F.col("a")) * gap * gap * 1e9))
     return h.groupBy("key").agg(F.min_by((F.col("bin") + 0.5) / bins, F.struct(-F.coalesce("between", F.lit(0.0)), "bin")).alias("threshold"))
 
 

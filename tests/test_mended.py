@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labquarry.operators import evaluation, molecules, neighbours, running, screening, shapes, statistics, tabular
+from labquarry.operators import evaluation, images, molecules, neighbours, running, screening, shapes, statistics, tabular
 
 
 def test_pairs_at_the_threshold(spark):
@@ -100,3 +100,23 @@ def test_areas_and_rank_correlations_need_no_task_of_all_rows(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window" in line]
         assert windows and all("_part" in w for w in windows)
+
+
+def test_equal_cuts_go_to_the_lower_one(spark):
+    """A histogram and its mirror image: two cuts part it equally well, but for the rounding of their sums."""
+    tied = 0
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(300):
+        half = rng.integers(1, 127, 4)
+        bins = np.sort(np.concatenate([half, 255 - half]))
+        rows.append((str(k), 1, 8, [float((b + 0.5) / 256) for b in bins]))
+        best = {}
+        for cut in sorted(set(bins.tolist()))[:-1]:
+            low, high = bins[bins <= cut], bins[bins > cut]
+            best[cut] = round(len(low) * len(high) * float(low.mean() - high.mean()) ** 2 / 65536, 7)
+        tops = [c for c, v in best.items() if v == max(best.values())]
+        tied += len(tops) > 1
+        want[str(k)] = (tops[0] + 0.5) / 256
+    df = spark.createDataFrame([(k, h, w, 1, p) for k, h, w, p in rows], "key string, h int, w int, c int, pixels array<double>")
+    assert {r["key"]: r["threshold"] for r in images.otsu(df).collect()} == want and tied > 20
