@@ -11,20 +11,21 @@ from pyspark.sql.window import Window
 from ..storage import stored
 
 
-def accumulated(df: DataFrame, order: str, columns: dict[str, str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """df with, for each {name: column}, the sum of the column over the rows up to this one (included) by order, inside `by`.
+def accumulated(df: DataFrame, order: str, columns: dict[str, str], by: list[str] | None = None, descending: bool = False, how: str = "sum") -> DataFrame:
+    """df with, for each {name: column}, the sum (or how: min, max) of the column over the rows up to this one (included) by order, inside `by`.
 
     Rows are range-partitioned by group and order, summed inside each partition, and given their group's sums in earlier
     partitions: one row a partition and group. Order should be distinct inside a group; the rows are stored once.
     """
     by = by or []
+    fold, joined = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "min": (F.min, F.least), "max": (F.max, F.greatest)}[how]
     keys = [F.col(c).asc() for c in by] + [F.col(order).desc() if descending else F.col(order).asc()]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *by).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    parts = placed.groupBy("_part", *by).agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns.values())))
+    parts = placed.groupBy("_part", *by).agg(*(fold(c).alias(f"_s{k}") for k, c in enumerate(columns.values())))
     earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_of{k}") for k, c in enumerate(by)), *(F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(columns))))
+    parts = parts.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_of{k}") for k, c in enumerate(by)), *(fold(f"_s{k}").over(earlier).alias(f"_b{k}") for k in range(len(columns))))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{k}")) for k, c in enumerate(by)], F.col("_part") == F.col("_p"))
-    out = placed.withColumns({f"_i{k}": F.sum(c).over(inside) for k, c in enumerate(columns.values())}).join(parts, on)
-    return out.select(*df.columns, *((F.col(f"_i{k}") + F.col(f"_b{k}")).alias(name) for k, name in enumerate(columns)))
+    out = placed.withColumns({f"_i{k}": fold(c).over(inside) for k, c in enumerate(columns.values())}).join(parts, on)
+    return out.select(*df.columns, *(joined(F.col(f"_i{k}"), F.col(f"_b{k}")).alias(name) for k, name in enumerate(columns)))

@@ -218,27 +218,31 @@ CORRECTIONS = ("none", "bonferroni", "sidak", "holm-sidak", "holm", "simes-hochb
 
 
 def adjusted(df: DataFrame, p: str = "p", method: str = "none") -> DataFrame:
-    """df with p_adj. The rows are tests, so that ranking them in one window is bounded by their number; null p are left out."""
+    """df with p_adj; null p stay null and count for nothing. Equal p get equal results, those of their highest rank (going up: lowest).
+
+    Distinct p are counted and ranked by range partitions, and so are the steps' running extremes: no task holds all tests.
+    """
     if method not in CORRECTIONS:
         raise OperatorError(f"no correction {method!r}")
     if method == "none":
         return df.withColumn("p_adj", q(p))
-    known = q(p).isNotNull()
-    whole = Window.partitionBy(known)
-    up, down = whole.orderBy(q(p)), whole.orderBy(q(p).desc())
-    m, i = F.count(F.lit(1)).over(whole).cast("double"), F.row_number().over(up).cast("double")
-    if method == "bonferroni":
-        value = F.least(q(p) * m, F.lit(1.0))
-    elif method == "sidak":
-        value = 1 - F.pow(1 - q(p), m)
-    else:
-        harmonic = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
-        step = {"holm": (m - i + 1) * q(p), "holm-sidak": 1 - F.pow(1 - q(p), m - i + 1), "simes-hochberg": (m - i + 1) * q(p), "fdr_bh": m / i * q(p), "fdr_by": m / i * harmonic * q(p)}[method]
-        df = df.withColumn("_step", step)
-        upward = method in ("holm", "holm-sidak")
-        run = (up if upward else down).rowsBetween(Window.unboundedPreceding, 0)
-        value = F.least((F.max if upward else F.min)("_step").over(run), F.lit(1.0))
-    return df.withColumn("p_adj", F.when(known, value)).drop("_step")
+    known = df.where(q(p).isNotNull())
+    m = F.col("_m").cast("double")
+    if method in ("bonferroni", "sidak"):
+        tests = known.agg(F.count(F.lit(1)).alias("_m"))
+        value = F.least(q(p) * m, F.lit(1.0)) if method == "bonferroni" else 1 - F.pow(1 - q(p), m)
+        return df.crossJoin(F.broadcast(tests)).withColumn("p_adj", F.when(q(p).isNotNull(), value)).drop("_m")
+    upward = method in ("holm", "holm-sidak")
+    ranks = accumulated(known.groupBy(q(p).alias("_value")).agg(F.count(F.lit(1)).alias("_ties")), "_value", {"_upto": "_ties"})
+    inverse = F.aggregate(F.sequence(F.col("_upto") - F.col("_ties") + 1, F.col("_upto")), F.lit(0.0), lambda a, k: a + 1 / k)
+    whole = ranks.agg(F.sum("_ties").alias("_m"), *([F.sum(inverse).alias("_harmonic")] if method == "fdr_by" else []))
+    i = (F.col("_upto") - F.col("_ties") + 1 if upward else F.col("_upto")).cast("double")
+    v = F.col("_value")
+    step = {"holm": (m - i + 1) * v, "holm-sidak": 1 - F.pow(1 - v, m - i + 1), "simes-hochberg": (m - i + 1) * v, "fdr_bh": m / i * v, "fdr_by": m / i * (F.col("_harmonic") if method == "fdr_by" else 1) * v}[method]
+    steps = ranks.crossJoin(F.broadcast(whole)).select("_value", step.alias("_step"))  # one row
+    out = accumulated(steps, "_value", {"_run": "_step"}, descending=not upward, how="max" if upward else "min")
+    out = out.select(F.col("_value").alias("_of"), F.least("_run", F.lit(1.0)).alias("p_adj")).hint("merge")  # as many rows as distinct p
+    return df.drop("p_adj").join(out, q(p) == F.col("_of"), "left").drop("_of")
 
 
 def effect_sizes(df: DataFrame, value: str, group: str) -> DataFrame:

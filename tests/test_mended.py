@@ -120,3 +120,29 @@ def test_equal_cuts_go_to_the_lower_one(spark):
         want[str(k)] = (tops[0] + 0.5) / 256
     df = spark.createDataFrame([(k, h, w, 1, p) for k, h, w, p in rows], "key string, h int, w int, c int, pixels array<double>")
     assert {r["key"]: r["threshold"] for r in images.otsu(df).collect()} == want and tied > 20
+
+
+def test_corrections_of_many_tests(spark):
+    """200,000 tests, most of them tied with others: no sum over all tests for each of them, no window over all tests."""
+    n = 200_000
+    p = np.arange(n) * 7919 % 50_021 / 50_021 + 1e-6
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(n), "p": p})).unionByName(spark.createDataFrame([(-1, None)], "t long, p double"))
+    order = np.sort(p)
+    i = np.searchsorted(order, order, "right")
+    steps = n / i * np.sum(1 / np.arange(1, n + 1)) * order
+    want = dict(zip(order.tolist(), np.minimum(np.minimum.accumulate(steps[::-1])[::-1], 1).tolist()))
+    out = statistics.adjusted(df, "p", "fdr_by")
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert all("_part" in w or "windowspecdefinition(1," in w for w in windows), windows
+    got = out.toPandas().set_index("t")
+    assert len(got) == n + 1 and np.isnan(got.loc[-1, "p_adj"])
+    assert np.allclose(got.loc[:, "p_adj"].drop(-1).sort_index(), [want[x] for x in p.tolist()], rtol=1e-9)
+
+
+def test_running_extremes(spark):
+    values = [(k, k * 31 % 97) for k in range(400)]
+    df = spark.createDataFrame(values, "o int, v int")
+    v = [x[1] for x in values]
+    assert [r["s"] for r in running.accumulated(df, "o", {"s": "v"}, how="max").orderBy("o").collect()] == np.maximum.accumulate(v).tolist()
+    down = running.accumulated(df, "o", {"s": "v"}, descending=True, how="min").orderBy(F.desc("o")).collect()
+    assert [r["s"] for r in down] == np.minimum.accumulate(v[::-1]).tolist()
