@@ -2,8 +2,10 @@
 
 atoms (mol, atom, element, charge, hydrogens, aromatic): atom counts from 0 in its molecule; hydrogens are those that are
 no rows, null if valence is to tell them. bonds (mol, a, b, kind): kind 1, 2, 3, 4 for aromatic, 0 for any other; a row
-for each bond. Graph steps are joins on (mol, atom), so that a molecule of any size, and any number of them, is spread
-over tasks; only the smallest rings of one molecule's core are found in one call.
+for each bond. One shuffle brings a molecule's rows together as a record of arrays; steps on its graph then read that
+record alone, many molecules at a time. Fragments and cores of molecules of more than WHOLE rows are found in rounds of
+joins on (mol, atom), spread over tasks. Joins of atoms are merge joins: sizes of exploded or stored tables are estimated
+far too low, and a broadcast of them would not fit the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ VALENCES = {
     ("H", 0): 1, ("C", 0): 4, ("C", 1): 3, ("C", -1): 3, ("N", 0): 3, ("N", 1): 4, ("N", -1): 2, ("O", 0): 2, ("O", 1): 3, ("O", -1): 1, ("F", 0): 1,
     ("P", 0): 3, ("P", 1): 4, ("S", 0): 2, ("S", 1): 3, ("S", -1): 1, ("Cl", 0): 1, ("Br", 0): 1, ("I", 0): 1, ("Si", 0): 4, ("B", 0): 3, ("B", -1): 4, ("Se", 0): 2, ("As", 0): 3,
 }
+#: Molecules of more rows (atoms and bonds) than this are taken apart in rounds of joins, not as one record.
+WHOLE = 100_000
 #: Multiplier of the 32-bit hash by which identifiers are combined (FNV).
 FNV = 16777619
 
@@ -94,19 +100,29 @@ def parse_smiles(df: DataFrame, key: str, smiles: str = "smiles") -> tuple[DataF
     atoms = parsed.select("mol", F.posexplode("g.atoms").alias("atom", "token"))
     atoms = atoms.select("mol", "atom", F.initcap(raw).alias("element"), F.when(boxed & (sign == "+"), size).when(boxed & (sign == "-"), -size).otherwise(F.lit(0)).alias("charge"), hydrogens.cast("int").alias("hydrogens"), raw.rlike("^[a-z]").alias("aromatic"))
     atoms = stored(atoms)
-    bonds = parsed.select("mol", F.inline("g.bonds")).where("a != b")
-    kind = F.when(F.col("sign") == "=", 2).when(F.col("sign") == "#", 3).when(F.col("sign") == ":", 4).when(F.col("sign").isin("$", "~"), 0).when(F.col("sign") != "", 1)
-    bonds = stored(bonds.select("mol", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), kind.alias("kind")))
-    unsigned = bonds.where("kind is null")
-    soft = atoms.where("aromatic").select("mol", "atom")
-    both = unsigned.join(soft.withColumnRenamed("atom", "a"), ["mol", "a"]).join(soft.withColumnRenamed("atom", "b"), ["mol", "b"]).select("mol", "a", "b").distinct()
-    around = ring_bonds(smallest_rings(bonds.join(both.select("mol").distinct(), "mol", "left_semi")))
-    soft_bonds = both.join(around, ["mol", "a", "b"], "left_semi").withColumn("soft", F.lit(4))
-    out = stored(bonds.join(soft_bonds, ["mol", "a", "b"], "left").select("mol", "a", "b", F.coalesce("kind", "soft", F.lit(1)).alias("kind")))
-    drop_stored(parsed, bonds)
+    kind = lambda sign: F.when(sign == "=", 2).when(sign == "#", 3).when(sign == ":", 4).when(sign.isin("$", "~"), 0).when(sign != "", 1)
+    soft = F.transform("g.atoms", lambda t: F.when(t.startswith("["), F.regexp_extract(t, _BRACKET, 2)).otherwise(t).rlike("^[a-z]"))
+    ties = F.transform(F.filter("g.bonds", lambda x: x["a"] != x["b"]), lambda x: F.struct(F.least(x["a"], x["b"]).alias("a"), F.greatest(x["a"], x["b"]).alias("b"), kind(x["sign"]).alias("kind")))
+    out = stored(parsed.select("mol", soft.alias("soft"), F.array_sort(ties).alias("bonds")).mapInArrow(_kinds, f"mol {parsed.schema['mol'].dataType.simpleString()}, a int, b int, kind int"))
+    drop_stored(parsed)
     return atoms, out
 
 
+def _kinds(batches):
+    """(mol, a, b, kind) of records (mol, soft, bonds): a bond without a sign is aromatic (4) in a ring between aromatic atoms, or else single."""
+    for batch in batches:
+        bonds, n_atoms, soft = batch.column("bonds"), _lengths(batch.column("soft")), _numbers(batch.column("soft").flatten()).astype(bool)
+        row, (a, b) = np.repeat(np.arange(len(batch)), _lengths(bonds)), (_numbers(bonds.flatten().field(c)) for c in "ab")
+        kind = _numbers(bonds.flatten().field("kind"), -1)
+        first = (np.cumsum(n_atoms) - n_atoms)[row]
+        may = (kind < 0) & soft[first + a] & soft[first + b] if len(row) else np.zeros(0, bool)
+        some = np.isin(row, np.unique(row[may]))  # molecules that have such bonds
+        around = _in_cycles(row[some], a[some], b[some])
+        kind[np.flatnonzero(some)[around & may[some]]] = 4
+        kind[kind < 0] = 1
+        yield pa.RecordBatch.from_arrays([batch.column("mol").take(pa.array(row)), *(pa.array(x, pa.int32()) for x in (a, b, kind))], ["mol", "a", "b", "kind"])
+
+
 def from_records(df: DataFrame, key: str = "name") -> tuple[DataFrame, DataFrame]:
     """atoms and bonds of molecules as the readers give them (arrays of atoms, and of bonds that count from 1); key must be unique."""
     charge = "charge" in df.schema["atoms"].dataType.elementType.fieldNames()
@@ -115,7 +131,7 @@ def from_records(df: DataFrame, key: str = "name") -> tuple[DataFrame, DataFrame
     bonds = df.select(q(key).alias("mol"), F.explode("bonds").alias("_b")).select("mol", (F.col("_b.a") - 1).alias("a"), (F.col("_b.b") - 1).alias("b"), F.col("_b.kind").alias("kind"))
     bonds = bonds.where("a != b").select("mol", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("kind").between(1, 4), F.col("kind")).otherwise(0).alias("kind"))
     soft = both_ways(bonds.where("kind = 4")).select("mol", "atom").distinct().withColumn("_soft", F.lit(True))
-    return atoms.join(soft, ["mol", "atom"], "left").withColumn("aromatic", F.coalesce("_soft", F.lit(False))).drop("_soft"), bonds
+    return atoms.join(soft.hint("merge"), ["mol", "atom"], "left").withColumn("aromatic", F.coalesce("_soft", F.lit(False))).drop("_soft"), bonds
 
 
 def both_ways(bonds: DataFrame) -> DataFrame:
@@ -123,19 +139,117 @@ def both_ways(bonds: DataFrame) -> DataFrame:
     return bonds.select("mol", F.col("a").alias("atom"), F.col("b").alias("other"), "kind").union(bonds.select("mol", F.col("b"), F.col("a"), "kind"))
 
 
-def fragments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(mol, atom, fragment): the connected part an atom is in, named by its smallest atom.
+def packed(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol, atoms, bonds): one record a molecule, arrays of its rows in order; one shuffle, no join."""
+    atom, bond = F.struct(*(c for c in atoms.columns if c != "mol")), F.struct("a", "b", "kind")
+    one = atoms.select("mol", atom.alias("atoms"), F.lit(None).cast(bonds.select(bond).schema[0].dataType).alias("bonds"))
+    other = bonds.select("mol", F.lit(None).cast(atoms.select(atom).schema[0].dataType).alias("atoms"), bond.alias("bonds"))
+    return one.unionByName(other).groupBy("mol").agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in ("atoms", "bonds")))
 
-    Each round, an atom takes the smallest name among its neighbours', then the name of that atom: names spread in
-    leaps, and rounds grow with the logarithm of a chain's length. Stored after each round.
-    """
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _numbers(values: pa.Array, null: int = 0) -> np.ndarray:
+    return values.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _nodes(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of bonds as numbers from 0, in the order of (row, atom)."""
+    at = np.unique(np.concatenate([row << 32 | a, row << 32 | b]), return_inverse=True)[1]
+    return at[: len(a)], at[len(a) :]
+
+
+def _pruned(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the bonds that stay when those that end in an atom without another are taken away, again and again."""
+    x, y = _nodes(row, a, b)
+    kept = np.arange(len(x))
+    while len(kept):
+        degree = np.bincount(np.concatenate([x[kept], y[kept]]))
+        inner = (degree[x[kept]] > 1) & (degree[y[kept]] > 1)
+        if inner.all():
+            break
+        kept = kept[inner]
+    return kept
+
+
+def _ring_lists(row: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """(row, rings): the smallest rings of each row that has any; bonds come once each, in the order of (row, a, b)."""
+    kept = _pruned(row, a, b)
+    row, a, b = row[kept], a[kept], b[kept]
+    cuts = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)]
+    for start, end in zip(cuts, cuts[1:]):
+        if end > start:
+            yield int(row[start]), _cycle_basis(a[start:end].tolist(), b[start:end].tolist())
+
+
+def _in_cycles(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which bonds are in a ring."""
+    once = _once(row, a, b)
+    pairs = [(r, min(x, y), max(x, y)) for r, rings in _ring_lists(row[once], a[once], b[once]) for ring in rings for x, y in zip(ring, [*ring[1:], ring[0]])]
+    if not pairs:
+        return np.zeros(len(row), bool)
+    r, x, y = np.array(pairs, np.int64).T
+    nodes, m = np.unique(np.concatenate([row << 32 | a, row << 32 | b, r << 32 | x, r << 32 | y]), return_inverse=True)[1], len(row)
+    high = nodes.max() + 1
+    return np.isin(nodes[:m] * high + nodes[m : 2 * m], nodes[2 * m : 2 * m + len(r)] * high + nodes[2 * m + len(r) :])
+
+
+def _once(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the bonds, in the order of (row, a, b), are not the same as the one before."""
+    return np.concatenate([[True], (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(row)]
+
+
+def _large(atoms: DataFrame, bonds: DataFrame) -> DataFrame | None:
+    """(mol) of the molecules of more than WHOLE rows, which are few; None if there is none."""
+    found = stored(atoms.select("mol").union(bonds.select("mol")).groupBy("mol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("mol"))
+    if not found.isEmpty():
+        return F.broadcast(found)
+    drop_stored(found)
+    return None
+
+
+def fragments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol, atom, fragment): the connected part an atom is in, named by its smallest atom."""
+    large = _large(atoms, bonds)
+    a, b = (x if large is None else x.join(large, "mol", "left_anti") for x in (atoms, bonds))
+
+    def run(batches):
+        for batch in batches:
+            own, ties = batch.column("atoms"), batch.column("bonds")
+            row, atom = np.repeat(np.arange(len(batch)), _lengths(own)), _numbers(own.flatten().field("atom"))
+            of, place = np.repeat(np.arange(len(batch)), _lengths(ties)), row << 32 | atom
+            x, y = (of << 32 | _numbers(ties.flatten().field(c)) for c in "ab")
+            there = np.isin(x, place) & np.isin(y, place)
+            x, y = np.searchsorted(place, x[there]), np.searchsorted(place, y[there])
+            label = np.arange(len(place))
+            while len(x):
+                low = np.minimum(label[x], label[y])
+                after = label.copy()
+                for at in (x, y, label[x], label[y]):
+                    np.minimum.at(after, at, low)
+                after = after[after]
+                if (after == label).all():
+                    break
+                label = after
+            yield pa.RecordBatch.from_arrays([batch.column("mol").take(pa.array(row)), pa.array(atom, pa.int32()), pa.array(atom[label], pa.int32())], ["mol", "atom", "fragment"])
+
+    kind = atoms.schema["mol"].dataType.simpleString()
+    out = packed(a.select("mol", F.col("atom").cast("int").alias("atom")), b).mapInArrow(run, f"mol {kind}, atom int, fragment int")
+    return out if large is None else out.union(_fragments_in_rounds(*(x.join(large, "mol", "left_semi") for x in (atoms, bonds))))
+
+
+def _fragments_in_rounds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Each round, an atom takes the smallest name among its neighbours', then the name of that atom: names spread in
+    leaps, and rounds grow with the logarithm of a chain's length. Stored after each round."""
     now = stored(atoms.select("mol", "atom", F.col("atom").alias("fragment")))
     ways = both_ways(bonds).select("mol", F.col("atom").alias("_to"), F.col("other").alias("atom"))
     while True:
-        near = ways.join(now, ["mol", "atom"]).groupBy("mol", F.col("_to").alias("atom")).agg(F.min("fragment").alias("near"))
-        low = now.join(near, ["mol", "atom"], "left").select("mol", "atom", "fragment", F.least("fragment", "near").alias("low"))
+        near = ways.join(now.hint("merge"), ["mol", "atom"]).groupBy("mol", F.col("_to").alias("atom")).agg(F.min("fragment").alias("near"))
+        low = now.join(near.hint("merge"), ["mol", "atom"], "left").select("mol", "atom", "fragment", F.least("fragment", "near").alias("low"))
         names = low.select("mol", F.col("atom").alias("low"), F.col("low").alias("leap"))
-        after = stored(low.join(names, ["mol", "low"]).select("mol", "atom", F.least("low", "leap").alias("fragment"), (F.least("low", "leap") != F.col("fragment")).alias("moved")))
+        after = stored(low.join(names.hint("merge"), ["mol", "low"]).select("mol", "atom", F.least("low", "leap").alias("fragment"), (F.least("low", "leap") != F.col("fragment")).alias("moved")))
         drop_stored(now)
         now = after.select("mol", "atom", "fragment")
         if after.where("moved").isEmpty():
@@ -146,29 +260,47 @@ def _kept(atoms: DataFrame, bonds: DataFrame, kept: DataFrame) -> tuple[DataFram
     """Rows of both tables whose atoms are all among kept (mol, atom)."""
     ends = bonds
     for end in "ab":
-        ends = ends.join(kept.select("mol", F.col("atom").alias(end)), ["mol", end], "left_semi")
-    return atoms.join(kept, ["mol", "atom"], "left_semi"), ends.select("mol", "a", "b", "kind")
+        ends = ends.join(kept.select("mol", F.col("atom").alias(end)).hint("merge"), ["mol", end], "left_semi")
+    return atoms.join(kept.hint("merge"), ["mol", "atom"], "left_semi"), ends.select("mol", "a", "b", "kind")
 
 
 def largest_fragment(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each molecule's fragment with the most atoms, hydrogens counted; ties: the heavier, then the one with the smallest atom."""
-    full = with_hydrogens(atoms, bonds)
+    full = stored(with_hydrogens(atoms, bonds))
     named = stored(fragments(full, bonds))
     weight = F.create_map(*[F.lit(x) for pair in ATOMIC_WEIGHT.items() for x in pair])
-    sums = full.join(named, ["mol", "atom"]).groupBy("mol", "fragment").agg(F.sum(F.col("hydrogens") + 1).alias("n"), F.sum(F.round(F.coalesce(F.try_element_at(weight, F.col("element")), F.lit(0.0)) * 1000).cast("long") + 1008 * F.col("hydrogens")).alias("w"))
+    sums = full.join(named.hint("merge"), ["mol", "atom"]).groupBy("mol", "fragment").agg(F.sum(F.col("hydrogens") + 1).alias("n"), F.sum(F.round(F.coalesce(F.try_element_at(weight, F.col("element")), F.lit(0.0)) * 1000).cast("long") + 1008 * F.col("hydrogens")).alias("w"))
     best = sums.groupBy("mol").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("w")).alias("w"), "fragment"))["fragment"].alias("fragment"))
-    return _kept(atoms, bonds, named.join(best, ["mol", "fragment"], "left_semi").select("mol", "atom"))
+    return _kept(atoms, bonds, stored(named.join(best.hint("merge"), ["mol", "fragment"], "left_semi")).select("mol", "atom"))
 
 
 def core(bonds: DataFrame) -> DataFrame:
-    """Bonds of rings and of the links between them: bonds that end in an atom without another are taken away, round by round."""
+    """Bonds of rings and of the links between them: bonds that end in an atom without another are taken away, again and again."""
+    none = bonds.select("mol", F.col("a").alias("atom")).limit(0)
+    large = _large(none, bonds)
+    b = bonds if large is None else bonds.join(large, "mol", "left_anti")
+
+    def run(batches):
+        for batch in batches:
+            ties = batch.column("bonds")
+            row = np.repeat(np.arange(len(batch)), _lengths(ties))
+            x, y, kind = (_numbers(ties.flatten().field(c)) for c in ("a", "b", "kind"))
+            once = np.flatnonzero(_once(row, x, y))
+            kept = once[_pruned(row[once], x[once], y[once])]
+            yield pa.RecordBatch.from_arrays([batch.column("mol").take(pa.array(row[kept])), *(pa.array(v[kept], pa.int32()) for v in (x, y, kind))], ["mol", "a", "b", "kind"])
+
+    out = packed(none, b).mapInArrow(run, f"mol {bonds.schema['mol'].dataType.simpleString()}, a int, b int, kind int")
+    return out if large is None else out.union(_core_in_rounds(bonds.join(large, "mol", "left_semi")))
+
+
+def _core_in_rounds(bonds: DataFrame) -> DataFrame:
     now = stored(bonds.select("mol", "a", "b", "kind").dropDuplicates(["mol", "a", "b"]))
     n = now.count()
     while n:
         ends = both_ways(now).groupBy("mol", "atom").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mol", "atom")
         after = now
         for end in "ab":
-            after = after.join(ends.select("mol", F.col("atom").alias(end)), ["mol", end], "left_semi")
+            after = after.join(ends.select("mol", F.col("atom").alias(end)).hint("merge"), ["mol", end], "left_semi")
         after = stored(after.select("mol", "a", "b", "kind"))
         drop_stored(now)
         now, before, n = after, n, after.count()
@@ -184,7 +316,7 @@ def scaffold(atoms: DataFrame, bonds: DataFrame, generic: bool = False) -> tuple
     """
     inner = stored(core(bonds))
     own = both_ways(inner).select("mol", "atom").distinct()
-    tied = both_ways(bonds.where("kind in (2, 3)")).join(own, ["mol", "atom"], "left_semi").select("mol", F.col("other").alias("atom"))
+    tied = both_ways(bonds.where("kind in (2, 3)")).join(own.hint("merge"), ["mol", "atom"], "left_semi").select("mol", F.col("other").alias("atom"))
     kept = own.union(tied).distinct() if not generic else own
     atoms, bonds = _kept(atoms, bonds, stored(kept))
     if generic:
@@ -202,18 +334,27 @@ def _cycle_basis(a: list[int], b: list[int]) -> list[list[int]]:
         near.setdefault(x, []).append(y)
         near.setdefault(y, []).append(x)
         bit[x, y] = bit[y, x] = 1 << k
+    for ends in near.values():
+        ends.sort()
+    own = {x: 1 << k for k, x in enumerate(near)}
     found: dict[int, list[int]] = {}
     for root in sorted(near):
-        path, order = {root: [root]}, [root]
+        # Of each atom: the one before it, and the bits of atoms (but for the root) and of bonds on its path.
+        before, passed, bonds, order = {root: root}, {root: 0}, {root: 0}, [root]
         for x in order:
-            for y in sorted(near[x]):
-                if y not in path:
-                    path[y] = [*path[x], y]
+            for y in near[x]:
+                if y not in before:
+                    before[y], passed[y], bonds[y] = x, passed[x] | own[y], bonds[x] | bit[x, y]
                     order.append(y)
         for x, y in zip(a, b, strict=True):
-            if x in path and not set(path[x][1:]) & set(path[y][1:]) and len(path[x]) + len(path[y]) > 3:
-                ring = path[x] + path[y][:0:-1]
-                found.setdefault(sum(bit[s, t] for s, t in zip(ring, [*ring[1:], ring[0]], strict=True)), ring)
+            if x in before and not passed[x] & passed[y] and before[x] != y and before[y] != x:
+                mask = bonds[x] | bonds[y] | bit[x, y]
+                if mask not in found:
+                    there, back = [x], [y]
+                    for path in (there, back):
+                        while path[-1] != root:
+                            path.append(before[path[-1]])
+                    found[mask] = there[::-1] + back[:-1]
     basis, pivots = [], {}
     for mask, ring in sorted(found.items(), key=lambda kv: (len(kv[1]), sorted(kv[1]))):
         rest = mask
@@ -227,15 +368,31 @@ def _cycle_basis(a: list[int], b: list[int]) -> list[list[int]]:
 
 def smallest_rings(bonds: DataFrame) -> DataFrame:
     """(mol, ring, size, atoms): a smallest set of smallest rings, their atoms in order; the core of one molecule is one call's work."""
-    inner = core(bonds)
-    kind = inner.schema["mol"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    none = bonds.select("mol", F.col("a").alias("atom")).limit(0)
+    large = _large(none, bonds)
+    kind = bonds.schema["mol"].dataType.simpleString()
+    b = bonds if large is None else bonds.join(large, "mol", "left_anti")
+
+    def run(batches):
+        for batch in batches:
+            ties = batch.column("bonds")
+            row, (x, y) = np.repeat(np.arange(len(batch)), _lengths(ties)), (_numbers(ties.flatten().field(c)) for c in "ab")
+            once = _once(row, x, y)
+            rings = [(r, k, ring) for r, own in _ring_lists(row[once], x[once], y[once]) for k, ring in enumerate(own)]
+            rows, places, atoms = zip(*rings) if rings else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("mol").take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array([len(r) for r in atoms], pa.int32()), pa.array(atoms, pa.list_(pa.int32()))], ["mol", "ring", "size", "atoms"])
+
+    shape = f"mol {kind}, ring int, size int, atoms array<int>"
+    out = packed(none, b).mapInArrow(run, shape)
+    if large is None:
+        return out
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])
         rings = _cycle_basis(pdf["a"].tolist(), pdf["b"].tolist())
         return pd.DataFrame({"mol": [pdf["mol"].iloc[0]] * len(rings), "ring": range(len(rings)), "size": [len(r) for r in rings], "atoms": rings})
 
-    return inner.groupBy("mol").applyInPandas(run, f"mol {kind}, ring int, size int, atoms array<int>")
+    return out.union(_core_in_rounds(bonds.join(large, "mol", "left_semi")).groupBy("mol").applyInPandas(one, shape))
 
 
 def ring_bonds(rings: DataFrame) -> DataFrame:
@@ -251,7 +408,7 @@ def with_hydrogens(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     valence = F.create_map(*[F.lit(x) for (e, c), v in VALENCES.items() for x in (f"{e}{c}", v)])
     usual = F.try_element_at(valence, F.concat("element", F.col("charge").cast("string")))
     free = F.coalesce(F.greatest(usual - F.coalesce("_used", F.lit(0)), F.lit(0)), F.lit(0))
-    return atoms.join(sums, ["mol", "atom"], "left").withColumn("hydrogens", F.coalesce("hydrogens", free)).drop("_used")
+    return atoms.join(sums.hint("merge"), ["mol", "atom"], "left").withColumn("hydrogens", F.coalesce("hydrogens", free)).drop("_used")
 
 
 def add_hydrogens(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,9 +416,8 @@ def add_hydrogens(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFr
     from pyspark.sql.window import Window
 
     full = stored(with_hydrogens(atoms, bonds))
-    n = full.groupBy("mol").agg(F.max("atom").alias("_last"))
     before = Window.partitionBy("mol").orderBy("atom").rowsBetween(Window.unboundedPreceding, -1)
-    placed = full.withColumn("_before", F.coalesce(F.sum("hydrogens").over(before), F.lit(0))).where("hydrogens > 0").join(n, "mol")
+    placed = full.withColumn("_before", F.coalesce(F.sum("hydrogens").over(before), F.lit(0))).withColumn("_last", F.max("atom").over(Window.partitionBy("mol"))).where("hydrogens > 0")
     new = placed.select("mol", F.col("atom").alias("a"), F.explode(F.expr("sequence(_last + 1 + _before, _last + _before + hydrogens)")).alias("b")).withColumn("b", F.col("b").cast("int"))
     added = new.select("mol", F.col("b").alias("atom"), F.lit("H").alias("element"), F.lit(0).alias("charge"), F.lit(0).alias("hydrogens"), F.lit(False).alias("aromatic"))
     return full.withColumn("hydrogens", F.lit(0)).unionByName(added), bonds.unionByName(new.withColumn("kind", F.lit(1)))
@@ -272,9 +428,9 @@ def remove_hydrogens(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, Dat
     is_h = atoms.where("element = 'H' and charge = 0").select("mol", "atom")
     ways = both_ways(bonds)
     one = ways.groupBy("mol", "atom").agg(F.count(F.lit(1)).alias("n"), F.first("other").alias("other"), F.first("kind").alias("kind")).where("n = 1 and kind = 1")
-    gone = stored(one.join(is_h, ["mol", "atom"], "left_semi").select("mol", "atom", "other").join(is_h.withColumnRenamed("atom", "other"), ["mol", "other"], "left_anti"))
+    gone = stored(one.join(is_h.hint("merge"), ["mol", "atom"], "left_semi").select("mol", "atom", "other").join(is_h.withColumnRenamed("atom", "other").hint("merge"), ["mol", "other"], "left_anti"))
     lost = gone.groupBy("mol", F.col("other").alias("atom")).agg(F.count(F.lit(1)).cast("int").alias("_lost"))
-    rest = stored(with_hydrogens(atoms, bonds).join(gone, ["mol", "atom"], "left_anti").join(lost, ["mol", "atom"], "left"))
+    rest = stored(with_hydrogens(atoms, bonds).join(gone.hint("merge"), ["mol", "atom"], "left_anti").join(lost.hint("merge"), ["mol", "atom"], "left"))
     rest = rest.withColumn("hydrogens", (F.col("hydrogens") + F.coalesce("_lost", F.lit(0))).cast("int")).drop("_lost")
     return rest, _kept(rest, bonds, rest.select("mol", "atom"))[1]
 

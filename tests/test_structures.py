@@ -238,3 +238,19 @@ def test_filters_and_descriptors(spark, tables):
     assert d["biphenyl"]["rotatable_bonds"] == 1 and d["acid"]["formal_charge"] == 0
     with pytest.raises(st.OperatorError):
         st.matching(seen, "C(")
+
+
+def test_no_broadcast_of_atoms(drawn):
+    """Sizes of exploded and stored tables are estimated far too low: their joins must not be broadcasts by estimate."""
+    _, _, a, b, _ = drawn
+    for out in (st.fragments(a, b), st.with_hydrogens(a, b), *st.add_hydrogens(a, b), *st.largest_fragment(a, b), *st.scaffold(a, b)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_large_molecules_in_rounds(spark, drawn, monkeypatch):
+    _, _, a, b, _ = drawn
+    want = [sorted(map(tuple, x.collect())) for x in (st.fragments(a, b), st.core(b), st.smallest_rings(b).select("mol", "size"))]
+    monkeypatch.setattr(st, "WHOLE", 12)
+    assert st._large(a, b) is not None
+    assert [sorted(map(tuple, x.collect())) for x in (st.fragments(a, b), st.core(b), st.smallest_rings(b).select("mol", "size"))] == want
