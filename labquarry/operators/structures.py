@@ -441,71 +441,134 @@ def _combined(h: Column, value: Column) -> Column:
 
 @dataclass
 class Perceived:
-    """What descriptors, fingerprints and patterns read: atoms with hydrogens (rows and others), degree and in_ring; edges from
-    either end with what is at the other; rings; a bitmap of each molecule's bonds."""
+    """What descriptors, fingerprints and patterns read: molecules (mol, atoms, near, rings), a stored record each.
 
-    atoms: DataFrame
-    edges: DataFrame
-    rings: DataFrame
-    screen: DataFrame
+    atoms: their rows in order, hydrogens being rows and others, with degree and in_ring. near: of each atom, the place in
+    atoms (to) and kind of each neighbour, whether the bond is in a ring. rings: smallest_rings, and whether all atoms are aromatic.
+    """
+
+    molecules: DataFrame
+
+    @property
+    def atoms(self) -> DataFrame:
+        return self.molecules.select("mol", F.inline("atoms"))
+
+    @property
+    def edges(self) -> DataFrame:
+        """(mol, atom, other, kind, o_...): each bond from either end with what is at the other."""
+        seen = [c for c in self.molecules.schema["atoms"].dataType.elementType.names if c != "atom"]
+        at = lambda i: F.get("atoms", i)
+        edge = lambda p, e: F.struct(at(p)["atom"].alias("atom"), at(e["to"])["atom"].alias("other"), e["kind"].alias("kind"), *(at(e["to"])[c].alias(f"o_{c}") for c in seen))
+        return self.molecules.select("mol", F.inline(F.flatten(F.transform("near", lambda n, p: F.transform(n, lambda e: edge(p, e))))))
+
+    @property
+    def rings(self) -> DataFrame:
+        return self.molecules.select("mol", F.inline("rings")).drop("aromatic")
 
     def drop(self) -> None:
-        """Deletes the stored tables."""
-        drop_stored(self.atoms, self.edges, self.rings, self.screen)
+        """Deletes the stored table."""
+        drop_stored(self.molecules)
+
+
+_RECORD = (
+    "atoms array<struct<atom: int, element: string, charge: int, hydrogens: int, aromatic: boolean, degree: int, in_ring: int>>, "
+    "near array<array<struct<to: int, kind: int, in_ring: boolean>>>, rings array<struct<ring: int, size: int, atoms: array<int>, aromatic: boolean>>"
+)
 
 
-_SEEN = ["element", "charge", "hydrogens", "aromatic", "degree", "in_ring"]
+def _offsets(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
 
 
-def _screen_bit(a: Column, b: Column, kind: Column) -> Column:
-    """One of 63 bits for the elements at a bond's ends and its kind, whichever end comes first."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.least(a, b), F.greatest(a, b), kind), F.lit(63)))
+def _perceived(batches):
+    """Records (mol, atoms, near, rings) from packed ones."""
+    usual = {f"{e}{c}": v for (e, c), v in VALENCES.items()}
+    for batch in batches:
+        own, ties = batch.column("atoms"), batch.column("bonds")
+        own_n, n = _lengths(own), len(batch)
+        row, atoms = np.repeat(np.arange(n), own_n), own.flatten()
+        place = row << 32 | _numbers(atoms.field("atom"))
+        of, (a, b, kind) = np.repeat(np.arange(n), _lengths(ties)), (_numbers(ties.flatten().field(c)) for c in ("a", "b", "kind"))
+        kept = np.flatnonzero(_once(of, a, b) & np.isin(of << 32 | a, place) & np.isin(of << 32 | b, place))
+        of, a, b, kind = of[kept], a[kept], b[kept], kind[kept]
+        x, y = np.searchsorted(place, of << 32 | a), np.searchsorted(place, of << 32 | b)
+        rings = [(r, k, ring) for r, some in _ring_lists(of, a, b) for k, ring in enumerate(some)]
+        ring_n, ring_row = np.array([len(r[2]) for r in rings], np.int64), np.array([r[0] for r in rings], np.int64)
+        ring_at = np.searchsorted(place, np.repeat(ring_row, ring_n) << 32 | np.array([i for r in rings for i in r[2]], np.int64))
+        start = np.cumsum(ring_n) - ring_n
+        after = np.arange(len(ring_at)) + 1
+        after[start + ring_n - 1] = start
+        pair = lambda u, v: np.minimum(u, v) * max(1, len(place)) + np.maximum(u, v)
+        tie_in_ring = np.isin(pair(x, y), pair(ring_at, ring_at[after]))
+        in_ring = np.zeros(len(place), np.int64)
+        in_ring[ring_at] = 1
+        element, charge = atoms.field("element").to_numpy(zero_copy_only=False), _numbers(atoms.field("charge"))
+        count = lambda at, w=None: np.bincount(at, w, len(place))
+        used = np.floor(count(np.concatenate([x, y]), np.tile(np.where(kind == 4, 1.5, kind), 2)) + 0.5).astype(np.int64)
+        names, code = np.unique(np.array([f"{e}{c}" for e, c in zip(element, charge)], object).astype(str), return_inverse=True)
+        free = np.maximum(np.array([usual.get(k, 0) for k in names], np.int64)[code] - used, 0) if len(place) else used
+        given = _numbers(atoms.field("hydrogens"), -1)
+        is_h = element == "H"
+        hydrogens = np.where(given >= 0, given, free) + count(x, is_h[y]).astype(np.int64) + count(y, is_h[x]).astype(np.int64)
+        degree = count(x) + count(y)
+        soft = _numbers(atoms.field("aromatic")).astype(bool)
+        ints = lambda v: pa.array(v, pa.int32())
+        record = pa.StructArray.from_arrays([atoms.field("atom").cast(pa.int32()), atoms.field("element"), ints(charge), ints(hydrogens), pa.array(soft), ints(degree), ints(in_ring)], ["atom", "element", "charge", "hydrogens", "aromatic", "degree", "in_ring"])
+        order = np.lexsort((np.concatenate([y, x]), np.concatenate([x, y])))
+        first = (np.cumsum(own_n) - own_n)[row]
+        to = np.concatenate([y, x])[order]
+        edge = pa.StructArray.from_arrays([ints(to - first[to]), ints(np.tile(kind, 2)[order]), pa.array(np.tile(tie_in_ring, 2)[order])], ["to", "kind", "in_ring"])
+        near = pa.ListArray.from_arrays(_offsets(degree), edge)
+        all_soft = np.add.reduceat(soft[ring_at].astype(np.int64), start) == ring_n if len(rings) else np.zeros(0, bool)
+        lists = pa.ListArray.from_arrays(_offsets(ring_n), atoms.field("atom").cast(pa.int32()).take(pa.array(ring_at, pa.int64())))
+        ring = pa.StructArray.from_arrays([ints([r[1] for r in rings]), ints(ring_n), lists, pa.array(all_soft)], ["ring", "size", "atoms", "aromatic"])
+        columns = [batch.column("mol"), *(pa.ListArray.from_arrays(_offsets(k), v) for k, v in ((own_n, record), (own_n, near), (np.bincount(ring_row, minlength=n), ring)))]
+        yield pa.RecordBatch.from_arrays(columns, ["mol", "atoms", "near", "rings"])
 
 
 def perceive(atoms: DataFrame, bonds: DataFrame) -> Perceived:
-    """Stores what is to be known of each atom and bond. Bonds are taken once each; rings are smallest_rings()."""
-    bonds = stored(bonds.where("a != b").select("mol", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind").dropDuplicates(["mol", "a", "b"]))
-    rings = stored(smallest_rings(bonds))
-    ways = both_ways(bonds)
-    hydrogen_rows = ways.join(atoms.where("element = 'H'").select("mol", F.col("atom").alias("other")), ["mol", "other"]).groupBy("mol", "atom").agg(F.count(F.lit(1)).cast("int").alias("_rows"))
-    degree = ways.groupBy("mol", "atom").agg(F.count(F.lit(1)).cast("int").alias("degree"))
-    around = rings.select("mol", F.explode("atoms").alias("atom")).distinct().withColumn("in_ring", F.lit(1))
-    full = with_hydrogens(atoms, bonds).join(hydrogen_rows, ["mol", "atom"], "left").join(degree, ["mol", "atom"], "left").join(around, ["mol", "atom"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    full = stored(full.select("mol", "atom", "element", "charge", (F.col("hydrogens") + zero("_rows")).alias("hydrogens"), "aromatic", zero("degree").alias("degree"), zero("in_ring").alias("in_ring")))
-    there = full.select("mol", F.col("atom").alias("other"), *(F.col(c).alias(f"o_{c}") for c in _SEEN))
-    edges = ways.join(there, ["mol", "other"])
-    edges = stored(edges.join(full.select("mol", "atom", "element"), ["mol", "atom"]))
-    screen = stored(edges.groupBy("mol").agg(F.bit_or(_screen_bit(F.col("element"), F.col("o_element"), F.col("kind"))).alias("has")))
-    drop_stored(bonds)
-    return Perceived(full, edges.drop("element"), rings, screen)
+    """Stores what is to be known of each atom and bond, one record a molecule, by one shuffle. Bonds are taken once each, those of
+    missing atoms not at all; hydrogens are as in with_hydrogens(), rings as in smallest_rings()."""
+    bonds = bonds.where("a != b").select("mol", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind")
+    atoms = atoms.select("mol", "atom", "element", "charge", "hydrogens", "aromatic")
+    return Perceived(stored(packed(atoms, bonds).where(F.size("atoms") > 0).mapInArrow(_perceived, f"mol {atoms.schema['mol'].dataType.simpleString()}, {_RECORD}")))
+
+
+def _rounds(seen: Perceived, radius: int) -> DataFrame:
+    """(mol, atoms, ids): an array of each round's identifiers, in the order of atoms."""
+    number = F.create_map(*[F.lit(x) for k, e in enumerate(ELEMENTS) for x in (e, k + 1)])
+
+    def first(x: Column) -> Column:
+        h = F.coalesce(F.try_element_at(number, x["element"]), F.lit(0)).cast("long")
+        for part in (x["degree"], x["hydrogens"], x["charge"] + 5, x["in_ring"]):
+            h = _combined(h, part.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        return h
+
+    # Rounds go through the state of one aggregate: as columns of projections, each would be put anew into every use of it.
+    def told(s: Column, _: Column) -> Column:
+        at = lambda i: F.get(F.element_at(s, -1), i)
+        near = lambda i: F.array_sort(F.transform(F.get("near", i), lambda e: F.struct(e["kind"].cast("long").alias("kind"), at(e["to"]).alias("id"))))
+        return F.array_append(s, F.transform("atoms", lambda x, i: F.aggregate(near(i), at(i), lambda h, x: _combined(_combined(h, x["kind"]), x["id"]))))
+
+    start = F.array(F.transform("atoms", first))
+    return seen.molecules.select("mol", "atoms", (F.aggregate(F.array(*map(F.lit, range(radius))), start, told) if radius else start).alias("ids"))
 
 
 def identifiers(seen: Perceived, radius: int = 2) -> DataFrame:
     """(mol, atom, round, id): extended-connectivity identifiers (Rogers and Hahn, 2010), 32 bits each, of rounds 0 to radius.
 
     Round 0 hashes atomic number, degree, hydrogens, charge + 5 and ring membership. Each round hashes an atom's
-    identifier with its neighbours' (kind of bond, identifier), sorted; one join a round.
+    identifier with its neighbours' (kind of bond, identifier), sorted; all inside a molecule's record.
     """
-    number = F.create_map(*[F.lit(x) for k, e in enumerate(ELEMENTS) for x in (e, k + 1)])
-    first = F.coalesce(F.try_element_at(number, F.col("element")), F.lit(0)).cast("long")
-    for part in ("degree", "hydrogens", F.col("charge") + 5, "in_ring"):
-        first = _combined(first, (F.col(part) if isinstance(part, str) else part).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    now = stored(seen.atoms.select("mol", "atom", F.lit(0).alias("round"), first.alias("id")))
-    rounds = [now]
-    for k in range(1, radius + 1):
-        near = seen.edges.select("mol", "atom", "other", "kind").join(now.select("mol", F.col("atom").alias("other"), "id"), ["mol", "other"])
-        near = near.groupBy("mol", "atom").agg(F.sort_array(F.collect_list(F.struct(F.col("kind").cast("long").alias("kind"), "id"))).alias("near"))
-        both = now.select("mol", "atom", "id").join(near, ["mol", "atom"], "left")
-        told = F.aggregate(F.coalesce("near", F.expr("cast(array() as array<struct<kind: bigint, id: bigint>>)")), F.col("id"), lambda h, x: _combined(_combined(h, x["kind"]), x["id"]))
-        now = stored(both.select("mol", "atom", F.lit(k).alias("round"), told.alias("id")))
-        rounds.append(now)
-    return reduce(DataFrame.unionByName, rounds)
+    of_round = lambda k: F.transform("atoms", lambda x, i: F.struct(x["atom"].alias("atom"), F.lit(k).alias("round"), F.get(F.get("ids", F.lit(k)), i).alias("id")))
+    every = [of_round(k) for k in range(radius + 1)]
+    return _rounds(seen, radius).select("mol", F.inline(F.concat(*every)))
 
 
 def fingerprints(seen: Perceived, radius: int = 2, n_bits: int = 2048) -> DataFrame:
     """(mol, on, fingerprint): the bits that identifiers set modulo n_bits, ascending, and the same as longs of 63 bits, as neighbours.similarity takes them."""
-    on = identifiers(seen, radius).groupBy("mol").agg(F.array_sort(F.collect_set((F.col("id") % n_bits).cast("int"))).alias("on"))
+    every = F.flatten("ids")
+    on = _rounds(seen, radius).select("mol", F.array_sort(F.array_distinct(F.transform(every, lambda i: (i % n_bits).cast("int")))).alias("on"))
     words = F.sequence(F.lit(0), F.lit((n_bits - 1) // 63))
     place = lambda i, w: F.least(F.lit(63), F.lit(n_bits) - w * 63) - 1 - i % 63
     packed = F.transform(words, lambda w: F.aggregate(F.filter("on", lambda i: F.floor(i / 63) == w), F.lit(0).cast("long"), lambda s, i: s + F.call_function("shiftleft", F.lit(1).cast("long"), place(i, w).cast("int"))))
@@ -556,43 +619,54 @@ _BOND_KINDS = {"": (1, 4), "-": (1,), "=": (2,), "#": (3,), ":": (4,), "/": (1,)
 def matching(seen: Perceived, pattern: str) -> DataFrame:
     """(mol) that have the pattern: a SMILES whose atoms may be `*` or bracketed choices like [C,N], [#6], [!C], [OH], [D2], [R], [N+], and whose bonds may be `~`.
 
-    A bitmap of each molecule's bonds first leaves out those that lack one the pattern surely has. Partial matches then
-    grow by one join with the edges for each atom of the pattern, and a semi-join for each bond that closes a ring.
+    Partial matches grow inside a molecule's record, by one step along its bonds for each atom of the pattern; each bond
+    that closes a ring then leaves out those without it.
     """
-    spark = seen.atoms.sparkSession
+    has = _has(seen.molecules.sparkSession, pattern)
+    return seen.molecules.where(has).select("mol")
+
+
+def _has(spark, pattern: str) -> Column:
+    """Whether a record of Perceived.molecules has the pattern."""
     g = spark.range(1).select(_linked(F.lit(pattern.strip())).alias("g")).first()["g"]  # one pattern, no data
     if not g["ok"]:
         raise OperatorError(f"cannot read the pattern {pattern!r}")
     bonds = [(b["a"], b["b"], b["sign"]) for b in g["bonds"]]
-    tests = [_atom_test(t, lambda c: F.col(f"o_{c}")) for t in g["atoms"]]
-    start, _ = _atom_test(g["atoms"][0], F.col)
-    able = seen.screen
-    for a, b, sign in bonds:
-        if (ends := (tests[a][1], tests[b][1])) and all(ends) and sign != "~":
-            kinds = [_screen_bit(F.lit(ends[0]), F.lit(ends[1]), F.lit(k)) for k in _BOND_KINDS[sign]]
-            able = able.where(reduce(lambda x, y: x | y, [F.col("has").bitwiseAND(bit) != 0 for bit in kinds]))
-    found = seen.atoms.where(start)
-    if bonds:
-        found = found.join(able.select("mol"), "mol", "left_semi")
-    found = found.select("mol", F.col("atom").alias("m0"))
+    tests = [lambda x, t=t: _atom_test(t, lambda c: x[c])[0] for t in g["atoms"]]
+    for t in g["atoms"]:
+        _atom_test(t, F.col)  # unreadable atoms are told of here
+    fits = lambda e, sign: F.lit(True) if sign == "~" else e["kind"].isin(*_BOND_KINDS[sign])
+    begun = F.transform("atoms", lambda x, i: F.when(tests[0](x), F.array(i)))
+    found = F.filter(begun, lambda m: m.isNotNull())
     for k in range(1, len(g["atoms"])):
         ties = [(a if b == k else b, sign) for a, b, sign in bonds if k in (a, b) and (a if b == k else b) < k]
         if not ties:
             raise OperatorError("patterns of several parts are not matched")
-        for n, (from_, sign) in enumerate(ties):
-            edges = seen.edges if sign == "~" else seen.edges.where(F.col("kind").isin(*_BOND_KINDS[sign]))
-            if n == 0:
-                step = edges.where(tests[k][0]).select("mol", F.col("atom").alias(f"m{from_}"), F.col("other").alias(f"m{k}"))
-                found = found.join(step, ["mol", f"m{from_}"])
-                found = found.where(reduce(lambda x, y: x & y, [F.col(f"m{k}") != F.col(f"m{j}") for j in range(k)]))
-            else:
-                found = found.join(edges.select("mol", F.col("atom").alias(f"m{from_}"), F.col("other").alias(f"m{k}")), ["mol", f"m{from_}", f"m{k}"], "left_semi")
-    return found.select("mol").distinct()
+
+        found = F.flatten(F.transform(found, _grown(*ties[0], tests[k], fits)))
+        for from_, sign in ties[1:]:
+            found = F.filter(found, _closed(from_, k, sign, fits))
+    return F.size(found) > 0
+
+
+def _grown(from_: int, sign: str, test, fits):
+    """Of a partial match, those with one atom more: a neighbour of its atom from_."""
+
+    def grown(m: Column) -> Column:
+        may = F.filter(F.get("near", F.get(m, F.lit(from_))), lambda e: fits(e, sign) & ~F.array_contains(m, e["to"]) & test(F.get("atoms", e["to"])))
+        return F.transform(may, lambda e: F.array_append(m, e["to"]))
+
+    return grown
+
+
+def _closed(from_: int, to: int, sign: str, fits):
+    """Whether a match has a bond between two of its atoms."""
+    return lambda m: F.exists(F.get("near", F.get(m, F.lit(from_))), lambda e: (e["to"] == F.get(m, F.lit(to))) & fits(e, sign))
 
 
 def substructure_filter(df: DataFrame, key: str, seen: Perceived, pattern: str) -> dict[str, DataFrame]:
     """matches and rejects of df by the pattern; rows without a parsed structure are rejects."""
-    have = matching(seen, pattern).select(F.col("mol").alias("_mol"))
+    have = matching(seen, pattern).select(F.col("mol").alias("_mol")).hint("merge")
     return {"matches": df.join(have, q(key) == F.col("_mol"), "left_semi"), "rejects": df.join(have, q(key) == F.col("_mol"), "left_anti")}
 
 
@@ -602,8 +676,8 @@ def catalogue_filter(df: DataFrame, key: str, seen: Perceived, alerts: dict[str,
     Without alerts all rows match."""
     if not alerts:
         return {"matches": df, "rejects": df.limit(0).withColumn("alert", F.lit(None).cast("string"))}
-    found = reduce(DataFrame.union, [matching(seen, p).select(F.col("mol").alias("_mol"), F.lit(k).alias("_k"), F.lit(name).alias("_name")) for k, (name, p) in enumerate(alerts.items())])
-    first = found.groupBy("_mol").agg(F.min(F.struct("_k", "_name"))["_name"].alias("alert"))
+    names = [F.when(_has(df.sparkSession, p), name) for name, p in alerts.items()]
+    first = seen.molecules.select(F.col("mol").alias("_mol"), F.coalesce(*names).alias("alert")).where("alert is not null").hint("merge")
     told = df.join(first, q(key) == F.col("_mol"), "left").drop("_mol")
     hit, free = told.where("alert is not null"), told.where("alert is null")
     return {"matches": free.drop("alert"), "rejects": hit} if clean else {"matches": hit.drop("alert"), "rejects": free}
@@ -612,24 +686,17 @@ def catalogue_filter(df: DataFrame, key: str, seen: Perceived, alerts: dict[str,
 def descriptors(seen: Perceived) -> DataFrame:
     """One row a molecule: mol_weight (rounded to 4 places), heavy_atoms, formal_charge, h_donors (N and O with hydrogen), h_acceptors (N and O), rotatable_bonds
     (single, in no ring, between atoms of two heavy neighbours or more), rings and aromatic_rings (all atoms aromatic). An element without a known weight gives a null weight."""
-    weight = F.create_map(*[F.lit(x) for pair in ATOMIC_WEIGHT.items() for x in pair])
-    mass = F.try_element_at(weight, F.col("element"))
-    heavy = F.col("element") != "H"
-    rows_h = seen.edges.where("o_element = 'H'").groupBy("mol", "atom").agg(F.count(F.lit(1)).cast("int").alias("_rows"))
-    a = seen.atoms.join(rows_h, ["mol", "atom"], "left").withColumn("_own", F.col("hydrogens") - F.coalesce("_rows", F.lit(0)))
-    no = F.col("element").isin("N", "O")
-    count = lambda c: F.count(F.when(c, 1)).cast("int")
-    sums = a.groupBy("mol").agg(
-        F.when(F.count(F.when(mass.isNull(), 1)) == 0, F.round(F.sum(F.round(mass * 1000).cast("long") + 1008 * F.col("_own")) / 1000, 4)).alias("mol_weight"), count(heavy).alias("heavy_atoms"),
-        F.sum("charge").cast("int").alias("formal_charge"), count(no & (F.col("hydrogens") > 0)).alias("h_donors"), count(no).alias("h_acceptors"),
+    weight = F.create_map(*[F.lit(x) for pair in ATOMIC_WEIGHT.items() for x in (pair[0], round(pair[1] * 1000))])
+    mass = lambda x: F.try_element_at(weight, x["element"])
+    element = lambda i: F.get("atoms", i)["element"]
+    heavy = lambda n: F.size(F.filter(n, lambda e: element(e["to"]) != "H"))
+    own = lambda x, i: x["hydrogens"] - (F.size(F.get("near", i)) - heavy(F.get("near", i)))
+    grams = F.aggregate(F.transform("atoms", lambda x, i: mass(x) + 1008 * own(x, i)), F.lit(0).cast("long"), lambda s, v: s + v)
+    count = lambda test: F.size(F.filter("atoms", test))
+    no = lambda x: x["element"].isin("N", "O")
+    loose = lambda n, i: F.size(F.filter(n, lambda e: (e["kind"] == 1) & (e["to"] > i) & ~e["in_ring"] & (heavy(n) > 1) & (heavy(F.get("near", e["to"])) > 1)))
+    return seen.molecules.select(
+        "mol", F.round(grams / 1000, 4).alias("mol_weight"), count(lambda x: x["element"] != "H").alias("heavy_atoms"), F.aggregate("atoms", F.lit(0), lambda s, x: s + x["charge"]).alias("formal_charge"),
+        count(lambda x: no(x) & (x["hydrogens"] > 0)).alias("h_donors"), count(no).alias("h_acceptors"), F.aggregate(F.transform("near", loose), F.lit(0), lambda s, v: s + v).alias("rotatable_bonds"),
+        F.size("rings").alias("rings"), F.size(F.filter("rings", lambda r: r["aromatic"])).alias("aromatic_rings"),
     )
-    neighbours = seen.edges.where("o_element != 'H'").groupBy("mol", "atom").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mol", "atom")
-    loose = seen.edges.where("kind = 1 and atom < other").select("mol", F.col("atom").alias("a"), F.col("other").alias("b"))
-    for end in "ab":
-        loose = loose.join(neighbours.select("mol", F.col("atom").alias(end)), ["mol", end], "left_semi")
-    loose = loose.join(ring_bonds(seen.rings), ["mol", "a", "b"], "left_anti").groupBy("mol").agg(F.count(F.lit(1)).cast("int").alias("rotatable_bonds"))
-    soft = seen.atoms.where("aromatic").select("mol", "atom")
-    of_ring = seen.rings.select("mol", "ring", "size", F.explode("atoms").alias("atom")).join(soft, ["mol", "atom"]).groupBy("mol", "ring", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size")
-    rings = seen.rings.groupBy("mol").agg(F.count(F.lit(1)).cast("int").alias("rings"))
-    out = sums.join(loose, "mol", "left").join(rings, "mol", "left").join(of_ring.groupBy("mol").agg(F.count(F.lit(1)).cast("int").alias("aromatic_rings")), "mol", "left")
-    return out.fillna(0, ["rotatable_bonds", "rings", "aromatic_rings"])
