@@ -44,16 +44,19 @@ def mean_squared_displacement(df: DataFrame, max_lag: int = 0, per_track: bool =
     """([track_id,] lag, msd, n): squared displacements of points `lag` points apart in a track, for lags up to max_lag.
 
     max_lag 0 is half the median length of a track, two at least. Points of a frame that is missing are not waited for.
-    Each point is sent to the places that it is paired with, so that the join is on track and place.
+    Places are dealt into blocks of max_lag, and each point is sent to its own block and the next: there it meets all
+    points up to max_lag later. The pairs are averaged where they meet, and only sums are moved.
     """
     p = df.where(q(track).isNotNull() & (q(track) != UNLINKED)).select(q(track).alias("track_id"), q(frame).alias("f"), q(x).alias("x"), q(y).alias("y"))
     if not max_lag:
         median = p.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).agg(F.median("n")).first()[0]
         max_lag = max(2, int((median or 0) // 2))
     p = p.withColumn("place", F.row_number().over(Window.partitionBy("track_id").orderBy("f", "x", "y"))).drop("f")
-    later = p.select("track_id", "place", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    sent = p.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("place", F.col("place") + F.col("lag"))
-    d = sent.join(later, ["track_id", "place"])
+    block = F.floor(F.col("place") / max_lag).cast("int")
+    later = p.select("track_id", block.alias("block"), F.col("place").alias("place2"), F.col("x").alias("x2"), F.col("y").alias("y2")).hint("merge")
+    sent = p.withColumn("block", F.explode(F.array(block, block + 1)))
+    lag = F.col("place2") - F.col("place")
+    d = sent.join(later, ["track_id", "block"]).where(lag.between(1, max_lag)).withColumn("lag", lag)
     square = (F.col("x2") - F.col("x")) ** 2 + (F.col("y2") - F.col("y")) ** 2
     return d.groupBy(*(["track_id"] if per_track else []), "lag").agg(F.avg(square).alias("msd"), F.count(F.lit(1)).alias("n"))
 

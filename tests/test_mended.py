@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labquarry.operators import evaluation, images, molecules, neighbours, running, screening, shapes, statistics, tabular
+from labquarry.operators import evaluation, images, molecules, neighbours, running, screening, shapes, statistics, tabular, tracking
 
 
 def test_pairs_at_the_threshold(spark):
@@ -146,3 +146,20 @@ def test_running_extremes(spark):
     assert [r["s"] for r in running.accumulated(df, "o", {"s": "v"}, how="max").orderBy("o").collect()] == np.maximum.accumulate(v).tolist()
     down = running.accumulated(df, "o", {"s": "v"}, descending=True, how="min").orderBy(F.desc("o")).collect()
     assert [r["s"] for r in down] == np.minimum.accumulate(v[::-1]).tolist()
+
+
+def test_displacements_send_each_point_twice(spark):
+    """Pairs by blocks of places: every lag is there, and no point is sent once for each lag."""
+    rng = np.random.default_rng(7)
+    rows = [(t, f, float(rng.integers(0, 50)), float(rng.integers(0, 50))) for t, n in enumerate([1, 2, 9, 40, 41, 90]) for f in range(n)]
+    df = spark.createDataFrame(rows, "track_id int, frame int, centroid_x double, centroid_y double")
+    for most in (1, 2, 7, 50):
+        want = {}
+        for t in range(6):
+            own = np.array([r[2:] for r in rows if r[0] == t])
+            for lag in range(1, min(most, len(own) - 1) + 1):
+                square = ((own[lag:] - own[:-lag]) ** 2).sum(1)
+                want[t, lag] = (pytest.approx(square.mean()), len(square))
+        out = tracking.mean_squared_displacement(df, most, per_track=True)
+        assert {(r["track_id"], r["lag"]): (r["msd"], r["n"]) for r in out.collect()} == want
+        assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
