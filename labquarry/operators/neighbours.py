@@ -174,39 +174,93 @@ def knn_regress(train: DataFrame, rows: DataFrame, key: str, train_key: str, vec
     return near.groupBy("key").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("prediction"))
 
 
-def within(df: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:
-    """(a, b) of all ordered pairs of different rows at most eps apart, by a grid of cells of side eps.
+#: Boxes that a cell is parted into, about.
+BOXES = 64
 
-    Only the first three columns make cells; a row is sent to its cell's neighbours, the exact distance decides.
+
+def _placed(df: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:
+    """(k, c0, ..., box, cell, block) of the rows whose columns are all finite numbers.
+
+    Rows of one cell are within eps of each other; those within eps of each other lie in the same block or in blocks that
+    touch. Boxes part cells. Only the first three columns make blocks.
     """
+    n = len(columns)
+    parts, fine = 1 + int(n**0.5), max(2, int(BOXES ** (1 / n) + 1e-9))  # more parts than the root of n: a cell's diagonal is under eps
     p = df.select(q(key).alias("k"), *(q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
-    p = p.where(reduce(lambda a, b: a & b, [F.col(f"c{i}").isNotNull() for i in range(len(columns))]))
-    m = min(3, len(columns))
-    cells = [F.floor(F.col(f"c{i}") / eps) for i in range(m)]
-    home = p.select("*", *(c.alias(f"g{i}") for i, c in enumerate(cells)))
-    sent = home
-    for i in range(m):
-        sent = sent.withColumn(f"g{i}", F.explode(F.array(*(F.col(f"g{i}") + s for s in (-1, 0, 1)))))
-    sent = sent.select(F.col("k").alias("b"), *(F.col(f"c{i}").alias(f"d{i}") for i in range(len(columns))), *(f"g{i}" for i in range(m)))
-    both = home.withColumnRenamed("k", "a").join(sent, [f"g{i}" for i in range(m)]).where("a <> b")
-    square = reduce(lambda x, y: x + y, [(F.col(f"c{i}") - F.col(f"d{i}")) ** 2 for i in range(len(columns))])
-    return both.where(square <= eps * eps).select("a", "b")
+    p = p.where(reduce(lambda a, b: a & b, [F.abs(f"c{i}") < float("inf") for i in range(n)]))
+    # A little wider than eps, so that rounding parts no two rows that are eps apart by more than a block.
+    p = p.withColumn("box", F.array(*(F.floor(F.col(f"c{i}") / (eps * (1 + 1e-9)) * (parts * fine)) for i in range(n))))
+    p = p.withColumn("cell", F.transform("box", lambda x: F.floor(x / fine)))
+    return p.withColumn("block", F.transform(F.slice("cell", 1, min(3, n)), lambda x: F.floor(x / parts)))
+
+
+def _touching(block: Column, m: int) -> Column:
+    """An array of the block and all blocks that touch it."""
+    steps = [[]]
+    for _ in range(m):
+        steps = [[*x, s] for x in steps for s in (-1, 0, 1)]
+    return F.array(*(F.array(*(block[i] + F.lit(s) for i, s in enumerate(x))) for x in steps))
+
+
+def _square(pairs: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [d * d for d in pairs])
 
 
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """df with cluster: numbered from 0 by their smallest core key; -1 for noise.
 
-    Cores have min_samples rows, themselves included, within eps; clusters are the connected cores, found by passing
-    the smallest key along links until nothing changes; other rows join the smallest cluster of a core within eps.
+    Cores have min_samples rows, themselves included, within eps; clusters are the connected cores; other rows join the
+    smallest cluster of a core within eps. No list of all near pairs is made: rows of a cell of min_samples rows are
+    cores and connected, so that neighbours are counted for rows of emptier cells alone, and cells are tied by the boxes
+    around their cores, whose corners mostly tell whether some core of one cell is within eps of one of the other; only
+    where they do not, cores are compared.
     """
-    near = stored(within(df, key, columns, eps))
-    cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("core"))
-    if min_samples <= 1:
-        cores = df.select(q(key).alias("core"))
-    cores = stored(cores)
-    links = near.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi")
-    links = stored(links.select("a", "b"))
-    label = cores.select("core", F.col("core").alias("label"))
+    m, n = min(3, len(columns)), len(columns)
+    p = stored(_placed(df, key, columns, eps))
+    cells = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    full = stored(cells.where(F.col("n") >= min_samples).select("cell"))
+    few = p.join(full, "cell", "left_anti")
+    sent = few.select(F.col("k").alias("a"), *(F.col(f"c{i}").alias(f"d{i}") for i in range(n)), F.explode(_touching(F.col("block"), m)).alias("block"))
+    near = sent.join(p.select("k", "block", *(f"c{i}" for i in range(n))), "block")
+    near = stored(near.where(_square([F.col(f"c{i}") - F.col(f"d{i}") for i in range(n)]) <= eps * eps).select("a", F.col("k").alias("b")))
+    more = near.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("k")
+    cores = stored(p.join(full, "cell", "left_semi").unionByName(p.join(more, "k", "left_semi").select(*p.columns)))
+
+    boxes = cores.groupBy("block", "cell", "box").agg(F.min("k").alias("first"), *(f(f"c{i}").alias(f"{s}{i}") for i in range(n) for s, f in (("l", F.min), ("h", F.max))))
+    names = stored(boxes.groupBy("cell").agg(F.min("first").alias("unit")))
+    boxes = stored(boxes.join(names, "cell").drop("first", "cell"))
+    links = _cell_links(boxes, cores, eps, n, m)
+    label = _connected(names.select(F.col("unit").alias("core")), links)
+    own = cores.select("k", "cell").join(names, "cell").join(label, F.col("unit") == F.col("core")).select(F.col("k").alias("core"), "label")
+    if min_samples <= 1:  # rows without a place are near to none but themselves
+        own = own.union(df.select(q(key).alias("k"), q(key).alias("label")).join(p.select("k"), "k", "left_anti"))
+    own = stored(own)
+    reach = near.join(own, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m")).select(F.col("a").alias("_a"), "m")
+    numbers = own.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
+    out = df.drop("cluster").join(own.withColumnRenamed("label", "own"), q(key) == F.col("core"), "left").join(reach, q(key) == F.col("_a"), "left")
+    out = out.withColumn("_of", F.coalesce("own", "m")).join(numbers, F.col("_of") == F.col("label"), "left")
+    return out.select(*(q(c) for c in df.columns if c != "cluster"), F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster"))
+
+
+def _cell_links(boxes: DataFrame, cores: DataFrame, eps: float, n: int, m: int) -> DataFrame:
+    """(a, b), both ways: units (cells of cores) that have cores within eps of each other."""
+    other = boxes.select(F.col("unit").alias("b"), F.col("box").alias("box_b"), F.explode(_touching(F.col("block"), m)).alias("block"), *(F.col(f"{s}{i}").alias(f"{s}{i}_b") for i in range(n) for s in "lh"))
+    col = lambda s, i: F.col(f"{s}{i}")
+    gap = _square([F.greatest(F.lit(0.0), F.col(f"l{i}_b") - col("h", i), col("l", i) - F.col(f"h{i}_b")) for i in range(n)])
+    span = _square([F.greatest(F.col(f"h{i}_b") - col("l", i), col("h", i) - F.col(f"l{i}_b")) for i in range(n)])
+    pairs = boxes.withColumnRenamed("unit", "a").join(other, "block").where((F.col("a") < F.col("b")) & (gap <= eps * eps))
+    pairs = stored(pairs.select("a", "b", "box", "box_b", (span <= eps * eps).alias("sure")))
+    sure = pairs.where("sure").select("a", "b").distinct()
+    open_ = stored(pairs.where("not sure").join(sure, ["a", "b"], "left_anti").select("a", "b", "box", "box_b"))
+    left = open_.join(cores.select("box", *(F.col(f"c{i}") for i in range(n))), "box")
+    both = left.join(cores.select(F.col("box").alias("box_b"), *(F.col(f"c{i}").alias(f"d{i}") for i in range(n))), "box_b")
+    links = stored(sure.union(both.where(_square([F.col(f"c{i}") - F.col(f"d{i}") for i in range(n)]) <= eps * eps).select("a", "b").distinct()))
+    return links.union(links.select("b", "a"))
+
+
+def _connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(core, label): the smallest node connected, found by passing labels along links (a, b), both ways, until nothing changes."""
+    label = nodes.select("core", F.col("core").alias("label"))
     while True:
         passed = links.join(label, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m"))
         both = label.join(passed, F.col("core") == F.col("a"), "left").select("core", "label", F.least("label", F.coalesce("m", "label")).alias("low"))
@@ -218,12 +272,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
         after = stored(both.join(jump, F.col("label") == F.col("_at")).select("core", "old", F.col("_jump").alias("label")))
         label = after.select("core", "label")
         if after.where("label <> old").isEmpty():
-            break
-    reach = near.join(label, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m")).select(F.col("a").alias("_a"), "m")
-    names = label.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
-    out = df.drop("cluster").join(label.withColumnRenamed("label", "own"), q(key) == F.col("core"), "left").join(reach, q(key) == F.col("_a"), "left")
-    out = out.withColumn("_of", F.coalesce("own", "m")).join(names, F.col("_of") == F.col("label"), "left")
-    return out.select(*(q(c) for c in df.columns if c != "cluster"), F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster"))
+            return label
 
 
 UNCLUSTERED = -1

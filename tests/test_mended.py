@@ -163,3 +163,42 @@ def test_displacements_send_each_point_twice(spark):
         out = tracking.mean_squared_displacement(df, most, per_track=True)
         assert {(r["track_id"], r["lag"]): (r["msd"], r["n"]) for r in out.collect()} == want
         assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _counted(monkeypatch):
+    """Rows of each table that neighbours stores from now on."""
+    rows, stored = [], neighbours.stored
+
+    def count(df, by=None):
+        out = stored(df, by)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", count)
+    return rows
+
+
+def test_density_clusters_without_lists_of_pairs(spark, monkeypatch):
+    """Crowds of points, chains between them, points on the rim and far off: as by brute force, and no table of all near pairs."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.1, (500, 2)), rng.normal(2, 0.3, (300, 2)), np.column_stack([np.linspace(-3, 3, 60), np.full(60, -1.0)]), rng.uniform(-4, 4, (60, 2)), np.zeros((200, 2))])
+    x = rng.permutation(np.round(x, 2))
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(x)] + [(5000, None, 1.0), (5001, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    stored = _counted(monkeypatch)
+    for eps, least in ((0.25, 6), (0.5, 1)):
+        stored.clear()
+        near = ((x[:, None, 0] - x[None, :, 0]) * (x[:, None, 0] - x[None, :, 0]) + (x[:, None, 1] - x[None, :, 1]) * (x[:, None, 1] - x[None, :, 1])) <= eps * eps
+        core, label = near.sum(1) >= least, np.arange(len(x))
+        while True:
+            told = np.where(near & core[None, :] & core[:, None], label[None, :], len(x)).min(1)
+            after = np.where(core, np.minimum(label, told), label)
+            if (after == label).all():
+                break
+            label = after
+        reach = np.where(near & core[None, :], label[None, :], len(x)).min(1)
+        names = {v: k for k, v in enumerate(sorted(set(label[core].tolist())))}
+        want = {k: names.get(int(label[k] if core[k] else reach[k]), -1) for k in range(len(x))}
+        want |= {5000: len(names), 5001: len(names) + 1} if least == 1 else {5000: -1, 5001: -1}
+        assert {r["id"]: r["cluster"] for r in neighbours.dbscan(df, "id", ["x", "y"], eps, least).collect()} == want
+        assert max(stored) < near.sum() / 4
