@@ -51,27 +51,61 @@ def similarity_search(df: DataFrame, query: DataFrame, fingerprint: str, n_bits:
     return out.where(F.col("similarity") >= least).drop("_query")
 
 
+#: A pair that meets in a prefix costs about as much as so many pairs compared by blocks.
+MEETING = 64
+
+
 def similarity_pairs(df: DataFrame, key: str, fingerprint: str, n_bits: int, least: float, metric: str = "tanimoto") -> DataFrame:
-    """(a, b, similarity) of pairs a < b with a tanimoto similarity of at least `least` > 0, found without comparing all pairs.
+    """(a, b, similarity) of pairs a < b with a tanimoto similarity of at least `least` > 0.
 
-    Two such fingerprints of x and y bits share at least o = least / (1 + least) * (x + y) bits, so they share one of
-    the first x - o + 1 bits of each in a fixed order, o being the smallest number with o / x >= least: pairs meet
-    there (prefix filter), and are compared at the first such bit alone, if their sizes allow the similarity at all.
+    Equal fingerprints are compared once, as a class, and pairs of classes are put out as those of their rows. Where
+    prefixes tell fingerprints apart, classes meet by them (see _meeting); where they do not, as with few bits of which
+    half are set, all classes are compared block by block, which is quadratic in their number.
     """
     if metric != "tanimoto" or least <= 0:
         raise OperatorError("pairs are found for tanimoto above 0")
-    on = F.filter(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.getbit(F.element_at(q(fingerprint), (F.floor(i / 63) + 1).cast("int")), (F.least(F.lit(63), F.lit(n_bits) - F.floor(i / 63).cast("int") * 63) - 1 - i % 63).cast("int")) == 1)
-    p = df.select(q(key).alias("k"), q(fingerprint).alias("fp"), on.alias("on")).where(F.size("on") > 0)
+    kind = dict(df.dtypes)[key]
+    rows = df.select(q(key).alias("k"), q(fingerprint).alias("fp")).where(_popcount(F.col("fp")) > 0)
+    nodes = stored(rows.groupBy("fp").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("w")))
+    n = nodes.count()
+    prefix = stored(_prefixes(nodes, n_bits, least))
+    meets = prefix.groupBy("bit").count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0.0  # as many rows as bits
+    found = _meeting(prefix, least) if meets * MEETING < float(n) ** 2 else _links(nodes, least, kind)
+    if nodes.where("w > 1").isEmpty():
+        ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        return found.select(*ordered, "similarity")
+    of = stored(rows.join(nodes.select("fp", F.col("k").alias("of")), "fp").select("k", "of"))
+    named = lambda s: of.select(F.col("k").alias("k" + s), F.col("of").alias(s))
+    apart = found.join(named("a"), "a").join(named("b"), "b")
+    apart = apart.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    if least > 1:
+        return apart
+    alike = of.join(of.select(F.col("k").alias("b"), "of"), "of").where(F.col("k") < F.col("b"))
+    return apart.union(alike.select(F.col("k").alias("a"), "b", F.lit(1.0)))
+
+
+def _prefixes(nodes: DataFrame, n_bits: int, least: float) -> DataFrame:
+    """(k, fp, x, first, bit): the first bits of each fingerprint of x bits, rare ones first, a row for each.
+
+    Two fingerprints of x and y bits that are alike share at least o = least / (1 + least) * (x + y) bits, so they share
+    one of the first x - o + 1 bits of each in a fixed order, o being the smallest number with o / x >= least.
+    """
+    on = F.filter(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.getbit(F.element_at("fp", (F.floor(i / 63) + 1).cast("int")), (F.least(F.lit(63), F.lit(n_bits) - F.floor(i / 63).cast("int") * 63) - 1 - i % 63).cast("int")) == 1)
+    p = stored(nodes.select("k", "fp", on.alias("on")))
     counts = p.select(F.explode("on").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("c"))
     # Rare bits first, so that prefixes meet seldom; there are as many rows as bits.
     order = counts.agg(F.map_from_entries(F.collect_list(F.struct("bit", "c"))).alias("order"))
-    p = p.crossJoin(F.broadcast(order))
     sorted_on = F.array_sort(F.transform("on", lambda i: F.struct(F.element_at("order", i).alias("c"), i.alias("i"))))
     x = F.size("on")
     up = F.ceil(x * least).cast("int")
     up = F.when((up - 1) / x >= least, up - 1).otherwise(up)  # the product may round up past a whole number
     first = F.transform(F.slice(sorted_on, F.lit(1), x - up + 1), lambda s: s["i"])
-    prefix = p.select("k", "fp", x.alias("x"), first.alias("first")).withColumn("bit", F.explode("first"))
+    p = stored(p.crossJoin(F.broadcast(order)).where(up <= x).select("k", "fp", x.alias("x"), first.alias("first")))
+    return p.withColumn("bit", F.explode("first"))
+
+
+def _meeting(prefix: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of a < b: pairs are compared at the first bit that their prefixes share alone, if their sizes allow the similarity at all."""
     named = lambda s: prefix.select("bit", *(F.col(c).alias(c + s) for c in ("k", "fp", "x", "first")))
     both = named("a").join(named("b"), "bit").where((F.col("ka") < F.col("kb")) & (F.least("xa", "xb") / F.greatest("xa", "xb") >= least))
     both = both.where(F.element_at(F.array_intersect("firsta", "firstb"), 1) == F.col("bit"))
@@ -279,36 +313,85 @@ UNCLUSTERED = -1
 
 
 #: Fingerprints of a block, of which pairs are compared at a time.
-ALIKE_BLOCK = 2048
+ALIKE_BLOCK = 4096
 
 
 def _alike(left: pd.DataFrame, right: pd.DataFrame, least: float, same: bool) -> pd.DataFrame:
-    """(a, b) and (b, a) of the pairs of two blocks, or within one, that are at least `least` alike."""
+    """(a, b, similarity) of the pairs of two blocks, or within one (once each), that are at least `least` alike."""
     words = [[np.asarray(v, np.int64) for v in x["fp"]] for x in (left, right)]
     most = max((len(v) for x in words for v in x), default=0)
     lengths = [np.array([len(v) for v in x], int) for x in words]
     bit = [np.unpackbits(np.array([np.pad(v, (0, most - len(v))) for v in x], np.int64).reshape(len(x), most).view(np.uint8), axis=1).astype(np.float32) for x in words]
     n, keys, got = [x.sum(1, dtype=float) for x in bit], [x["k"].to_numpy() for x in (left, right)], []
+    # z / (x + y - z) >= least where z - share * x - share * y >= 0: one product; rounding is made good below.
+    share, ones = least / (1 + least), [np.ones((len(x), 1), np.float32) for x in bit]
+    a = np.hstack([bit[0], -share * n[0][:, None].astype(np.float32), ones[0]])
+    b = np.hstack([bit[1], ones[1], -share * n[1][:, None].astype(np.float32)]).T.copy()
     for start in range(0, len(left), 512):
-        part = slice(start, start + 512)
-        z = (bit[0][part] @ bit[1].T).astype(float)
-        hit = (z / (n[0][part, None] + n[1] - z) >= least) & (lengths[0][part, None] == lengths[1])
-        got.append(np.argwhere(hit) + [start, 0])
+        got.append(np.argwhere(a[start : start + 512] @ b >= -0.05) + [start, 0])
     i, j = np.concatenate(got).T if got else np.zeros((2, 0), int)
-    a, b = pd.Series(keys[0][i]), pd.Series(keys[1][j])
-    both = pd.DataFrame({"a": a, "b": b}) if same else pd.DataFrame({"a": pd.concat([a, b]), "b": pd.concat([b, a])})
-    return both[both["a"] != both["b"]]
+    may = (lengths[0][i] == lengths[1][j]) & ((i < j) if same else True)
+    i, j = i[may], j[may]
+    z = np.concatenate([np.einsum("ij,ij->i", bit[0][i[k : k + 65536]], bit[1][j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)]).astype(float)
+    alike = z / (n[0][i] + n[1][j] - z)
+    hit = alike >= least
+    return pd.DataFrame({"a": keys[0][i[hit]], "b": keys[1][j[hit]], "similarity": alike[hit]})
 
 
 def _links(nodes: DataFrame, least: float, kind: str) -> DataFrame:
-    """(a, b) of all ordered pairs of different (k, fp) that are at least `least` alike, compared block by block."""
+    """(a, b, similarity) of all pairs of different (k, fp), once each, that are at least `least` alike, compared block by block."""
     n = max(1, -(-nodes.count() // ALIKE_BLOCK))
     own = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
     x = nodes.select("k", "fp", own.alias("_own"))
     a = x.select("k", "fp", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.lit(n - 1))).alias("_j"))
-    b = x.select("k", "fp", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
-    compare = lambda at, x, y: _alike(x, y, least, at[0] == at[1])
-    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(compare, f"a {kind}, b {kind}")
+    b = x.select(F.col("k").alias("k2"), F.col("fp").alias("fp2"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
+    # The work is in the pairs and not in the bytes: as many partitions as pairs of blocks, within reason.
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n * (n + 1) // 2, 2000))
+    a, b = (y.repartition(parts, "_i", "_j") for y in (a, b))
+
+    def compare(at, x, y):
+        x, y = (z.set_axis(["k", "fp", "_i", "_j"], axis=1) if z.shape[1] else pd.DataFrame({"k": [], "fp": []}) for z in (x, y))
+        return _alike(x.sort_values("k", ignore_index=True), y.sort_values("k", ignore_index=True), least, at[0] == at[1])
+
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+
+
+#: Rows, and links of theirs, among which one task takes heads in turn.
+TURN_ROWS, TURN_LINKS = 20_000, 2_000_000
+
+
+def _in_turn(best: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """(member, head): heads taken one by one among the best rows, with all their links; it ends where a row that is not
+    at hand (links null, the best of the others) would be next."""
+    best = best.sort_values("place", ignore_index=True)  # of equal ones the first is taken
+    if links.empty:
+        links = pd.DataFrame({"a": best["k"].iloc[:0], "b": best["k"].iloc[:0], "w": best["w"].iloc[:0]})
+    left, keys, there = best["n"].to_numpy(np.int64).copy(), best["k"], best["links"].notna().to_numpy()
+    nodes, code = np.unique(np.concatenate([keys.to_numpy(), links["b"].to_numpy()]), return_inverse=True)
+    own, to = code[: len(keys)], code[len(keys) :]
+    weight = np.zeros(len(nodes), np.int64)
+    weight[to] = links["w"].to_numpy(np.int64)
+    weight[own] = best["w"].to_numpy(np.int64)
+    at = np.full(len(nodes), -1)
+    at[own] = np.arange(len(own))
+    row = at[np.searchsorted(nodes, links["a"].to_numpy())]
+    order = np.argsort(row, kind="stable")
+    near, cuts = to[order], np.searchsorted(row[order], np.arange(len(keys) + 1))
+    order = np.argsort(to, kind="stable")
+    back, ends = row[order], np.searchsorted(to[order], np.arange(len(nodes) + 1))
+    gone, members, heads = np.zeros(len(nodes), bool), [], []
+    while len(left) and left[head := int(np.argmax(left))] > 0 and there[head]:
+        taken = np.concatenate([near[cuts[head] : cuts[head + 1]], own[head : head + 1]])
+        taken = taken[~gone[taken]]
+        gone[taken] = True
+        members.append(taken)
+        heads.append(np.full(len(taken), own[head]))
+        for x in taken.tolist():  # rows that lose a neighbour
+            left[back[ends[x] : ends[x + 1]]] -= weight[x]
+        left[at[taken[at[taken] >= 0]]] = 0
+    if not members:
+        return pd.DataFrame({"member": keys.iloc[:0], "head": keys.iloc[:0]})
+    return pd.DataFrame({"member": nodes[np.concatenate(members)], "head": nodes[np.concatenate(heads)]})
 
 
 def leader_clusters(df: DataFrame, key: str, fingerprint: str, n_bits: int, threshold: float = 0.35) -> DataFrame:
@@ -316,10 +399,11 @@ def leader_clusters(df: DataFrame, key: str, fingerprint: str, n_bits: int, thre
 
     Equal fingerprints are one row with a weight: they have the same neighbours and always share a cluster. Different
     ones are compared block by block, which is quadratic in their number. The greedy
-    pass runs in rounds over stored pairs. A row is a head if none of those it shares a neighbour with, or is a
-    neighbour of, has more neighbours left (ties to the smaller number or the larger text). Heads of one round have no
-    neighbour in common, so the clusters are those of taking the head of all rows one by one. Rows without neighbours
-    are clusters of their own.
+    pass runs in rounds over stored pairs, of two kinds, which both give the clusters of taking the head of all rows one
+    by one (by neighbours left; ties to the smaller number or the larger text). In one, all rows are heads that no row
+    within two links outranks: heads of one round have no neighbour in common. Where that takes few, a task takes heads
+    in turn among the TURN_ROWS best rows or those of TURN_LINKS links, as far as no other row outranks them. Rows
+    without neighbours are clusters of their own.
     """
     kind = dict(df.dtypes)[key]
     by_number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
@@ -328,27 +412,57 @@ def leader_clusters(df: DataFrame, key: str, fingerprint: str, n_bits: int, thre
     # Rows without a bit are alike to none, their copies included.
     some = rows.where(_popcount(F.col("fp")) > 0)
     nodes = stored(some.groupBy("fp").agg(first("k").alias("k"), F.count(F.lit(1)).alias("w")))
-    left, links = nodes.select("k", "w"), stored(_links(nodes.select("k", "fp"), 1 - threshold, kind))
+    pairs = stored(_links(nodes.select("k", "fp"), 1 - threshold, kind).select("a", "b"))
+    links = pairs.union(pairs.select("b", "a"))
+    tied = stored(links.select(F.col("a").alias("k")).distinct())
+    done = stored(nodes.join(tied, "k", "left_anti").select(F.col("k").alias("member"), F.col("k").alias("head")))
+    left = stored(nodes.select("k", "w").join(tied, "k", "left_semi"))
     rank = F.struct("n", *([(-F.col("k")).alias("tie")] if by_number else [F.col("k").alias("tie")]), "k")
-    done = None
-    while not left.isEmpty():
-        # What a row has left, then the best among its neighbours and itself, then the best among theirs.
-        count = links.join(left.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.sum("w").alias("more"))
-        at = left.join(count, F.col("k") == F.col("a"), "left").withColumn("n", F.col("w") + F.coalesce("more", F.lit(0)))
-        at = stored(at.select("k", "w", rank.alias("own")))
-        best = at.select("k", F.col("own").alias("best"))
-        for _ in range(2):
-            told = links.join(best.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.max("best").alias("told"))
-            best = best.join(told, F.col("k") == F.col("a"), "left").select("k", F.greatest("best", F.coalesce("told", "best")).alias("best"))
-        heads = stored(best.where(F.col("best.k") == F.col("k")).select(F.col("k").alias("head")))
-        taken = links.join(heads, F.col("a") == F.col("head"), "left_semi").select(F.col("b").alias("member"), F.col("a").alias("head"))
-        taken = stored(taken.union(heads.select(F.col("head").alias("member"), "head")))
-        done = taken if done is None else done.union(taken)
-        left = stored(at.join(taken, F.col("k") == F.col("member"), "left_anti").select("k", "w"))
-        links = links.join(taken, F.col("a") == F.col("member"), "left_anti").join(taken.withColumnRenamed("member", "_b"), F.col("b") == F.col("_b"), "left_anti")
-        links = stored(links)
-    out = df.drop("cluster")
-    if done is None:
-        return out.withColumn("cluster", q(key))
+    n_left = n_stored = left.count()
+    wait = pause = 0
+    while n_left:
+        count = links.join(left.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.sum("w").alias("more"), F.count(F.lit(1)).alias("links"))
+        at = left.join(count, F.col("k") == F.col("a"), "left").select("k", "w", (F.col("w") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("links", F.lit(0)).alias("links"))
+        at = stored(at)
+        taken = stored(_turn(at, left, links, rank, kind) if wait else _peaks(at, links, rank))
+        done = done.union(taken)
+        left = stored(left.join(taken, F.col("k") == F.col("member"), "left_anti"))
+        before, n_left = n_left, left.count()
+        if wait:
+            wait -= 1
+        elif before - n_left < before / 4:
+            wait = pause = min(32, 2 * pause or 4)  # rounds in turn before the others are tried again
+        if n_left < n_stored / 2:
+            inner = links.join(left.select(F.col("k").alias("a")), "a", "left_semi").join(left.select(F.col("k").alias("b")), "b", "left_semi")
+            links, n_stored = stored(inner.select("a", "b")), n_left
     heads = nodes.join(done, F.col("k") == F.col("member")).select(F.col("fp").alias("_fp"), F.col("head").alias("_head"))
-    return out.join(heads, q(fingerprint) == F.col("_fp"), "left").withColumn("cluster", F.coalesce("_head", q(key))).drop("_fp", "_head")
+    return df.drop("cluster").join(heads, q(fingerprint) == F.col("_fp"), "left").withColumn("cluster", F.coalesce("_head", q(key))).drop("_fp", "_head")
+
+
+def _peaks(at: DataFrame, links: DataFrame, rank: Column) -> DataFrame:
+    """(member, head) of the rows that none within two links outranks, and those they take."""
+    # The best among a row's neighbours and itself, then the best among theirs.
+    best = at.select("k", rank.alias("best"))
+    for _ in range(2):
+        told = links.join(best.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.max("best").alias("told"))
+        best = best.join(told, F.col("k") == F.col("a"), "left").select("k", F.greatest("best", F.coalesce("told", "best")).alias("best"))
+    heads = stored(best.where(F.col("best.k") == F.col("k")).select(F.col("k").alias("head")))
+    there = links.join(at.select(F.col("k").alias("b")), "b", "left_semi")
+    taken = there.join(heads, F.col("a") == F.col("head")).select(F.col("b").alias("member"), F.col("a").alias("head"))
+    return taken.union(heads.select(F.col("head").alias("member"), "head"))
+
+
+def _turn(at: DataFrame, left: DataFrame, links: DataFrame, rank: Column, kind: str) -> DataFrame:
+    """(member, head) of heads taken in turn among the best rows, whose number and links are bounded."""
+    best = at.orderBy(rank.desc()).limit(TURN_ROWS + 1)
+    best = stored(best.withColumn("place", F.row_number().over(Window.orderBy(rank.desc()))))  # TURN_ROWS + 1 rows at most
+    tie = F.row_number().over(Window.orderBy(rank["tie"].desc()))
+    upto = F.sum("links").over(Window.orderBy("place"))
+    best = best.withColumn("_in", (F.col("place") == 1) | ((upto <= TURN_LINKS) & (F.col("place") <= TURN_ROWS)))
+    others = best.where("not _in").orderBy("place").limit(1)
+    best = best.where("_in").unionByName(others).withColumn("place", tie)
+    best = stored(best.select("k", "w", "n", F.when(F.col("_in"), F.col("links")).alias("links"), "place"))
+    own = best.where("links is not null").select(F.col("k").alias("a"))
+    some = links.join(F.broadcast(own), "a", "left_semi").join(left.withColumnRenamed("k", "b"), "b").select("a", "b", "w")
+    one = lambda x: x.withColumn("_one", F.lit(1)).groupBy("_one")
+    return one(best).cogroup(one(some)).applyInPandas(_in_turn, f"member {kind}, head {kind}")

@@ -202,3 +202,41 @@ def test_density_clusters_without_lists_of_pairs(spark, monkeypatch):
         want |= {5000: len(names), 5001: len(names) + 1} if least == 1 else {5000: -1, 5001: -1}
         assert {r["id"]: r["cluster"] for r in neighbours.dbscan(df, "id", ["x", "y"], eps, least).collect()} == want
         assert max(stored) < near.sum() / 4
+
+
+def test_pairs_of_fingerprints_that_prefixes_do_not_tell_apart(spark, monkeypatch):
+    """Half the bits set: compared by blocks, copies once; few bits set: by prefixes. Both as by brute force."""
+    rng = np.random.default_rng(9)
+    for share, least, blocks in ((0.5, 0.55, True), (0.02, 0.5, False)):
+        x = (rng.random((400, 63 if blocks else 2000)) < share).astype(float)
+        x[100:130], x[130] = x[99], 0
+        n_bits = x.shape[1]
+        monkeypatch.setattr(neighbours, "MEETING", 64 if blocks else 1, raising=False)  # prefixes pay in a larger table
+        df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "k long, v array<double>").select("k", neighbours.bits(F.col("v")).alias("fp"))
+        out = neighbours.similarity_pairs(df, "k", "fp", n_bits, least)
+        both, size = x @ x.T, x.sum(1)
+        want = {(a, b): both[a, b] / (size[a] + size[b] - both[a, b]) for a in range(400) for b in range(a + 1, 400) if both[a, b]}
+        assert {(r["a"], r["b"]): r["similarity"] for r in out.collect()} == {k: v for k, v in want.items() if v >= least}
+        assert ("CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()) == blocks
+
+
+def test_leaders_of_a_dense_graph_in_few_rounds(spark, monkeypatch):
+    """Nearly all rows are within two links of each other, so that few can be heads at once."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((700, 30)) < rng.uniform(0.3, 0.7, (700, 1))).astype(float)
+    x[300:340] = x[5]
+    both, size = x @ x.T, x.sum(1)
+    near = both / np.maximum(size[:, None] + size[None, :] - both, 1) >= 0.55
+    left, want = np.ones(700, bool), {}
+    while left.any():
+        n = np.where(left, (near & left[None, :]).sum(1), -1)
+        head = int(np.argmax(n))
+        taken = np.flatnonzero(near[head] & left) if n[head] else np.array([head])
+        want |= dict.fromkeys(taken.tolist(), head)
+        left[taken] = False
+    stored = _counted(monkeypatch)
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "k long, v array<double>").select("k", neighbours.bits(F.col("v")).alias("fp"))
+    monkeypatch.setattr(neighbours, "TURN_ROWS", 40, raising=False)
+    monkeypatch.setattr(neighbours, "TURN_LINKS", 10_000, raising=False)
+    assert {r["k"]: r["cluster"] for r in neighbours.leader_clusters(df, "k", "fp", 30, 0.45).collect()} == want
+    assert len(stored) < 80
