@@ -373,7 +373,7 @@ def _in_turn(best: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
     weight[to] = links["w"].to_numpy(np.int64)
     weight[own] = best["w"].to_numpy(np.int64)
     at = np.full(len(nodes), -1)
-    at[own] = np.arange(len(own))
+    at[own[there]] = np.flatnonzero(there)  # the row that ends it bounds all others, even when it is taken itself
     row = at[np.searchsorted(nodes, links["a"].to_numpy())]
     order = np.argsort(row, kind="stable")
     near, cuts = to[order], np.searchsorted(row[order], np.arange(len(keys) + 1))
