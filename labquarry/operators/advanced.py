@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import special
 from .curves import CURVES, curve, nonlinear_fit  # noqa: F401
 from .models import Model, _scored, score
+from .running import percentiles
 from .statistics import _known, mann_whitney
 from .tabular import OperatorError, as_text, q
 
@@ -144,8 +145,8 @@ def distribution_fits(df: DataFrame, value: str) -> DataFrame:
     k = _known(df, value)
     x = F.col("v")
     positive = F.min("v") > 0
-    s = k.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("s2"), F.min(x).alias("a"), F.max(x).alias("b"), F.avg(F.log(F.when(x > 0, x))).alias("lm"), F.var_pop(F.log(F.when(x > 0, x))).alias("l2"), F.avg(x * x).alias("q"), positive.alias("positive"), F.median(x).alias("med"))
-    med = k.crossJoin(F.broadcast(s.select("med"))).agg(F.avg(F.abs(x - F.col("med"))).alias("laplace"))  # one row
+    s = k.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("s2"), F.min(x).alias("a"), F.max(x).alias("b"), F.avg(F.log(F.when(x > 0, x))).alias("lm"), F.var_pop(F.log(F.when(x > 0, x))).alias("l2"), F.avg(x * x).alias("q"), positive.alias("positive"))
+    med = k.crossJoin(F.broadcast(percentiles(k, "v", [0.5]).withColumnRenamed("p0", "med"))).agg(F.avg(F.abs(x - F.col("med"))).alias("laplace"))  # one row
     s = s.crossJoin(F.broadcast(med))
     n = F.col("n")
     log = F.log

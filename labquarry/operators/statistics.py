@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
-from .running import accumulated
+from .running import accumulated, percentiles
 from .tabular import OperatorError, numeric, q
 
 
@@ -59,8 +59,12 @@ def describe(df: DataFrame, columns: list[str] | None = None, group: str | None
 def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(stat, columns...): count, mean, std, min, quartiles and max of numeric columns, one row each."""
     columns = columns or numeric(df)
-    forms = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "25%": lambda c: F.percentile(c, 0.25), "50%": lambda c: F.percentile(c, 0.5), "75%": lambda c: F.percentile(c, 0.75), "max": lambda c: F.max(c).cast("double")}
-    row = df.agg(*(F.array(*(F.struct(F.lit(k).alias("stat"), f(q(c)).alias("v")) for k, f in forms.items())).alias(c) for c in columns))
+    forms = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "25%": "p0", "50%": "p1", "75%": "p2", "max": lambda c: F.max(c).cast("double")}
+    long = df.select(*(q(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns))).unpivot([], [f"c{k}" for k in range(len(columns))], "column", "v")
+    parts = percentiles(long, "v", [0.25, 0.5, 0.75], ["column"])
+    parts = parts.agg(*(F.max(F.when(F.col("column") == f"c{k}", F.col(x))).alias(f"_{x}_{k}") for k in range(len(columns)) for x in ("p0", "p1", "p2")))  # one row
+    row = df.agg(*(f(q(c)).alias(f"_{name}_{k}") for k, c in enumerate(columns) for name, f in forms.items() if callable(f))).crossJoin(F.broadcast(parts))
+    row = row.select(*(F.array(*(F.struct(F.lit(name).alias("stat"), F.col(f"`_{name if callable(f) else f}_{k}`").alias("v")) for name, f in forms.items())).alias(c) for k, c in enumerate(columns)))
     out = row.select(F.explode(F.arrays_zip(*columns)).alias("x"))
     return out.select(F.col(f"x.`{columns[0]}`.stat").alias("stat"), *(F.col(f"x.`{c}`.v").alias(c) for c in columns))
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labquarry.operators import evaluation, images, molecules, neighbours, running, screening, shapes, statistics, tabular, tracking
+from labquarry.operators import advanced, evaluation, images, molecules, neighbours, running, screening, shapes, statistics, tabular, tracking
 
 
 def test_pairs_at_the_threshold(spark):
@@ -240,3 +240,22 @@ def test_leaders_of_a_dense_graph_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TURN_LINKS", 10_000, raising=False)
     assert {r["k"]: r["cluster"] for r in neighbours.leader_clusters(df, "k", "fp", 30, 0.45).collect()} == want
     assert len(stored) < 80
+
+
+def test_percentiles_without_a_task_of_all_values(spark):
+    """As F.percentile and F.median, which gather all distinct values in one task; data_summary and distribution_fits take them."""
+    rng = np.random.default_rng(8)
+    v = [float(x) for x in rng.normal(50, 20, 2001).round(3)] + [7.5] * 300 + [None] * 5
+    df = spark.createDataFrame([(x, None if k % 7 == 0 else float(k % 40), "ab"[k % 2]) for k, x in enumerate(v)], "x double, y double, g string")
+    for by in ([], ["g"]):
+        want = df.groupBy(*by).agg(*(F.percentile("y", p).alias(f"p{k}") for k, p in enumerate((0.0, 0.001, 0.25, 0.5, 0.999, 1.0))))
+        got = running.percentiles(df, "y", [0.0, 0.001, 0.25, 0.5, 0.999, 1.0], by)
+        assert sorted(got.collect()) == sorted(want.collect())
+    assert running.percentiles(df.limit(0), "y", [0.5]).first()[0] is None
+    out = statistics.summary(df, ["x", "y"])
+    told = {r["stat"]: (r["x"], r["y"]) for r in out.collect()}
+    frame = df.toPandas().describe()
+    assert all(told[k] == pytest.approx((frame["x"][k], frame["y"][k])) for k in frame.index) and list(told) == list(frame.index)
+    for x in (out, advanced.distribution_fits(df, "y")):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan
