@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import percentiles
 from .common import drop_stored, read, stored
 
 SIZES = (2, 3, 4)
@@ -190,11 +191,10 @@ def op6_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def least_score(labelled: DataFrame, model: LanguageFilter, share: float = REJECTED, bound: int = TRAINING_DOCUMENTS) -> float:
-    """Half the score that all but `share` of the rows that teach (text, lang) reach; 0 if there are none."""
-    scores = predict(taught_by(labelled, bound=bound).select("text"), model).where(F.col("lang_pred") != UNKNOWN)
-    found = scores.agg(F.percentile("score", F.lit(share))).first()[0]
-    return (found or 0.0) / 2
+def least_score(labelled: DataFrame, share: float = REJECTED) -> float:
+    """Half the score that all but `share` of the labelled documents (lang_pred, score) reach, all of them read; 0 if there are none."""
+    found = percentiles(labelled.where(F.col("lang_pred") != UNKNOWN), "score", [share]).first()
+    return ((found[0] if found else None) or 0.0) / 2
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -211,9 +211,10 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, languages
     model = fit(taught)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    least = least_score(taught, model)
     boxed = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), "text")
-    found = predict(boxed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= least))
+    scored = stored(predict(boxed, model).drop("text"))  # each text is looked at once, for the threshold and for the choice
+    least = least_score(scored.where(F.col("row.text").isNotNull() & F.col("row.lang").isNotNull() & ~held_out(F.col("row.doc_id"))))
+    found = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= least))
     if languages is not None:
         found = found.where(F.col("lang_pred").isin(*languages))
     lang = F.coalesce(F.col("row.lang"), F.col("lang_pred").cast(docs.schema["lang"].dataType)).alias("lang")

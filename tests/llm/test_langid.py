@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from labquarry.llm import langid
@@ -75,3 +76,19 @@ def test_stage_drops_untaught_scripts(spark):
     assert {r["doc_id"] for r in langid.keep_identified(spark, docs, "").collect()} == {*range(80), 901}
     untaught = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["doc_id"] for r in langid.keep_identified(spark, untaught, "").collect()} == {*range(80), 900, 901}
+
+
+def test_threshold_from_all_labelled_documents(spark, monkeypatch):
+    """Few documents teach; the scores of all labelled ones set the threshold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(langid.fit, "__defaults__", ("text", "lang", 60, langid.POSITIONS))
+    seen = []
+    least = langid.least_score
+
+    def told(labelled, *more):
+        seen.append((labelled.count(), least(labelled, *more), labelled.where("lang_pred != 'und'").agg(F.percentile("score", F.lit(langid.REJECTED))).first()[0] / 2))
+        return seen[-1][1]
+
+    monkeypatch.setattr(langid, "least_score", told)
+    langid.keep_identified(spark, docs, SF).count()
+    assert seen[0][0] == docs.where(~langid.held_out(F.col("doc_id"))).where("text is not null and lang is not null").count() and seen[0][1] == pytest.approx(seen[0][2])
