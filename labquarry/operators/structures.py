@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ VALENCES = {
 }
 #: Molecules of more rows (atoms and bonds) than this are taken apart in rounds of joins, not as one record.
 WHOLE = 100_000
+#: Bonds of the largest core whose rings a worker remembers.
+SMALL_CORE = 64
 #: Multiplier of the 32-bit hash by which identifiers are combined (FNV).
 FNV = 16777619
 
@@ -139,12 +141,21 @@ def both_ways(bonds: DataFrame) -> DataFrame:
     return bonds.select("mol", F.col("a").alias("atom"), F.col("b").alias("other"), "kind").union(bonds.select("mol", F.col("b"), F.col("a"), "kind"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to a fixed number of tasks: adaptive execution joins partitions by their bytes, but few bytes of molecules are much work.
+
+    Rows made from df's keep its partitions, so that packed() then moves nothing.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def packed(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(mol, atoms, bonds): one record a molecule, arrays of its rows in order; one shuffle, no join."""
+    """(mol, atoms, bonds): one record a molecule, arrays of its rows in order; one shuffle (none after spread()), no join."""
     atom, bond = F.struct(*(c for c in atoms.columns if c != "mol")), F.struct("a", "b", "kind")
     one = atoms.select("mol", atom.alias("atoms"), F.lit(None).cast(bonds.select(bond).schema[0].dataType).alias("bonds"))
     other = bonds.select("mol", F.lit(None).cast(atoms.select(atom).schema[0].dataType).alias("atoms"), bond.alias("bonds"))
-    return one.unionByName(other).groupBy("mol").agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in ("atoms", "bonds")))
+    return spread(one.unionByName(other), "mol").groupBy("mol").agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in ("atoms", "bonds")))
 
 
 def _lengths(lists: pa.ListArray) -> np.ndarray:
@@ -155,6 +166,12 @@ def _numbers(values: pa.Array, null: int = 0) -> np.ndarray:
     return values.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _coded(values: pa.Array) -> tuple[np.ndarray, list]:
+    """Strings as places in a list of them, the last of which stands for null (-1)."""
+    found = values.dictionary_encode()
+    return _numbers(found.indices, -1), [*found.dictionary.to_pylist(), None]
+
+
 def _nodes(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ends of bonds as numbers from 0, in the order of (row, atom)."""
     at = np.unique(np.concatenate([row << 32 | a, row << 32 | b]), return_inverse=True)[1]
@@ -175,13 +192,32 @@ def _pruned(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _ring_lists(row: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """(row, rings): the smallest rings of each row that has any; bonds come once each, in the order of (row, a, b)."""
+    """(row, rings): the smallest rings of each row that has any; bonds come once each, in the order of (row, a, b).
+
+    A core's atoms are numbered in their order, by which cores alike look alike: the rings of small ones are remembered.
+    """
     kept = _pruned(row, a, b)
     row, a, b = row[kept], a[kept], b[kept]
+    if not len(row):
+        return
+    nodes = np.unique(np.concatenate([row << 32 | a, row << 32 | b]))
+    atoms = (nodes & 0xFFFFFFFF).tolist()
     cuts = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)]
-    for start, end in zip(cuts, cuts[1:]):
-        if end > start:
-            yield int(row[start]), _cycle_basis(a[start:end].tolist(), b[start:end].tolist())
+    rows = row[cuts[:-1]]
+    first = np.searchsorted(nodes, rows << 32)
+    own = np.repeat(first, np.diff(cuts))
+    ends = np.stack([np.searchsorted(nodes, row << 32 | a) - own, np.searchsorted(nodes, row << 32 | b) - own], 1).astype("<i4")
+    for r, at, start, end in zip(rows.tolist(), first.tolist(), cuts, cuts[1:]):
+        rings = (_known_basis if end - start <= SMALL_CORE else _basis)(ends[start:end].tobytes())
+        yield r, [[atoms[at + i] for i in ring] for ring in rings]
+
+
+def _basis(ends: bytes) -> list[list[int]]:
+    a, b = np.frombuffer(ends, "<i4").reshape(-1, 2).T.tolist()
+    return _cycle_basis(a, b)
+
+
+_known_basis = lru_cache(maxsize=8192)(_basis)
 
 
 def _in_cycles(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -435,8 +471,8 @@ def remove_hydrogens(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, Dat
     return rest, _kept(rest, bonds, rest.select("mol", "atom"))[1]
 
 
-def _combined(h: Column, value: Column) -> Column:
-    return (h.bitwiseXOR(value) * FNV).bitwiseAND(F.lit(0xFFFFFFFF))
+def _combined(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return ((h ^ value) * FNV) & 0xFFFFFFFF
 
 
 @dataclass
@@ -502,13 +538,13 @@ def _perceived(batches):
         tie_in_ring = np.isin(pair(x, y), pair(ring_at, ring_at[after]))
         in_ring = np.zeros(len(place), np.int64)
         in_ring[ring_at] = 1
-        element, charge = atoms.field("element").to_numpy(zero_copy_only=False), _numbers(atoms.field("charge"))
+        (element, names), charge = _coded(atoms.field("element")), _numbers(atoms.field("charge"))
         count = lambda at, w=None: np.bincount(at, w, len(place))
         used = np.floor(count(np.concatenate([x, y]), np.tile(np.where(kind == 4, 1.5, kind), 2)) + 0.5).astype(np.int64)
-        names, code = np.unique(np.array([f"{e}{c}" for e, c in zip(element, charge)], object).astype(str), return_inverse=True)
-        free = np.maximum(np.array([usual.get(k, 0) for k in names], np.int64)[code] - used, 0) if len(place) else used
+        both, code = np.unique(element << 32 | (charge + (1 << 31)), return_inverse=True)
+        free = np.maximum(np.array([usual.get(f"{names[k >> 32]}{(k & 0xFFFFFFFF) - (1 << 31)}", 0) for k in both.tolist()], np.int64)[code] - used, 0) if len(place) else used
         given = _numbers(atoms.field("hydrogens"), -1)
-        is_h = element == "H"
+        is_h = element == (names.index("H") if "H" in names else -2)
         hydrogens = np.where(given >= 0, given, free) + count(x, is_h[y]).astype(np.int64) + count(y, is_h[x]).astype(np.int64)
         degree = count(x) + count(y)
         soft = _numbers(atoms.field("aromatic")).astype(bool)
@@ -534,24 +570,49 @@ def perceive(atoms: DataFrame, bonds: DataFrame) -> Perceived:
     return Perceived(stored(packed(atoms, bonds).where(F.size("atoms") > 0).mapInArrow(_perceived, f"mol {atoms.schema['mol'].dataType.simpleString()}, {_RECORD}")))
 
 
-def _rounds(seen: Perceived, radius: int) -> DataFrame:
-    """(mol, atoms, ids): an array of each round's identifiers, in the order of atoms."""
-    number = F.create_map(*[F.lit(x) for k, e in enumerate(ELEMENTS) for x in (e, k + 1)])
-
-    def first(x: Column) -> Column:
-        h = F.coalesce(F.try_element_at(number, x["element"]), F.lit(0)).cast("long")
-        for part in (x["degree"], x["hydrogens"], x["charge"] + 5, x["in_ring"]):
-            h = _combined(h, part.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        return h
-
-    # Rounds go through the state of one aggregate: as columns of projections, each would be put anew into every use of it.
-    def told(s: Column, _: Column) -> Column:
-        at = lambda i: F.get(F.element_at(s, -1), i)
-        near = lambda i: F.array_sort(F.transform(F.get("near", i), lambda e: F.struct(e["kind"].cast("long").alias("kind"), at(e["to"]).alias("id"))))
-        return F.array_append(s, F.transform("atoms", lambda x, i: F.aggregate(near(i), at(i), lambda h, x: _combined(_combined(h, x["kind"]), x["id"]))))
-
-    start = F.array(F.transform("atoms", first))
-    return seen.molecules.select("mol", "atoms", (F.aggregate(F.array(*map(F.lit, range(radius))), start, told) if radius else start).alias("ids"))
+class _Graphs:
+    """A batch of records as flat arrays: atoms of all molecules one after the other, and from start on each one's bonds, sorted by the other end."""
+
+    COLUMNS = ("element", "charge", "hydrogens", "aromatic", "degree", "in_ring")
+
+    def __init__(self, batch: pa.RecordBatch):
+        own = _lengths(batch.column("element"))
+        self.row = np.repeat(np.arange(len(batch)), own)
+        self.seen = {c: _numbers(batch.column(c).flatten()) for c in self.COLUMNS[1:]}
+        self.seen["element"], self.names = _coded(batch.column("element").flatten())
+        near = batch.column("near").flatten()
+        self.n_bonds = _lengths(near)
+        self.start = np.cumsum(self.n_bonds) - self.n_bonds
+        self.from_ = np.repeat(np.arange(len(self.row)), self.n_bonds)
+        edges = near.flatten()
+        self.to = _numbers(edges.field("to")) + (np.cumsum(own) - own)[self.row[self.from_]]
+        self.kind = _numbers(edges.field("kind"))
+
+    @classmethod
+    def of(cls, seen: Perceived) -> DataFrame:
+        """The columns that a batch is read from."""
+        return seen.molecules.select("mol", "atoms.atom", *(f"atoms.{c}" for c in cls.COLUMNS), "near")
+
+
+def _rounds(g: _Graphs, radius: int) -> list[np.ndarray]:
+    """Of each round, the atoms' identifiers."""
+    number = {e: k + 1 for k, e in enumerate(ELEMENTS)}
+    h = np.array([number.get(e, 0) for e in g.names], np.int64)[g.seen["element"]]
+    for part in (g.seen["degree"], g.seen["hydrogens"], g.seen["charge"] + 5, g.seen["in_ring"]):
+        h = _combined(h, part & 0xFFFFFFFF)
+    ids = [h]
+    for _ in range(radius):
+        near = h[g.to]
+        order = np.lexsort((near, g.kind, g.from_))
+        near, kind = near[order], g.kind[order]
+        h, at, place = h.copy(), np.argsort(-g.n_bonds, kind="stable"), 0
+        more = np.bincount(g.n_bonds)[::-1].cumsum()[::-1]  # atoms of at least so many bonds
+        for place in range(len(more) - 1):
+            some = at[: more[place + 1]]
+            edge = g.start[some] + place
+            h[some] = _combined(_combined(h[some], kind[edge]), near[edge])
+        ids.append(h)
+    return ids
 
 
 def identifiers(seen: Perceived, radius: int = 2) -> DataFrame:
@@ -560,15 +621,28 @@ def identifiers(seen: Perceived, radius: int = 2) -> DataFrame:
     Round 0 hashes atomic number, degree, hydrogens, charge + 5 and ring membership. Each round hashes an atom's
     identifier with its neighbours' (kind of bond, identifier), sorted; all inside a molecule's record.
     """
-    of_round = lambda k: F.transform("atoms", lambda x, i: F.struct(x["atom"].alias("atom"), F.lit(k).alias("round"), F.get(F.get("ids", F.lit(k)), i).alias("id")))
-    every = [of_round(k) for k in range(radius + 1)]
-    return _rounds(seen, radius).select("mol", F.inline(F.concat(*every)))
+
+    def run(batches):
+        for batch in batches:
+            g, atom = _Graphs(batch), _numbers(batch.column("atom").flatten())
+            mol = batch.column("mol").take(pa.array(g.row))
+            for k, ids in enumerate(_rounds(g, radius)):
+                yield pa.RecordBatch.from_arrays([mol, pa.array(atom, pa.int32()), pa.array(np.full(len(ids), k), pa.int32()), pa.array(ids)], ["mol", "atom", "round", "id"])
+
+    return _Graphs.of(seen).mapInArrow(run, f"mol {seen.molecules.schema['mol'].dataType.simpleString()}, atom int, round int, id long")
 
 
 def fingerprints(seen: Perceived, radius: int = 2, n_bits: int = 2048) -> DataFrame:
     """(mol, on, fingerprint): the bits that identifiers set modulo n_bits, ascending, and the same as longs of 63 bits, as neighbours.similarity takes them."""
-    every = F.flatten("ids")
-    on = _rounds(seen, radius).select("mol", F.array_sort(F.array_distinct(F.transform(every, lambda i: (i % n_bits).cast("int")))).alias("on"))
+
+    def run(batches):
+        for batch in batches:
+            g = _Graphs(batch)
+            bits = np.unique(np.concatenate([g.row << 32 | ids % n_bits for ids in _rounds(g, radius)]))
+            on = pa.ListArray.from_arrays(_offsets(np.bincount(bits >> 32, minlength=len(batch))), pa.array(bits & 0xFFFFFFFF, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("mol"), on], ["mol", "on"])
+
+    on = _Graphs.of(seen).mapInArrow(run, f"mol {seen.molecules.schema['mol'].dataType.simpleString()}, on array<int>")
     words = F.sequence(F.lit(0), F.lit((n_bits - 1) // 63))
     place = lambda i, w: F.least(F.lit(63), F.lit(n_bits) - w * 63) - 1 - i % 63
     packed = F.transform(words, lambda w: F.aggregate(F.filter("on", lambda i: F.floor(i / 63) == w), F.lit(0).cast("long"), lambda s, i: s + F.call_function("shiftleft", F.lit(1).cast("long"), place(i, w).cast("int"))))

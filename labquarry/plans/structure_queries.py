@@ -16,7 +16,8 @@ _CLOSES = "atom >= 5 AND (mol * 3 + atom) % 7 = 0"
 
 
 def _molecules(spark, d):
-    grown = table(spark, d, "part").selectExpr("p_partkey AS mol", "explode(sequence(0, 5 + cast(p_size % 15 AS int))) AS atom")
+    parts = st.spread(table(spark, d, "part").selectExpr("p_partkey AS mol", "p_size"), "mol")  # a part of few bytes is much work
+    grown = parts.selectExpr("mol", "explode(sequence(0, 5 + cast(p_size % 15 AS int))) AS atom")
     atoms = grown.selectExpr("mol", "atom", f"{_ELEMENT} AS element", f"{_CHARGE} AS charge", "cast(null AS int) AS hydrogens", "false AS aromatic")
     chain = grown.where("atom > 0").selectExpr("mol", f"{_PARENT} AS a", "atom AS b", f"{_KIND} AS kind").where("a IS NOT NULL")
     return atoms, chain.union(grown.where(_CLOSES).selectExpr("mol", "atom - 5", "atom", "1"))

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from labquarry.operators import structures as st
@@ -254,3 +255,31 @@ def test_large_molecules_in_rounds(spark, drawn, monkeypatch):
     monkeypatch.setattr(st, "WHOLE", 12)
     assert st._large(a, b) is not None
     assert [sorted(map(tuple, x.collect())) for x in (st.fragments(a, b), st.core(b), st.smallest_rings(b).select("mol", "size"))] == want
+
+
+def test_molecules_are_dealt_to_all_cores(spark):
+    """Few bytes of molecules are much work: adaptive execution would join them into one task, and rows would be shuffled after they are made."""
+    from labquarry.plans import structure_queries
+
+    packed = st.packed(*structure_queries._molecules(spark, "/root/testdata/sf0.001"))
+    packed.collect()
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Union")] and "Exchange" in plan
+    assert packed.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_rings_of_cores_alike_are_found_once():
+    """The same two rings, at other atoms and with a tail: as found alone."""
+    ring = [(0, 1), (0, 5), (1, 2), (1, 7), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7)]
+    rows = [(m, shift + a, shift + b) for m, shift in ((0, 0), (1, 0), (2, 40), (4, 3)) for a, b in ring] + [(4, 90, 91)]
+    st._known_basis.cache_clear()
+    got = dict(st._ring_lists(*(np.array(x, np.int64) for x in zip(*rows, strict=True))))
+    want = st._cycle_basis(*map(list, zip(*ring, strict=True)))
+    assert got == {m: [[shift + i for i in r] for r in want] for m, shift in ((0, 0), (1, 0), (2, 40), (4, 3))} and len(want) == 2
+    assert st._known_basis.cache_info().misses == 1 and st._known_basis.cache_info().hits == 3
+
+
+def test_fingerprints_are_taken_of_many_molecules_at_a_time(drawn):
+    *_, seen = drawn
+    plan = st.fingerprints(seen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(array(0" not in plan
