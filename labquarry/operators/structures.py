@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ VALENCES = {
 WHOLE = 100_000
 #: Bonds of the largest core whose rings a worker remembers.
 SMALL_CORE = 64
+#: Partial matches that are grown at once.
+PARTIAL = 1 << 18
 #: Multiplier of the 32-bit hash by which identifiers are combined (FNV).
 FNV = 16777619
 
@@ -652,39 +654,49 @@ def fingerprints(seen: Perceived, radius: int = 2, n_bits: int = 2048) -> DataFr
 _PRIMITIVE = re.compile(r"(!?)(#\d+|D\d+|H\d*|R\d*|[+-]\d*|\*|Cl|Br|[A-Z][a-z]?|[bcnops])")
 
 
-def _atom_test(token: str, name) -> tuple[Column, str | None]:
-    """(condition, element if there is only one): of a pattern's atom; name(column) gives the atom's columns."""
+def _atom_test(token: str) -> list[list[tuple[bool, list[tuple[str, object]]]]]:
+    """Of a pattern's atom: choices, each of them tests that must all hold, each of them (whether not, what columns must be)."""
 
-    def one(sign: str, what: str) -> tuple[Column, str | None]:
-        element = None
+    def one(sign: str, what: str) -> tuple[bool, list[tuple[str, object]]]:
         if what == "*":
-            test = F.lit(True)
+            test = []
         elif what[0] == "#":
-            element = ELEMENTS[int(what[1:]) - 1]
-            test = name("element") == element
+            test = [("element", ELEMENTS[int(what[1:]) - 1])]
         elif re.fullmatch(r"D\d+", what):
-            test = name("degree") == int(what[1:])
+            test = [("degree", int(what[1:]))]
         elif re.fullmatch(r"H\d*", what):
-            test = name("hydrogens") == int(what[1:] or 1)
+            test = [("hydrogens", int(what[1:] or 1))]
         elif re.fullmatch(r"R\d*", what):
-            test = name("in_ring") == (0 if what == "R0" else 1)
+            test = [("in_ring", 0 if what == "R0" else 1)]
         elif what[0] in "+-":
-            test = name("charge") == int(what[1:] or 1) * (1 if what[0] == "+" else -1)
+            test = [("charge", int(what[1:] or 1) * (1 if what[0] == "+" else -1))]
         else:
-            element = what.capitalize()
-            test = (name("element") == element) & (name("aromatic") == F.lit(what[0].islower()))
-        return (~test, None) if sign else (test, element)
+            test = [("element", what.capitalize()), ("aromatic", int(what[0].islower()))]
+        return bool(sign), test
 
     if not token.startswith("["):
-        return one("", token)
+        return [[one("", token)]]
     choices = []
     for choice in token[1:-1].split(","):
         parts = _PRIMITIVE.findall(choice)
         if not parts or "".join(a + b for a, b in parts) != re.sub("[&;]", "", choice):
             raise OperatorError(f"cannot read {token!r}")
-        tests = [one(*p) for p in parts]
-        choices.append((reduce(lambda x, y: x & y, [t for t, _ in tests]), next((e for _, e in tests if e), None)))
-    return reduce(lambda x, y: x | y, [t for t, _ in choices]), choices[0][1] if len(choices) == 1 else None
+        choices.append([one(*p) for p in parts])
+    return choices
+
+
+def _fits(choices: list, g: _Graphs) -> np.ndarray:
+    """Which atoms pass a test; an unknown element neither is nor is not another."""
+
+    def is_(column: str, value: object, wanted: bool) -> np.ndarray:
+        if column != "element":
+            return (g.seen[column] == value) == wanted
+        code = g.names.index(value) if value in g.names else len(g.names)
+        return ((g.seen[column] == code) == wanted) & (g.seen[column] >= 0)
+
+    n = len(g.row)
+    holds = lambda not_, test: np.logical_or.reduce([np.zeros(n, bool), *(is_(*t, False) for t in test)]) if not_ else np.logical_and.reduce([np.ones(n, bool), *(is_(*t, True) for t in test)])
+    return np.logical_or.reduce([np.logical_and.reduce([holds(*t) for t in tests]) for tests in choices])
 
 
 _BOND_KINDS = {"": (1, 4), "-": (1,), "=": (2,), "#": (3,), ":": (4,), "/": (1,), "\\": (1,)}
@@ -693,49 +705,73 @@ _BOND_KINDS = {"": (1, 4), "-": (1,), "=": (2,), "#": (3,), ":": (4,), "/": (1,)
 def matching(seen: Perceived, pattern: str) -> DataFrame:
     """(mol) that have the pattern: a SMILES whose atoms may be `*` or bracketed choices like [C,N], [#6], [!C], [OH], [D2], [R], [N+], and whose bonds may be `~`.
 
-    Partial matches grow inside a molecule's record, by one step along its bonds for each atom of the pattern; each bond
+    Partial matches grow inside the molecules' records, by one step along their bonds for each atom of the pattern; each bond
     that closes a ring then leaves out those without it.
     """
-    has = _has(seen.molecules.sparkSession, pattern)
-    return seen.molecules.where(has).select("mol")
-
-
-def _has(spark, pattern: str) -> Column:
-    """Whether a record of Perceived.molecules has the pattern."""
-    g = spark.range(1).select(_linked(F.lit(pattern.strip())).alias("g")).first()["g"]  # one pattern, no data
-    if not g["ok"]:
-        raise OperatorError(f"cannot read the pattern {pattern!r}")
-    bonds = [(b["a"], b["b"], b["sign"]) for b in g["bonds"]]
-    tests = [lambda x, t=t: _atom_test(t, lambda c: x[c])[0] for t in g["atoms"]]
-    for t in g["atoms"]:
-        _atom_test(t, F.col)  # unreadable atoms are told of here
-    fits = lambda e, sign: F.lit(True) if sign == "~" else e["kind"].isin(*_BOND_KINDS[sign])
-    begun = F.transform("atoms", lambda x, i: F.when(tests[0](x), F.array(i)))
-    found = F.filter(begun, lambda m: m.isNotNull())
-    for k in range(1, len(g["atoms"])):
-        ties = [(a if b == k else b, sign) for a, b, sign in bonds if k in (a, b) and (a if b == k else b) < k]
-        if not ties:
-            raise OperatorError("patterns of several parts are not matched")
-
-        found = F.flatten(F.transform(found, _grown(*ties[0], tests[k], fits)))
-        for from_, sign in ties[1:]:
-            found = F.filter(found, _closed(from_, k, sign, fits))
-    return F.size(found) > 0
+    return _first_matching(seen, [pattern]).select("mol")
 
 
-def _grown(from_: int, sign: str, test, fits):
-    """Of a partial match, those with one atom more: a neighbour of its atom from_."""
+def _first_matching(seen: Perceived, patterns: list[str]) -> DataFrame:
+    """(mol, place): of molecules that have any of the patterns, the place of the first they have."""
+    wanted = _read(seen.molecules.sparkSession, patterns)
 
-    def grown(m: Column) -> Column:
-        may = F.filter(F.get("near", F.get(m, F.lit(from_))), lambda e: fits(e, sign) & ~F.array_contains(m, e["to"]) & test(F.get("atoms", e["to"])))
-        return F.transform(may, lambda e: F.array_append(m, e["to"]))
-
-    return grown
-
-
-def _closed(from_: int, to: int, sign: str, fits):
-    """Whether a match has a bond between two of its atoms."""
-    return lambda m: F.exists(F.get("near", F.get(m, F.lit(from_))), lambda e: (e["to"] == F.get(m, F.lit(to))) & fits(e, sign))
+    def run(batches):
+        for batch in batches:
+            g, first = _Graphs(batch), np.full(len(batch), -1)
+            for k, pattern in enumerate(wanted):
+                first[_found(g, pattern, first >= 0)] = k
+            rows = np.flatnonzero(first >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column("mol").take(pa.array(rows)), pa.array(first[rows], pa.int32())], ["mol", "place"])
+
+    return _Graphs.of(seen).mapInArrow(run, f"mol {seen.molecules.schema['mol'].dataType.simpleString()}, place int")
+
+
+def _read(spark, patterns: list[str]) -> list[tuple[list, list]]:
+    """Of each pattern, its atoms' tests and, of each atom, its bonds to earlier ones: (place, kinds, None for any)."""
+    texts = spark.range(1).select(F.posexplode(F.array(*(F.lit(p.strip()) for p in patterns))).alias("k", "text"))  # patterns, no data
+    read = []
+    for pattern, g in zip(patterns, (r["g"] for r in sorted(texts.select("k", _linked(F.col("text")).alias("g")).collect())), strict=True):
+        if not g["ok"]:
+            raise OperatorError(f"cannot read the pattern {pattern!r}")
+        tests = [_atom_test(t) for t in g["atoms"]]
+        ties = [[(min(x["a"], x["b"]), None if x["sign"] == "~" else _BOND_KINDS[x["sign"]]) for x in g["bonds"] if max(x["a"], x["b"]) == k and x["a"] != x["b"]] for k in range(len(tests))]
+        if not all(ties[1:]):
+            raise OperatorError("patterns of several parts are not matched")
+        read.append((tests, ties))
+    return read
+
+
+def _found(g: _Graphs, pattern: tuple[list, list], told: np.ndarray) -> np.ndarray:
+    """Which molecules, but for those told of, have the pattern. The furthest matches grow first and those of found molecules are dropped, so that few are held."""
+    tests, ties = pattern
+    fits = [_fits(t, g) for t in tests]
+    may = lambda edge, kinds: np.ones(len(edge), bool) if kinds is None else np.isin(g.kind[edge], kinds)
+    hit, left = np.zeros(len(told), bool), [np.flatnonzero(fits[0])[:, None]]
+    keys = g.from_ * len(g.row) + g.to
+    while left:
+        some = left.pop()
+        some = some[~(hit | told)[g.row[some[:, 0]]]]
+        k = some.shape[1]
+        if k == len(tests):
+            hit[g.row[some[:, 0]]] = True
+            continue
+        (from_, kinds), *closed = ties[k]
+        n = g.n_bonds[some[:, from_]]
+        if n.sum() > PARTIAL and len(some) > 1:
+            left += [some[len(some) // 2 :], some[: len(some) // 2]]
+            continue
+        of = np.repeat(np.arange(len(some)), n)
+        edge = np.arange(len(of)) + np.repeat(g.start[some[:, from_]] - np.cumsum(n) + n, n)
+        to = g.to[edge]
+        grown = np.flatnonzero(fits[k][to] & may(edge, kinds) & (some[of] != to[:, None]).all(1))
+        some = np.column_stack([some[of[grown]], to[grown]])
+        for from_, kinds in closed:
+            key = some[:, from_] * len(g.row) + some[:, k]
+            edge = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            some = some[(keys[edge] == key) & may(edge, kinds)] if len(some) else some
+        if len(some):
+            left.append(some)
+    return hit
 
 
 def substructure_filter(df: DataFrame, key: str, seen: Perceived, pattern: str) -> dict[str, DataFrame]:
@@ -750,8 +786,8 @@ def catalogue_filter(df: DataFrame, key: str, seen: Perceived, alerts: dict[str,
     Without alerts all rows match."""
     if not alerts:
         return {"matches": df, "rejects": df.limit(0).withColumn("alert", F.lit(None).cast("string"))}
-    names = [F.when(_has(df.sparkSession, p), name) for name, p in alerts.items()]
-    first = seen.molecules.select(F.col("mol").alias("_mol"), F.coalesce(*names).alias("alert")).where("alert is not null").hint("merge")
+    names = F.array(*map(F.lit, alerts))
+    first = _first_matching(seen, list(alerts.values())).select(F.col("mol").alias("_mol"), F.get(names, F.col("place")).alias("alert")).hint("merge")
     told = df.join(first, q(key) == F.col("_mol"), "left").drop("_mol")
     hit, free = told.where("alert is not null"), told.where("alert is null")
     return {"matches": free.drop("alert"), "rejects": hit} if clean else {"matches": hit.drop("alert"), "rejects": free}

@@ -283,3 +283,30 @@ def test_fingerprints_are_taken_of_many_molecules_at_a_time(drawn):
     *_, seen = drawn
     plan = st.fingerprints(seen)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "aggregate(array(0" not in plan
+
+
+def test_catalogues_are_read_and_matched_in_one_go(spark, tables):
+    """One job reads all patterns, whatever their number, and matching starts none."""
+    *_, seen = tables
+    df = spark.createDataFrame([(n,) for n in SMILES], "name string")
+    spark.sparkContext.setJobGroup("catalogue", "")
+    got = st.catalogue_filter(df, "name", seen, {"a": "N#C", "b": "CCl", "c": "[OH]", "d": "C=O"})["rejects"]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("catalogue")) == 1
+    spark.sparkContext.setJobGroup("", "")
+    assert {tuple(r) for r in got.collect()} == {("nitrile", "a"), ("chloride", "b"), ("ethanol", "c"), ("stereo", "c"), ("acid", "d"), ("linked", "d")}
+    with pytest.raises(st.OperatorError):
+        st.matching(seen, "C.C")
+
+
+def test_patterns_when_few_partial_matches_are_held(spark, drawn, monkeypatch):
+    """Matches grown one by one, and molecules told of already left out: the same molecules."""
+    *_, seen = drawn
+    batch = st._Graphs.of(seen).toArrow().combine_chunks().to_batches()[0]
+    g, none = st._Graphs(batch), np.zeros(len(batch), bool)
+    for pattern in st._read(spark, ["C~*~*~*", "C1~*~*~*~1", "[!C]~[D2]", "*"]):
+        monkeypatch.undo()
+        want = st._found(g, pattern, none)
+        monkeypatch.setattr(st, "PARTIAL", 1)
+        assert (st._found(g, pattern, none) == want).all() and want.any()
+        told = np.arange(len(batch)) % 2 == 0
+        assert (st._found(g, pattern, told) == (want & ~told)).all()
