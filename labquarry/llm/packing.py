@@ -161,8 +161,8 @@ def pack(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPAC
     )
 
 
-#: Words of these letters, with or without one of these signs after them, need no normalising but lower case.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: Words of these letters, with or without a run of these signs after them (which stays one), need no normalising but lower case.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_signs() -> dict[int, int]:
@@ -188,7 +188,7 @@ class Words(dict):
         self.model, self.signs, self.parts = self.tokenizer.model, _byte_signs(), {}
 
     def part(self, word: str) -> bytes:
-        """Ids of lower-case letters, or of one sign."""
+        """Ids of lower-case letters, or of a run of signs."""
         if (ids := self.parts.get(word)) is None:
             written = word.encode().decode("latin-1").translate(self.signs)
             ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
@@ -216,7 +216,7 @@ class Words(dict):
         for text in texts:
             if len(self) > WORDS_KEPT:
                 self.clear()
-            words = text.split(" ")
+            words = text.replace("\n", " ").split(" ")
             try:
                 out.append(b"".join(map(self.__getitem__, words)))
             except KeyError:

@@ -42,6 +42,32 @@ def test_words_are_the_tokenizers(spark):
             assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_lines_and_runs_of_signs_go_the_short_way(spark, monkeypatch):
+    """Words at line ends, and with several signs after them, are the merges' work alone; drawn texts of awkward characters are as the tokenizer has them."""
+    words = packing.words_of(packing.vocabulary_file(packing.VOCABULARY))
+    words.forget()
+    rnd = random.Random(5)
+    drawn = ["".join(rnd.choices("aBs\u00e9\u0301\u00df\u0130\u03a3'!.,$%&#*<>|\u2260_-9\n\n  \t\x1c \u0085\r ~`^{}[]@/:;?\"()+", k=rnd.randrange(1, 30))) for _ in range(2000)]
+    for text, ids in zip(drawn, words.ids(drawn), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    words.forget()
+    text = "Une.\nEn\u00e7eau Oned,### whole!!\n(no"
+    want = words.tokenizer.encode(text.replace("(", ""), add_special_tokens=False).ids
+    asked = []
+
+    class Asked:
+        def encode_batch_fast(self, some, add_special_tokens):
+            asked.extend(some)
+            return real.encode_batch_fast(some, add_special_tokens=add_special_tokens)
+
+    real = words.tokenizer
+    monkeypatch.setattr(words, "tokenizer", Asked())
+    assert np.frombuffer(words.ids([text.replace("(", "")])[0], "<u4").tolist() == want and asked == []
+    words.ids([text])
+    assert asked == ["(no"]
+    words.forget()
+
+
 def test_packed_whole(spark):
     rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(2, "a", "y"), (None, "b", "z")]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length string")).toPandas()
