@@ -128,6 +128,28 @@ def near_pairs(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarra
     return p, q
 
 
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Sets the labels, least places of classes, to those after places a and b have been linked.
+
+    In each round every label that a link joins with another takes one such partner, so that classes halve at least and
+    a crowd's links are read, not sorted.
+    """
+    while True:
+        f, g = label[a], label[b]
+        apart = np.flatnonzero(f != g)
+        if not len(apart):
+            return
+        a, b, f, g = (v[apart] for v in (a, b, f, g))
+        partner = np.full(len(label), -1)
+        partner[f] = g
+        partner[g] = f
+        at = np.flatnonzero(partner >= 0)
+        f, g = local_forest(at, partner[at])
+        to = np.arange(len(label))
+        to[f] = g
+        label[:] = to[label]
+
+
 def block_links(ids, same, chunk, raw, others, chunks: dict[int, tuple[int, float, float]], pivots: np.ndarray, threshold: float, turn: int = 0, slices: int = 1) -> Iterator[pd.DataFrame]:
     """(id, links, other) of the rows of a block and of others that link with them; `other` is an id linked with id, or itself.
 
@@ -143,10 +165,10 @@ def block_links(ids, same, chunk, raw, others, chunks: dict[int, tuple[int, floa
     links, label = np.zeros(size + step, np.int64), np.arange(size + step)  # of the block's rows, then of others' at hand
 
     def meet(raw2: np.ndarray, x2: np.ndarray, same2: np.ndarray, base: int, with_: list[tuple[int, int, int]]) -> None:
-        angle = angles(raw2.astype(np.float64), pivots)
+        angle = np.ascontiguousarray(angles(raw2.astype(np.float64), pivots).T)
         for c, i, j in with_:
             pivot, low, high = chunks[c]
-            rows = np.flatnonzero((angle[:, pivot] >= low - reach) & (angle[:, pivot] <= high + reach))
+            rows = np.flatnonzero((angle[pivot] >= low - reach) & (angle[pivot] <= high + reach))
             if not len(rows):
                 continue
             some = slice(None) if len(rows) == len(x2) else rows
@@ -158,13 +180,7 @@ def block_links(ids, same, chunk, raw, others, chunks: dict[int, tuple[int, floa
                 continue
             links[i:j] += np.bincount(p, same2[some][q], j - i).astype(np.int64)
             links[base + rows] += np.bincount(q, same[i:j][p], len(rows)).astype(np.int64)
-            a, b = label[i + p], label[base + rows[q]]
-            apart = np.flatnonzero(a != b)
-            if len(apart):
-                f, g = local_forest(a[apart], b[apart])
-                to = np.arange(len(label))
-                to[f] = g
-                label[:] = to[label]
+            join_labels(label, i + p, base + rows[q])
 
     met = 0
     for k, (_, i, j) in enumerate(pieces):

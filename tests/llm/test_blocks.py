@@ -101,3 +101,16 @@ def test_pairs_at_the_threshold_are_settled_in_double_precision():
     want = (x[:, None] * y[None]).sum(2) >= 0.9
     assert set(zip(p.tolist(), q.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(want)), strict=True))
     assert (np.diag(want) == (cos > 0.9)).all()
+
+
+def test_labels_are_the_least_places_of_classes():
+    rng = np.random.default_rng(5)
+    for n, m in ((50, 20), (200, 180), (400, 3000)):
+        label, want = np.arange(n), np.arange(n)
+        for _ in range(3):
+            a, b = rng.integers(0, n, (2, m))
+            rangejoin.join_labels(label, a, b)
+            for p, q in zip(want[a], want[b], strict=True):
+                p, q = want[p], want[q]
+                want[want == max(p, q)] = min(p, q)
+            assert (label == want).all()
